@@ -1,0 +1,20 @@
+"""Where jobs put what must outlive a task: checkpoints and written tables."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import SparkSession
+
+
+def workspace(spark: SparkSession, name: str) -> str:
+    """A fresh folder in the shared folder the cluster names in
+    ``spark.checkpoint.dir``. Only a local session may go without one."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder all executors share")
+        shared = tempfile.mkdtemp(prefix="tilepulse-")
+        spark.conf.set("spark.checkpoint.dir", shared)
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
