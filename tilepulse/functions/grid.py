@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from fractions import Fraction
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed values of the grid: levels, first summarised level, tiles per axis at
@@ -38,17 +38,11 @@ def n_cols(zoom: int) -> int:
 
 
 def _per_zoom(zoom, value, cast: str) -> Column:
-    """``value(zoom)`` as a literal, or for a column as one branch per coarse
-    zoom and a shift for the rest."""
+    """``value(zoom)`` as a literal, or looked up for a column of zooms."""
     if isinstance(zoom, int):
         return F.lit(value(zoom)).cast(cast)
-    branches = F.when(zoom == 0, F.lit(value(0)))
-    for z in (1, 2):
-        branches = branches.when(zoom == z, F.lit(value(z)))
-    doubled = F.call_function("shiftleft", F.lit(1), (zoom - 3).cast("int"))
-    if cast == "double":
-        return branches.otherwise(F.lit(20.0) / doubled.cast("double")).cast(cast)
-    return branches.otherwise(F.lit(value(3)) * doubled).cast(cast)
+    listed = F.array(*[F.lit(value(z)).cast(cast) for z in range(MAX_ZOOM + 1)])
+    return F.get(listed, zoom)
 
 
 def row_count(zoom) -> Column:
@@ -71,28 +65,32 @@ def on_map(lat: Column, lng: Column) -> Column:
     return lat.between(-90.0, 90.0) & lng.between(-180.0, 180.0)
 
 
-def tile_row(lat: Column, zoom) -> Column:
-    """Row of a latitude that is on the map. Division rounds, so the quotient
-    may be one off next to an edge; the edge itself decides."""
-    size = lat_size(zoom)
-    guess = F.greatest(F.ceil((F.lit(90.0) - lat) / size) - 1, F.lit(0))
-    return (
-        F.when(lat < F.lit(90.0) - (guess + 1) * size, guess + 1)
-        .when((guess > 0) & (lat >= F.lit(90.0) - guess * size), guess - 1)
-        .otherwise(guess)
-        .cast("int")
-    )
-
-
-def tile_col(lng: Column, zoom) -> Column:
-    size = lng_size(zoom)
-    guess = F.greatest(F.ceil((lng + 180.0) / size) - 1, F.lit(0))
-    return (
-        F.when(lng > F.lit(-180.0) + (guess + 1) * size, guess + 1)
-        .when((guess > 0) & (lng <= F.lit(-180.0) + guess * size), guess - 1)
-        .otherwise(guess)
-        .cast("int")
+def with_tile(df: DataFrame, lat: Column, lng: Column, zoom) -> DataFrame:
+    """Add ``row, col`` of a point; null off the map.
+
+    Division rounds, so the quotient may be one off next to an edge; a second
+    projection lets the edge itself decide.
+    """
+    height, width = lat_size(zoom), lng_size(zoom)
+    top, left = F.lit(90.0), F.lit(-180.0)
+    at_lat, at_lng, row, col = [F.col(c) for c in ("_lat", "_lng", "_row", "_col")]
+    guessed = df.withColumns({"_lat": lat, "_lng": lng}).withColumns(
+        {
+            "_row": F.greatest(F.ceil((top - at_lat) / height) - 1, F.lit(0)),
+            "_col": F.greatest(F.ceil((at_lng - left) / width) - 1, F.lit(0)),
+        }
     )
+    south = at_lat < top - (row + 1) * height
+    north = (row > 0) & (at_lat >= top - row * height)
+    east = at_lng > left + (col + 1) * width
+    west = (col > 0) & (at_lng <= left + col * width)
+    inside = on_map(at_lat, at_lng)
+    return guessed.withColumns(
+        {
+            "row": F.when(inside, row + south.cast("int") - north.cast("int")).cast("int"),
+            "col": F.when(inside, col + east.cast("int") - west.cast("int")).cast("int"),
+        }
+    ).drop("_lat", "_lng", "_row", "_col")
 
 
 def edges(zoom, row: Column, col: Column) -> list[Column]:
@@ -154,33 +152,43 @@ def contains(outer, inner) -> Column:
     )
 
 
-def cover_rows(zoom) -> tuple[Column, Column]:
-    """First and last row whose interior meets the rectangle, clipped to the map."""
-    top, bot = F.col("top_left_lat"), F.col("bot_right_lat")
-    size, last = lat_size(zoom), (row_count(zoom) - 1).cast("bigint")
-
-    def edge(r: Column) -> Column:
-        return F.lit(90.0) - r * size
-
-    lo = F.floor((F.lit(90.0) - top) / size)
-    lo = F.when(edge(lo + 1) >= top, lo + 1).when(edge(lo) < top, lo - 1).otherwise(lo)
-    hi = F.ceil((F.lit(90.0) - bot) / size) - 1
-    hi = F.when(edge(hi) <= bot, hi - 1).when(edge(hi + 1) > bot, hi + 1).otherwise(hi)
-    return F.greatest(lo, F.lit(0)).cast("int"), F.least(hi, last).cast("int")
-
-
-def cover_cols(zoom) -> tuple[Column, Column]:
-    left, right = F.col("top_left_lng"), F.col("bot_right_lng")
-    size, last = lng_size(zoom), (col_count(zoom) - 1).cast("bigint")
-
-    def edge(c: Column) -> Column:
-        return F.lit(-180.0) + c * size
-
-    lo = F.floor((left + 180.0) / size)
-    lo = F.when(edge(lo + 1) <= left, lo + 1).when(edge(lo) > left, lo - 1).otherwise(lo)
-    hi = F.ceil((right + 180.0) / size) - 1
-    hi = F.when(edge(hi) >= right, hi - 1).when(edge(hi + 1) < right, hi + 1).otherwise(hi)
-    return F.greatest(lo, F.lit(0)).cast("int"), F.least(hi, last).cast("int")
+def with_cover(df: DataFrame, zoom) -> DataFrame:
+    """Add ``r0, r1, c0, c1``: the first and last row and column whose interior
+    meets the rectangle, clipped to the map. Quotients first, edges second."""
+    height, width = lat_size(zoom), lng_size(zoom)
+    top, left, bot, right = [F.col(c) for c in RECT[1:]]
+    quotients = {
+        "_r0": F.floor((F.lit(90.0) - top) / height),
+        "_r1": F.ceil((F.lit(90.0) - bot) / height) - 1,
+        "_c0": F.floor((left + 180.0) / width),
+        "_c1": F.ceil((right + 180.0) / width) - 1,
+    }
+    r0, r1, c0, c1 = [F.col(c) for c in quotients]
+
+    def lat_of(row: Column) -> Column:
+        return F.lit(90.0) - row * height
+
+    def lng_of(col: Column) -> Column:
+        return F.lit(-180.0) + col * width
+
+    first_row = F.when(lat_of(r0 + 1) >= top, r0 + 1).when(lat_of(r0) < top, r0 - 1).otherwise(r0)
+    last_row = F.when(lat_of(r1) <= bot, r1 - 1).when(lat_of(r1 + 1) > bot, r1 + 1).otherwise(r1)
+    first_col = F.when(lng_of(c0 + 1) <= left, c0 + 1).when(lng_of(c0) > left, c0 - 1).otherwise(c0)
+    last_col = (
+        F.when(lng_of(c1) >= right, c1 - 1).when(lng_of(c1 + 1) < right, c1 + 1).otherwise(c1)
+    )
+    return (
+        df.withColumns(quotients)
+        .withColumns(
+            {
+                "r0": F.greatest(first_row, F.lit(0)).cast("int"),
+                "r1": F.least(last_row, row_count(zoom) - 1).cast("int"),
+                "c0": F.greatest(first_col, F.lit(0)).cast("int"),
+                "c1": F.least(last_col, col_count(zoom) - 1).cast("int"),
+            }
+        )
+        .drop(*quotients)
+    )
 
 
 def rows_inside(zoom: int, top: float, bot: float) -> tuple[int, int]:

@@ -22,7 +22,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 from ..functions.grid import RECT
 from .skew import CHUNK_ROWS, split_points, with_chunk
@@ -48,8 +48,10 @@ STATE_AFTER = {
 }
 
 
-def _lifeline() -> Window:
-    return Window.partitionBy(*RECT, "chunk").orderBy(*ORDER)
+def _before(keys: list[str]) -> WindowSpec:
+    """The device's earlier commands."""
+    line = Window.partitionBy(*keys).orderBy(*ORDER)
+    return line.rowsBetween(Window.unboundedPreceding, -1)
 
 
 def _activity() -> Column:
@@ -66,11 +68,10 @@ def _mood(active_before: Column) -> Column:
     )
 
 
-def _event() -> Column:
-    branches = None
-    for (state, action), event in EVENTS.items():
-        test = (F.col("state_before") == state) & (F.col("action") == action)
-        branches = (F if branches is None else branches).when(test, F.lit(event))
+def _event(state: Column) -> Column:
+    branches = F
+    for (before, action), event in EVENTS.items():
+        branches = branches.when((state == before) & (F.col("action") == action), F.lit(event))
     return branches
 
 
@@ -89,34 +90,33 @@ def device_history(cmds: DataFrame, chunk_rows: int | None = CHUNK_ROWS) -> Data
     skips the look for hot devices.
     """
     splits = None if chunk_rows is None else split_points(cmds, RECT, ORDER, chunk_rows)
-    chunked = with_chunk(cmds, RECT, ORDER, splits)
     if splits is None:
-        started = chunked.withColumn("start", F.lit("I"))
+        keys, started = RECT, cmds.withColumn("start", F.lit("I"))
     else:
+        keys, chunked = [*RECT, "chunk"], with_chunk(cmds, RECT, ORDER, splits)
         starts = F.broadcast(_chunk_starts(chunked, splits))  # one row per chunk of a hot device
-        started = chunked.join(starts, [*RECT, "chunk"], "left").fillna("I", ["start"])
+        started = chunked.join(starts, keys, "left").fillna("I", ["start"])
 
-    before = _lifeline().rowsBetween(Window.unboundedPreceding, -1)
-    known = F.last("activity", ignorenulls=True).over(before)
-    mood = F.last("mood", ignorenulls=True).over(before)
-    active = F.col("active_before")
+    known = F.last("activity", ignorenulls=True).over(_before(keys))
+    mood = F.last("mood", ignorenulls=True).over(_before(keys))
+    active, start = F.col("active_before"), F.col("start")
     return (
         started.withColumn("activity", _activity())
-        .withColumn("active_before", F.coalesce(known, F.col("start") != "I"))
+        .withColumn("active_before", F.coalesce(known, start != "I"))
         .withColumn("mood", _mood(active))
+        .withColumn("mood_before", mood)
         .withColumn(
-            "state_before", F.when(active, F.coalesce(mood, F.col("start"))).otherwise("I")
+            "state_before", F.when(active, F.coalesce("mood_before", start)).otherwise("I")
         )
-        .withColumn("event_type", _event())
+        .withColumn("event_type", _event(F.col("state_before")))
         .withColumn("state_after", F.coalesce(event_to_state(F.col("event_type")), "state_before"))
-        .drop("activity", "active_before", "mood", "start", "chunk")
+        .drop("activity", "active_before", "mood", "mood_before", "start", "chunk")
     )
 
 
 def _chunk_starts(chunked: DataFrame, splits: DataFrame) -> DataFrame:
     """State in which each chunk of a hot device begins."""
-    before = _lifeline().rowsBetween(Window.unboundedPreceding, -1)
-    known = F.last("activity", ignorenulls=True).over(before)
+    known = F.last("activity", ignorenulls=True).over(_before([*RECT, "chunk"]))
     here = F.struct(*ORDER)
 
     def final(column: str) -> Column:

@@ -46,9 +46,9 @@ def summarize(
     """Counts per tile at one zoom; with ``shards``, only the tiles of one shard.
     The hash aggregate combines on the map side, so a hot tile is no hot task.
     A rectangle whose centre is off the map has no tile and is left out."""
+    there = events.filter(grid.on_map(grid.centre_lat(), grid.centre_lng()))
     tiles = (
-        assign_by_centre(with_deltas(events), zoom)
-        .filter("row is not null")
+        assign_by_centre(with_deltas(there), zoom)
         .groupBy(F.col("tile_zoom").alias("zoom"), "row", "col")
         .agg(*sums())
     )
@@ -77,37 +77,34 @@ def roll_up(tiles18: DataFrame) -> DataFrame:
     The zoom-18 rows are shuffled once, by their zoom-8 ancestor. Every tile of
     zooms 8..18 then lies in one partition, so the sixteen-fold expansion is
     aggregated where it stands and is never shuffled. The coarse zooms come from
-    the zoom-8 counts, of which the whole map has 165,888.
+    the zoom-7 counts, of which the whole map has 41,472.
     """
-    up = MAX_ZOOM - ANCHOR_ZOOM
     anchored = tiles18.select(
-        grid.ancestor(F.col("row"), up).alias("anchor_row"),
-        grid.ancestor(F.col("col"), up).alias("anchor_col"),
-        "row",
-        "col",
-        *COUNTS,
+        *_up(MAX_ZOOM - ANCHOR_ZOOM, "anchor_row", "anchor_col"), "row", "col", *COUNTS
     ).repartition("anchor_row", "anchor_col")
-    anchor = ["anchor_row", "anchor_col"]
     fine = (
         climb(anchored, ANCHOR_ZOOM, MAX_ZOOM)
-        .groupBy(*anchor, *TILE)
+        .groupBy("anchor_row", "anchor_col", *TILE)
         .agg(*sums())
         .select(*TILE, *COUNTS)
     )
-    anchors = anchored.groupBy(*anchor).agg(*sums())
-    coarse = (
-        climb(
-            anchors.withColumnsRenamed({"anchor_row": "row", "anchor_col": "col"}),
-            MIN_SUMMARY_ZOOM,
-            ANCHOR_ZOOM - 1,
-            at=ANCHOR_ZOOM,
-        )
-        .groupBy(*TILE)
+    below = ANCHOR_ZOOM - 1
+    coarsest = (
+        tiles18.select(*_up(MAX_ZOOM - below, "row", "col"), *COUNTS)
+        .groupBy("row", "col")
         .agg(*sums())
     )
+    coarse = climb(coarsest, MIN_SUMMARY_ZOOM, below, at=below).groupBy(*TILE).agg(*sums())
     return fine.unionByName(coarse)
 
 
+def _up(levels: int, row: str, col: str) -> list[Column]:
+    return [
+        grid.ancestor(F.col("row"), levels).alias(row),
+        grid.ancestor(F.col("col"), levels).alias(col),
+    ]
+
+
 def assign_tag(events: DataFrame, tag_count: int) -> DataFrame:
     """Add the event's tag, a hash of its device key."""
     return events.withColumn("tag", tag_of(device_key(), tag_count))

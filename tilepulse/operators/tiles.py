@@ -12,30 +12,30 @@ from ..functions import grid
 from ..functions.grid import COUNTS, MAX_ZOOM, MIN_SUMMARY_ZOOM, RECT
 
 
-def _point_to_tile(lat: Column, lng: Column, zoom: int) -> tuple[Column, Column]:
-    row, col = grid.tile_row(lat, zoom), grid.tile_col(lng, zoom)
+def _place(df: DataFrame, lat: Column, lng: Column, zoom: int) -> DataFrame:
     if zoom == 0:  # the world is returned without looking at the point
-        return F.lit(0), F.lit(0)
-    return F.when(grid.on_map(lat, lng), row), F.when(grid.on_map(lat, lng), col)
+        return df.withColumns({"row": F.lit(0), "col": F.lit(0)})
+    return grid.with_tile(df, lat, lng, zoom)
 
 
-def assign_tile(df: DataFrame, lat: str = "lat", lng: str = "lng", zoom: int = MAX_ZOOM):
+def assign_tile(
+    df: DataFrame, lat: str = "lat", lng: str = "lng", zoom: int = MAX_ZOOM
+) -> DataFrame:
     """Tile of every point; null row and col for points off the map."""
-    row, col = _point_to_tile(F.col(lat), F.col(lng), zoom)
-    return df.select("*", F.lit(zoom).alias("zoom"), row.alias("row"), col.alias("col"))
+    return _place(df.withColumn("zoom", F.lit(zoom)), F.col(lat), F.col(lng), zoom)
 
 
 def assign_all_zooms(df: DataFrame, lat: str = "lat", lng: str = "lng") -> DataFrame:
     """One row per point and zoom 3..18. The point is placed once, at zoom 18;
     the other zooms are shifts of that. Points off the map have no rows."""
-    finest = assign_tile(df, lat, lng, MAX_ZOOM).drop("zoom").filter("row is not null")
-    return climb(finest, MIN_SUMMARY_ZOOM, MAX_ZOOM)
+    there = df.filter(grid.on_map(F.col(lat), F.col(lng)))
+    return climb(assign_tile(there, lat, lng), MIN_SUMMARY_ZOOM, MAX_ZOOM)
 
 
 def climb(tiles: DataFrame, lowest: int, highest: int, at: int = MAX_ZOOM) -> DataFrame:
     """One row per input row and zoom ``lowest..highest``: the enclosing tiles of
     a ``(row, col)`` that lies at zoom ``at``."""
-    kept = [c for c in tiles.columns if c not in ("row", "col")]
+    kept = [c for c in tiles.columns if c not in grid.TILE]
     up = F.lit(at) - F.col("zoom")
     return tiles.withColumn("zoom", F.explode(F.sequence(F.lit(lowest), F.lit(highest)))).select(
         *kept,
@@ -47,8 +47,8 @@ def climb(tiles: DataFrame, lowest: int, highest: int, at: int = MAX_ZOOM) -> Da
 
 def assign_by_centre(df: DataFrame, zoom: int = MAX_ZOOM) -> DataFrame:
     """Re-key rectangles by the tile of their centre: ``tile_zoom, row, col``."""
-    row, col = _point_to_tile(grid.centre_lat(), grid.centre_lng(), zoom)
-    return df.select("*", F.lit(zoom).alias("tile_zoom"), row.alias("row"), col.alias("col"))
+    keyed = df.withColumn("tile_zoom", F.lit(zoom))
+    return _place(keyed, grid.centre_lat(), grid.centre_lng(), zoom)
 
 
 def only_devices(df: DataFrame) -> DataFrame:
@@ -108,15 +108,14 @@ def cover_area(areas: DataFrame, zoom: int | None = None) -> DataFrame:
 
 
 def _cover(areas: DataFrame) -> DataFrame:
-    at = F.col("tile_zoom")
-    r0, r1 = grid.cover_rows(at)
-    c0, c1 = grid.cover_cols(at)
+    def line(first: str, last: str) -> Column:  # no array, hence no row, if empty
+        return F.explode(F.when(F.col(first) <= F.col(last), F.sequence(first, last)))
+
     return (
-        areas.select("*", r0.alias("r0"), r1.alias("r1"), c0.alias("c0"), c1.alias("c1"))
-        .filter("r0 <= r1 and c0 <= c1")
-        .withColumn("row", F.explode(F.sequence("r0", "r1")))
+        grid.with_cover(areas, F.col("tile_zoom"))
+        .withColumn("row", line("r0", "r1"))
         .repartition(*[F.col(name) for name in RECT if name in areas.columns], F.col("row"))
-        .withColumn("col", F.explode(F.sequence("c0", "c1")))
+        .withColumn("col", line("c0", "c1"))
         .drop("r0", "r1", "c0", "c1")
     )
 

@@ -13,6 +13,8 @@ from ..functions import grid
 from ..functions.grid import MAX_ZOOM, RECT
 from ..operators.lifecycle import derive_events
 from ..operators.summary import summarize_all
+from ..sources.store import bulk_load, read_base
+from ..streaming.workspace import workspace
 
 # Event type in the events table -> device action.
 ACTION_OF = {
@@ -114,6 +116,20 @@ def fleet_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summarize_all(fleet_events(spark, sf_dir))
 
 
+_stored: dict[tuple[str, str], str] = {}
+
+
+def stored_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as a table on disk, as map queries find it: built once per
+    session and data folder, in the shared folder."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _stored:
+        path = workspace(spark, "tiles")
+        bulk_load(fleet_tiles(spark, sf_dir), path)
+        _stored[key] = path
+    return read_base(spark, _stored[key])
+
+
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Centres of the device tiles of all orders: ``point_id, lat, lng``."""
     placed = place(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey")

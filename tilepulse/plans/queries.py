@@ -189,7 +189,7 @@ def device_key_counts(spark, sf_dir):
 def device_key_decode(spark, sf_dir):
     keyed = inputs.commands(spark, sf_dir).select(device_key().alias("device_key")).distinct()
     decoded = keyed.select("device_key", *parse_key(F.col("device_key")))
-    return decoded.join(shown(inputs.fleet_tiles(spark, sf_dir)), RECT)
+    return decoded.join(shown(inputs.stored_tiles(spark, sf_dir)), RECT)
 
 
 @query
@@ -220,7 +220,7 @@ def cover_area(spark, sf_dir):
 
 @query
 def neighbour_tiles(spark, sf_dir):
-    table = inputs.fleet_tiles(spark, sf_dir)
+    table = inputs.stored_tiles(spark, sf_dir)
     both = [
         tiles.neighbours(table, side).withColumn("direction", F.lit(side))
         for side in ("right", "below")
@@ -230,7 +230,7 @@ def neighbour_tiles(spark, sf_dir):
 
 @query
 def zoom_levels(spark, sf_dir):
-    used = summary.per_zoom(inputs.fleet_tiles(spark, sf_dir))
+    used = summary.per_zoom(inputs.stored_tiles(spark, sf_dir))
     return tiles.zoom_levels(spark).join(used, "zoom", "left")
 
 
@@ -256,13 +256,13 @@ def selection_traversal(spark, sf_dir):
 
 @query
 def viewport_tiles(spark, sf_dir):
-    return shown(viewport.viewport(inputs.fleet_tiles(spark, sf_dir), VIEW))
+    return shown(viewport.viewport(inputs.stored_tiles(spark, sf_dir), VIEW))
 
 
 @query
 def viewport_join(spark, sf_dir):
     found = viewport.viewports(
-        inputs.fleet_tiles(spark, sf_dir), supplier_areas(spark, sf_dir, 10)
+        inputs.stored_tiles(spark, sf_dir), supplier_areas(spark, sf_dir, 10)
     )
     return found.select(
         "area.area_id", "tile.zoom", "tile.row", "tile.col", *[f"tile.{c}" for c in COUNTS]
@@ -271,12 +271,12 @@ def viewport_join(spark, sf_dir):
 
 @query
 def non_empty_tiles(spark, sf_dir):
-    return shown(viewport.non_empty(inputs.fleet_tiles(spark, sf_dir)))
+    return shown(viewport.non_empty(inputs.stored_tiles(spark, sf_dir)))
 
 
 @query
 def tiles_or_lookup(spark, sf_dir):
-    return shown(viewport.lookup_tiles_or(inputs.fleet_tiles(spark, sf_dir), lookup_keys()))
+    return shown(viewport.lookup_tiles_or(inputs.stored_tiles(spark, sf_dir), lookup_keys()))
 
 
 @query
@@ -291,19 +291,19 @@ def only_devices(spark, sf_dir):
 @query
 def cover_semi_join(spark, sf_dir):
     cover = tiles.cover_area(supplier_areas(spark, sf_dir, 6))
-    return shown(joins.lookup_cover(inputs.fleet_tiles(spark, sf_dir), cover))
+    return shown(joins.lookup_cover(inputs.stored_tiles(spark, sf_dir), cover))
 
 
 @query
 def overlap_join(spark, sf_dir):
-    placed = grid.with_edges(inputs.fleet_tiles(spark, sf_dir)).select(*TILE, *RECT[1:])
+    placed = grid.with_edges(inputs.stored_tiles(spark, sf_dir)).select(*TILE, *RECT[1:])
     pairs = joins.overlap_join(supplier_areas(spark, sf_dir), placed, ("area", "tile"))
     return pairs.select("area.area_id", *[f"tile.{c}" for c in TILE])
 
 
 @query
 def contains_join(spark, sf_dir):
-    placed = grid.with_edges(inputs.fleet_tiles(spark, sf_dir)).select(*TILE, *RECT[1:])
+    placed = grid.with_edges(inputs.stored_tiles(spark, sf_dir)).select(*TILE, *RECT[1:])
     pairs = joins.contains_join(supplier_areas(spark, sf_dir), placed, ("area", "tile"))
     return pairs.select("area.area_id", *[f"tile.{c}" for c in TILE])
 
@@ -357,24 +357,24 @@ def tag_histogram(spark, sf_dir):
 
 @query
 def world_totals(spark, sf_dir):
-    return viewport.world_totals(inputs.fleet_tiles(spark, sf_dir))
+    return viewport.world_totals(inputs.stored_tiles(spark, sf_dir))
 
 
 @query
 def view_totals(spark, sf_dir):
-    return viewport.view_totals(inputs.fleet_tiles(spark, sf_dir), VIEW)
+    return viewport.view_totals(inputs.stored_tiles(spark, sf_dir), VIEW)
 
 
 @query
 def cell_counts(spark, sf_dir):
     cells = inputs.selections(spark, sf_dir, CELL_ZOOM).select("s_suppkey", *RECT)
-    in_view = viewport.viewport(inputs.fleet_tiles(spark, sf_dir), PAGE_VIEW)
+    in_view = viewport.viewport(inputs.stored_tiles(spark, sf_dir), PAGE_VIEW)
     return viewport.counts_in_cell(in_view, cells, "s_suppkey")
 
 
 @query
 def per_zoom_counts(spark, sf_dir):
-    return summary.per_zoom(inputs.fleet_tiles(spark, sf_dir))
+    return summary.per_zoom(inputs.stored_tiles(spark, sf_dir))
 
 
 @query
@@ -385,7 +385,7 @@ def fill_region(spark, sf_dir):
 
 @query
 def query_response(spark, sf_dir):
-    pages = viewport.query_response(inputs.fleet_tiles(spark, sf_dir), PAGE_VIEW)
+    pages = viewport.query_response(inputs.stored_tiles(spark, sf_dir), PAGE_VIEW)
     return pages.select(
         "page_row", "page_col", *COUNTS, F.inline_outer("region_summaries")
     ).toDF("page_row", "page_col", *COUNTS, *RECT, *["tile_" + c for c in COUNTS])
@@ -435,13 +435,13 @@ def activity_scale(spark, sf_dir):
 
 @query
 def mood_classes(spark, sf_dir):
-    classed = measures.with_mood(viewport.non_empty(inputs.fleet_tiles(spark, sf_dir)))
+    classed = measures.with_mood(viewport.non_empty(inputs.stored_tiles(spark, sf_dir)))
     return classed.groupBy("zoom", "mood").agg(F.count("*").alias("tile_total"))
 
 
 @query
 def tile_density(spark, sf_dir):
-    dense = measures.with_density(inputs.fleet_tiles(spark, sf_dir))
+    dense = measures.with_density(inputs.stored_tiles(spark, sf_dir))
     return dense.select(*TILE, "device_count", "fill_ratio", "partial")
 
 
@@ -459,7 +459,7 @@ def selection_cost(spark, sf_dir):
 @query
 def tiles_union_lookup(spark, sf_dir):
     keys = lookup_keys()
-    return shown(viewport.lookup_tiles_union(inputs.fleet_tiles(spark, sf_dir), [*keys, keys[0]]))
+    return shown(viewport.lookup_tiles_union(inputs.stored_tiles(spark, sf_dir), [*keys, keys[0]]))
 
 
 # Projections by offset

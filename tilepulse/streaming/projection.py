@@ -6,7 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamReader, StreamingQuery
 
-from ..functions.grid import MAX_ZOOM, MIN_SUMMARY_ZOOM, TILE
+from ..functions.grid import (
+    COUNTS,
+    MAX_ZOOM,
+    MIN_SUMMARY_ZOOM,
+    TILE,
+    centre_lat,
+    centre_lng,
+    on_map,
+)
 from ..operators.activity import step_deltas
 from ..operators.summary import summarize_all, sums, with_deltas
 from ..operators.tiles import assign_by_centre, climb
@@ -53,8 +61,8 @@ def run_projection(
 
 def stream_tile_counts(events: DataFrame) -> DataFrame:
     """Running counts per tile and zoom, kept in the state store (update mode)."""
-    placed = assign_by_centre(with_deltas(events), MAX_ZOOM).filter("row is not null")
-    counts = placed.select("row", "col", "device_count", "happy_count", "sad_count")
+    there = events.filter(on_map(centre_lat(), centre_lng()))
+    counts = assign_by_centre(with_deltas(there)).select("row", "col", *COUNTS)
     return climb(counts, MIN_SUMMARY_ZOOM, MAX_ZOOM).groupBy(*TILE).agg(*sums())
 
 
