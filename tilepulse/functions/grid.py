@@ -37,28 +37,30 @@ def n_cols(zoom: int) -> int:
     return COLS_BELOW_4[zoom] if zoom < 4 else 18 << (zoom - 3)
 
 
-def _per_zoom(zoom, value, cast: str) -> Column:
+def _per_zoom(zoom, value) -> Column:
     """``value(zoom)`` as a literal, or looked up for a column of zooms."""
     if isinstance(zoom, int):
-        return F.lit(value(zoom)).cast(cast)
-    listed = F.array(*[F.lit(value(z)).cast(cast) for z in range(MAX_ZOOM + 1)])
-    return F.get(listed, zoom)
+        return F.lit(value(zoom))
+    values = [value(z) for z in range(MAX_ZOOM + 1)]
+    suffix = "D" if isinstance(values[0], float) else ""
+    listed = ", ".join(f"{v!r}{suffix}" for v in values)
+    return F.get(F.expr(f"array({listed})"), zoom)
 
 
 def row_count(zoom) -> Column:
-    return _per_zoom(zoom, n_rows, "int")
+    return _per_zoom(zoom, n_rows)
 
 
 def col_count(zoom) -> Column:
-    return _per_zoom(zoom, n_cols, "int")
+    return _per_zoom(zoom, n_cols)
 
 
 def lat_size(zoom) -> Column:
-    return _per_zoom(zoom, lambda z: 180.0 / n_rows(z), "double")
+    return _per_zoom(zoom, lambda z: 180.0 / n_rows(z))
 
 
 def lng_size(zoom) -> Column:
-    return _per_zoom(zoom, lambda z: 360.0 / n_cols(z), "double")
+    return _per_zoom(zoom, lambda z: 360.0 / n_cols(z))
 
 
 def on_map(lat: Column, lng: Column) -> Column:
@@ -104,9 +106,11 @@ def edges(zoom, row: Column, col: Column) -> list[Column]:
     ]
 
 
-def with_edges(tiles, zoom="zoom"):
-    """Add the four edge columns to a table of ``(zoom, row, col)``."""
-    return tiles.select("*", *edges(F.col(zoom), F.col("row"), F.col("col")))
+def with_edges(tiles: DataFrame, zoom: int | None = None) -> DataFrame:
+    """Add the four edge columns to a table of ``(zoom, row, col)``, or to one
+    whose tiles all lie at a given zoom."""
+    level = F.col("zoom") if zoom is None else zoom
+    return tiles.select("*", *edges(level, F.col("row"), F.col("col")))
 
 
 def ancestor(index: Column, up) -> Column:

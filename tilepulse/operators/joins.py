@@ -13,6 +13,8 @@ Every join returns struct columns, named by the caller, one per side.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,9 +59,15 @@ def _with_home(df: DataFrame, name: str) -> DataFrame:
     return df.filter((extent > 0) & ~F.isnan(extent)).withColumn("home", home)
 
 
-def _levels(df: DataFrame) -> list[int]:
-    """Home levels in use; at most sixteen values."""
-    return sorted(row[0] for row in df.select("home").distinct().collect())
+def _census(df: DataFrame) -> dict[int, int]:
+    """Rectangles per home level in use: at most sixteen numbers."""
+    return dict(sorted(tuple(row) for row in df.groupBy("home").count().collect()))
+
+
+def _most_cells(census: dict[int, int]) -> int:
+    """Upper bound on the home cells of a side: 3 x 3 for a rectangle no larger
+    than a cell, the whole map at the coarsest level."""
+    return sum(n * (162 if zoom == MIN_SUMMARY_ZOOM else 9) for zoom, n in census.items())
 
 
 def _cells(df: DataFrame, name: str, zooms: Column) -> DataFrame:
@@ -76,18 +84,23 @@ def _cells(df: DataFrame, name: str, zooms: Column) -> DataFrame:
     )
 
 
-def _chosen(levels: list[int], test) -> Column:
+def _listed(levels: Iterable[int]) -> Column:
+    return F.array(*[F.lit(z) for z in levels]).cast("array<int>")
+
+
+def _chosen(levels: Iterable[int], test) -> Column:
     """Array of the levels that pass a test on a column."""
-    return F.filter(F.array(*[F.lit(z) for z in levels]), test)
+    return F.filter(_listed(levels), test)
 
 
-def _cell_join(few: DataFrame, many: DataFrame, max_rows: int, hot_rows: int) -> DataFrame:
-    """Broadcast the ``few`` side if it proves small, else a shuffled join with
-    hot cells spread over tasks."""
-    hinted = broadcast_if_small(few, max_rows)
-    if hinted is not few:
-        return many.join(hinted, CELL)
-    return salted_join(many, few, CELL, hot_rows)
+def _cell_join(
+    homes: DataFrame, visits: DataFrame, most: int, max_rows: int, hot_rows: int
+) -> DataFrame:
+    """Broadcast the home cells if at most ``max_rows`` can come of them, else a
+    shuffled join with hot cells spread over tasks."""
+    if most <= max_rows:
+        return visits.join(F.broadcast(homes), CELL)
+    return salted_join(visits, homes, CELL, hot_rows)
 
 
 def overlap_join(
@@ -106,19 +119,19 @@ def overlap_join(
     """
     left, right = names
     sides = (_with_home(_side(a, left), left), _with_home(_side(b, right), right))
-    levels = (_levels(sides[0]), _levels(sides[1]))
-    if not levels[0] or not levels[1]:
-        return sides[0].drop("home").join(sides[1].drop("home"), F.lit(False))
+    census = (_census(sides[0]), _census(sides[1]))
     home = F.array("home")
     a_home = _cell_join(
         _cells(sides[0], left, home),
-        _cells(sides[1], right, _chosen(levels[0], lambda z: z <= F.col("home"))),
+        _cells(sides[1], right, _chosen(census[0], lambda z: z <= F.col("home"))),
+        _most_cells(census[0]),
         broadcast_rows,
         hot_rows,
     )
     b_home = _cell_join(
         _cells(sides[1], right, home),
-        _cells(sides[0], left, _chosen(levels[1], lambda z: z < F.col("home"))),
+        _cells(sides[0], left, _chosen(census[1], lambda z: z < F.col("home"))),
+        _most_cells(census[1]),
         broadcast_rows,
         hot_rows,
     )
@@ -181,20 +194,18 @@ def _corner_join(regions, points, names, at, predicate, broadcast_rows, hot_rows
     region, point = names
     homed = _with_home(_side(regions, region), region)
     packed = _side(points, point)
-    levels = _levels(homed)
-    if not levels:
-        return homed.drop("home").join(packed, F.lit(False))
+    census = _census(homed)
     lat, lng = at
     zoom = F.col("cell_zoom")
     located = (
         packed.filter(~F.isnan(lat) & ~F.isnan(lng))
-        .withColumn("cell_zoom", F.explode(F.array(*[F.lit(z) for z in levels])))
+        .withColumn("cell_zoom", F.explode(_listed(census)))
         .withColumn("cell_row", _bin_row(lat, zoom))
         .withColumn("cell_col", _bin_col(lng, zoom))
     )
     filed = _cells(homed, region, F.array("home"))
     return (
-        _cell_join(filed, located, broadcast_rows, hot_rows)
+        _cell_join(filed, located, _most_cells(census), broadcast_rows, hot_rows)
         .filter(predicate)
         .select(region, point)
     )

@@ -45,15 +45,18 @@ def place_col(ident: Column) -> Column:
 
 def place(df: DataFrame, ident: str, zoom: int | Column = MAX_ZOOM) -> DataFrame:
     """Add ``zoom, row, col`` and the four edges of the id's tile."""
-    level = F.lit(zoom) if isinstance(zoom, int) else zoom
     key = F.col(ident).cast("bigint")
-    up = (F.lit(MAX_ZOOM) - F.col("zoom")).cast("int")
-    placed = df.withColumn("zoom", level.cast("int")).select(
+    if isinstance(zoom, int):
+        level, up = F.lit(zoom), MAX_ZOOM - zoom
+    else:
+        level = zoom.cast("int")
+        up = F.lit(MAX_ZOOM) - F.col("zoom")
+    placed = df.withColumn("zoom", level).select(
         "*",
         grid.ancestor(place_row(key), up).alias("row"),
         grid.ancestor(place_col(key), up).alias("col"),
     )
-    return grid.with_edges(placed)
+    return grid.with_edges(placed, zoom if isinstance(zoom, int) else None)
 
 
 def commands(spark: SparkSession, sf_dir: str) -> DataFrame:
