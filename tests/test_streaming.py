@@ -14,7 +14,7 @@ from tilepulse.operators import activity, lifecycle, summary
 from tilepulse.plans import inputs
 from tilepulse.sources import store
 from tilepulse.streaming import devices, projection
-from tilepulse.streaming.workspace import workspace
+from tilepulse.sources.workspace import workspace
 
 
 def test_vectorised_transitions_equal_the_fold():

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.grid import COUNTS
+from ..sources.workspace import written
 from .summary import sums, with_deltas
 
 # Fixed value: samples the monitor keeps.
@@ -25,14 +26,16 @@ def activity(events: DataFrame, step_seconds: int = 1, keep: int = KEEP) -> Data
     """The newest ``keep`` samples: totals at the end of each step and the change
     since the sample before; the very first sample of a history changes nothing.
     """
-    return recent_samples(step_deltas(events, step_seconds), step_seconds, keep)
+    steps = written(step_deltas(events, step_seconds), "steps")
+    return recent_samples(steps, step_seconds, keep)
 
 
 def recent_samples(steps: DataFrame, step_seconds: int, keep: int = KEEP) -> DataFrame:
     """Samples from per-step changes. Steps without events are sampled too.
 
     All older steps are first summed into one row, so the window that runs over
-    all rows sees ``keep + 1`` of them at most.
+    all rows sees ``keep + 1`` of them at most. ``steps`` is gone through three
+    times and should be a table.
     """
     newest = steps.agg(F.max("step").alias("newest"), F.min("step").alias("oldest"))
     last = newest.select("newest").scalar()

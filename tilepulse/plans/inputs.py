@@ -14,7 +14,7 @@ from ..functions.grid import MAX_ZOOM, RECT
 from ..operators.lifecycle import derive_events
 from ..operators.summary import summarize_all
 from ..sources.store import bulk_load, read_base
-from ..streaming.workspace import workspace
+from ..sources.workspace import workspace
 
 # Event type in the events table -> device action.
 ACTION_OF = {

@@ -14,7 +14,7 @@ from ..operators import activity, joins, lifecycle, summary, tiles, viewport
 from ..operators.viewport import Area
 from ..sources import journal, store, telemetry
 from ..streaming import devices, projection
-from ..streaming.workspace import workspace
+from ..sources.workspace import workspace
 from . import inputs
 
 Query = Callable[[SparkSession, str], DataFrame]
