@@ -2,7 +2,6 @@ import datetime
 import random
 import time
 
-import numpy as np
 import pytest
 from models import fold
 from pyspark.sql import functions as F
@@ -17,17 +16,15 @@ from tilepulse.streaming import devices, projection
 from tilepulse.sources.workspace import workspace
 
 
-def test_vectorised_transitions_equal_the_fold():
+def test_commands_of_one_micro_batch_equal_the_fold():
     rng = random.Random(6)
     for _ in range(200):
         start = rng.choice("IHS")
         actions = [rng.choice(ACTIONS) for _ in range(rng.randrange(1, 12))]
-        before, end = devices.transitions(np.array(actions, dtype=object), start)
+        found, end = devices.apply_commands(start, actions)
         events, states = fold(((i, 0, a) for i, a in enumerate(actions)), start)
         assert end == states[0]
-        pairs = zip(before, actions)
-        got = [(i, lifecycle.EVENTS[p]) for i, p in enumerate(pairs) if p in lifecycle.EVENTS]
-        assert got == events
+        assert [(i, event) for i, event in enumerate(found) if event] == events
 
 
 def write_parts(spark, triples, path, parts):

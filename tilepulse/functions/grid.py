@@ -25,6 +25,8 @@ ROWS_BELOW_4 = (1, 1, 3, 9)
 COLS_BELOW_4 = (1, 2, 6, 18)
 
 RECT = ["zoom", "top_left_lat", "top_left_lng", "bot_right_lat", "bot_right_lng"]
+# The same as a key to sort by: first what tells devices apart.
+DEVICE = [*RECT[1:], "zoom"]
 TILE = ["zoom", "row", "col"]
 COUNTS = ["device_count", "happy_count", "sad_count"]
 

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
-from ..functions.grid import RECT
+from ..functions.grid import DEVICE, RECT
 from .skew import CHUNK_ROWS, split_points, with_chunk
 
 ORDER = ["ts", "event_id"]
@@ -91,9 +91,9 @@ def device_history(cmds: DataFrame, chunk_rows: int | None = CHUNK_ROWS) -> Data
     """
     splits = None if chunk_rows is None else split_points(cmds, RECT, ORDER, chunk_rows)
     if splits is None:
-        keys, started = RECT, cmds.withColumn("start", F.lit("I"))
+        keys, started = DEVICE, cmds.withColumn("start", F.lit("I"))
     else:
-        keys, chunked = [*RECT, "chunk"], with_chunk(cmds, RECT, ORDER, splits)
+        keys, chunked = [*DEVICE, "chunk"], with_chunk(cmds, RECT, ORDER, splits)
         starts = F.broadcast(_chunk_starts(chunked, splits))  # one row per chunk of a hot device
         started = chunked.join(starts, keys, "left").fillna("I", ["start"])
 
@@ -116,7 +116,7 @@ def device_history(cmds: DataFrame, chunk_rows: int | None = CHUNK_ROWS) -> Data
 
 def _chunk_starts(chunked: DataFrame, splits: DataFrame) -> DataFrame:
     """State in which each chunk of a hot device begins."""
-    known = F.last("activity", ignorenulls=True).over(_before([*RECT, "chunk"]))
+    known = F.last("activity", ignorenulls=True).over(_before([*DEVICE, "chunk"]))
     here = F.struct(*ORDER)
 
     def final(column: str) -> Column:

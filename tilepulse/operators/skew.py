@@ -13,8 +13,8 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 MAX_SPLITS = 50_000
-CHUNK_ROWS = 2_000_000
-SAMPLE_ROWS = 4_000_000
+CHUNK_ROWS = 4_000_000
+SAMPLES_PER_CHUNK = 256
 BROADCAST_ROWS = 100_000
 
 
@@ -27,8 +27,9 @@ def split_points(
     df: DataFrame, keys: list[str], order: list[str], chunk_rows: int = CHUNK_ROWS
 ) -> DataFrame | None:
     """Where to cut the ordered rows of hot keys so that each piece holds about
-    ``chunk_rows``: one row per hot key with a sorted array ``cuts``. None if the
-    whole input is no larger than one piece.
+    ``chunk_rows``: one row per hot key with a sorted array ``cuts`` and the
+    ``steps`` of a binary search in it. None if the whole input is no larger than
+    one piece, or no key is.
 
     The cuts come from a sample picked by a hash of the order columns. They only
     balance the work: any cuts give the same answer.
@@ -37,22 +38,28 @@ def split_points(
     if total <= chunk_rows:
         return None
     chunk_rows = max(chunk_rows, -(-total // MAX_SPLITS))
-    one_in = max(1, min(total // SAMPLE_ROWS, chunk_rows // 100))
+    one_in = max(1, chunk_rows // SAMPLES_PER_CHUNK)
     step = max(1, chunk_rows // one_in)
     sample = df.select(*keys, *order)
     if one_in > 1:
         sample = sample.filter(F.pmod(F.xxhash64(*order), F.lit(one_in)) == 0)
     nth = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    cuts = (
+    cuts = F.sort_array(F.collect_list(F.struct(*order)))
+    halvings = F.sequence(F.floor(F.log2(F.size("cuts"))).cast("int"), F.lit(0))
+    found = (
         sample.withColumn("nth", nth)
         .filter(F.col("nth") % step == 0)
         .groupBy(*keys)
-        .agg(F.sort_array(F.collect_list(F.struct(*order))).alias("cuts"))
+        .agg(cuts.alias("cuts"))
+        .withColumn(
+            "steps",
+            F.transform(halvings, lambda bit: F.call_function("shiftleft", F.lit(1), bit)),
+        )
     )
     # At most total / chunk_rows cuts. Kept as a literal table, so every use of
     # it in a plan, and every retry of a task, sees the same cuts.
-    rows = cuts.collect()
-    return df.sparkSession.createDataFrame(rows, cuts.schema) if rows else None
+    rows = found.collect()
+    return df.sparkSession.createDataFrame(rows, found.schema) if rows else None
 
 
 def with_chunk(
@@ -62,7 +69,6 @@ def with_chunk(
     if splits is None:
         return df.withColumn("chunk", F.lit(0))
     here = F.struct(*order)
-    steps = F.array(*[F.lit(1 << bit) for bit in reversed(range(MAX_SPLITS.bit_length()))])
 
     def advance(pos: Column, step: Column) -> Column:
         nxt = pos + step
@@ -70,9 +76,10 @@ def with_chunk(
             (nxt <= F.size("cuts")) & (F.get(F.col("cuts"), nxt - 1) <= here), nxt
         ).otherwise(pos)
 
-    found = F.aggregate(steps, F.lit(0), advance)
+    found = F.aggregate("steps", F.lit(0), advance)
     chunk = F.when(F.col("cuts").isNull(), 0).otherwise(found)
-    return df.join(F.broadcast(splits), keys, "left").withColumn("chunk", chunk).drop("cuts")
+    marked = df.join(F.broadcast(splits), keys, "left").withColumn("chunk", chunk)
+    return marked.drop("cuts", "steps")
 
 
 def salted_join(

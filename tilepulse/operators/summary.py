@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import grid
 from ..functions.grid import COUNTS, MAX_ZOOM, MIN_SUMMARY_ZOOM, TILE
 from ..functions.keys import device_key, shard_of, tag_of
-from .tiles import assign_by_centre, climb
+from .tiles import assign_by_centre, climb, unroll
 
 # Event -> change of device, happy and sad count.
 DELTAS = {
@@ -132,28 +132,28 @@ def fill_region(tiles: DataFrame) -> DataFrame:
     be made and summed: only the ancestors are aggregated.
     """
     distinct = tiles.select(*TILE).distinct()
-    above = distinct.select(
-        F.explode(F.sequence(F.lit(MIN_SUMMARY_ZOOM), F.col("zoom"))).alias("up_zoom"),
-        "*",
-    ).select(
-        *TILE,
-        "up_zoom",
-        grid.ancestor(F.col("row"), F.col("zoom") - F.col("up_zoom")).alias("up_row"),
-        grid.ancestor(F.col("col"), F.col("zoom") - F.col("up_zoom")).alias("up_col"),
+    zoom, up_zoom = F.col("zoom"), F.col("up_zoom")
+    levels = F.explode(F.sequence(F.lit(MIN_SUMMARY_ZOOM), F.lit(MAX_ZOOM - 1)))
+    above = (
+        distinct.withColumn("up_zoom", levels)
+        .filter(up_zoom < zoom)
+        .select(
+            *TILE,
+            "up_zoom",
+            grid.ancestor(F.col("row"), zoom - up_zoom).alias("up_row"),
+            grid.ancestor(F.col("col"), zoom - up_zoom).alias("up_col"),
+        )
     )
     ups = [F.col(f"up_{name}").alias(name) for name in TILE]
-    nested = (
-        above.filter(F.col("up_zoom") < F.col("zoom"))
-        .join(distinct.select(*[F.col(c).alias("up_" + c) for c in TILE]), ["up_" + c for c in TILE])
-        .select(*TILE)
-    )
+    up_tile = ["up_" + c for c in TILE]
+    chosen = distinct.select(*[F.col(c).alias("up_" + c) for c in TILE])
+    nested = above.join(chosen, up_tile, "left_semi").select(*TILE)
     roots = distinct.join(nested, TILE, "left_anti")
     full = F.call_function(
         "shiftleft", F.lit(1).cast("bigint"), ((F.lit(MAX_ZOOM) - F.col("zoom")) * 2).cast("int")
     )
     ancestors = (
         above.join(nested, TILE, "left_anti")
-        .filter(F.col("up_zoom") < F.col("zoom"))
         .select(*ups, full.alias("devices"))
         .groupBy(*TILE)
         .agg(F.sum("devices").alias("devices"))
@@ -168,24 +168,22 @@ def fill_region(tiles: DataFrame) -> DataFrame:
 
 
 def _descendants(roots: DataFrame) -> DataFrame:
-    """The tiles themselves and everything below them, level by zoom: rows, a
-    shuffle to spread them, then columns."""
-    depth = F.col("zoom") - F.col("root_zoom")
-
-    def line(first: str) -> Column:
-        lo = F.call_function("shiftleft", F.col(first), depth)
-        hi = lo + F.call_function("shiftleft", F.lit(1), depth) - 1
-        return F.explode(F.sequence(lo, hi))
-
-    return (
-        roots.select(
-            F.col("zoom").alias("root_zoom"),
-            F.col("row").alias("root_row"),
-            F.col("col").alias("root_col"),
-            F.explode(F.sequence(F.col("zoom"), F.lit(MAX_ZOOM))).alias("zoom"),
+    """The tiles themselves and everything below them, zoom by zoom."""
+    levels = F.explode(F.sequence(F.lit(MIN_SUMMARY_ZOOM), F.lit(MAX_ZOOM)))
+
+    def first(index: str, offset: int) -> Column:
+        depth = F.col("zoom") - F.col("root_zoom")
+        return F.call_function("shiftleft", F.col(index) + offset, depth)
+
+    return unroll(
+        roots.withColumnsRenamed({"zoom": "root_zoom", "row": "root_row", "col": "root_col"})
+        .withColumn("zoom", levels)
+        .filter(F.col("zoom") >= F.col("root_zoom"))
+        .select(
+            "zoom",
+            first("root_row", 0).alias("r0"),
+            (first("root_row", 1) - 1).alias("r1"),
+            first("root_col", 0).alias("c0"),
+            (first("root_col", 1) - 1).alias("c1"),
         )
-        .withColumn("row", line("root_row"))
-        .repartition("zoom", "row", "root_col")
-        .withColumn("col", line("root_col"))
-        .select(*TILE)
     )

@@ -56,75 +56,84 @@ def only_devices(df: DataFrame) -> DataFrame:
     return df.filter(F.col("zoom") == MAX_ZOOM)
 
 
+def unroll(ranges: DataFrame) -> DataFrame:
+    """Every ``(row, col)`` of the ranges ``r0..r1`` and ``c0..c1``, which may be
+    empty. Rows come first, then an even shuffle, then columns: one large
+    rectangle is thus worked on by many tasks, and no row holds more than a line
+    of it. The partition count is given, as a count chosen by the size of the
+    few narrow rows in between would be far too low.
+    """
+
+    def line(first: str, last: str) -> Column:
+        return F.explode(F.when(F.col(first) <= F.col(last), F.sequence(first, last)))
+
+    partitions = int(ranges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (
+        ranges.withColumn("row", line("r0", "r1"))
+        .drop("r0", "r1")
+        .repartition(partitions)
+        .withColumn("col", line("c0", "c1"))
+        .drop("c0", "c1")
+    )
+
+
+def _below(tiles: DataFrame, down: Column, across: Column) -> DataFrame:
+    """Replace each tile by the range it covers on a grid finer by two factors."""
+    row, col = F.col("row"), F.col("col")
+    ranges = {
+        "r0": row * down,
+        "r1": row * down + down - 1,
+        "c0": col * across,
+        "c1": col * across + across - 1,
+    }
+    return tiles.withColumns({k: v.cast("int") for k, v in ranges.items()}).drop("row", "col")
+
+
 def expand_children(tiles: DataFrame) -> DataFrame:
     """Each tile's children one zoom down: 2 at zoom 0, 9 at zooms 1 and 2, 4
     from there on, none at zoom 18. Other columns are carried along."""
-    carried = [c for c in tiles.columns if c not in grid.TILE]
     zoom = F.col("zoom")
     down = F.when(zoom == 0, 1).when(zoom < 3, 3).otherwise(2)
     across = F.when(zoom == 0, 2).when(zoom < 3, 3).otherwise(2)
+    parents = _below(tiles.filter(zoom < MAX_ZOOM), down, across)
     return (
-        tiles.filter(zoom < MAX_ZOOM)
-        .select(*carried, "zoom", "row", F.col("col"), _span(F.col("row"), down, "child_row"))
-        .select(*carried, "zoom", "child_row", _span(F.col("col"), across, "child_col"))
-        .select(
-            *carried,
-            (zoom + 1).alias("zoom"),
-            F.col("child_row").alias("row"),
-            F.col("child_col").alias("col"),
-        )
+        parents.withColumn("row", F.explode(F.sequence("r0", "r1")))
+        .withColumn("col", F.explode(F.sequence("c0", "c1")))
+        .withColumn("zoom", zoom + 1)
+        .drop("r0", "r1", "c0", "c1")
     )
 
 
-def _span(index: Column, factor: Column, name: str) -> Column:
-    first = (index * factor).cast("int")
-    return F.explode(F.sequence(first, (first + factor - 1).cast("int"))).alias(name)
-
-
 def expand_to_devices(tiles: DataFrame) -> DataFrame:
-    """Each tile to all its zoom-18 tiles, in two steps: rows first, then a
-    shuffle that spreads those rows, then columns. One coarse tile is thus
-    worked on by many tasks and no row holds more than one line of columns."""
-    carried = [c for c in tiles.columns if c not in grid.TILE]
+    """Each tile to all its zoom-18 tiles. Other columns are carried along."""
     zoom = F.col("zoom")
-    down = F.lit(grid.n_rows(MAX_ZOOM)) / grid.row_count(zoom)
-    across = F.lit(grid.n_cols(MAX_ZOOM)) / grid.col_count(zoom)
-    return (
-        tiles.select(*carried, "zoom", "col", _span(F.col("row"), down.cast("int"), "row"))
-        .repartition("row", "col")
-        .select(
-            *carried,
-            F.lit(MAX_ZOOM).alias("zoom"),
-            "row",
-            _span(F.col("col"), across.cast("int"), "col"),
-        )
-    )
+    down = (F.lit(grid.n_rows(MAX_ZOOM)) / grid.row_count(zoom)).cast("int")
+    across = (F.lit(grid.n_cols(MAX_ZOOM)) / grid.col_count(zoom)).cast("int")
+    devices = unroll(_below(tiles, down, across).drop("zoom"))
+    return devices.withColumn("zoom", F.lit(MAX_ZOOM))
 
 
 def cover_area(areas: DataFrame, zoom: int | None = None) -> DataFrame:
     """Every tile whose interior meets the area, at the area's own zoom or a
     given one, as ``tile_zoom, row, col`` next to the area's columns."""
-    return _cover(areas.withColumn("tile_zoom", F.col("zoom") if zoom is None else F.lit(zoom)))
-
+    level = F.col("zoom") if zoom is None else F.lit(zoom)
+    return unroll(grid.with_cover(areas.withColumn("tile_zoom", level), F.col("tile_zoom")))
 
-def _cover(areas: DataFrame) -> DataFrame:
-    def line(first: str, last: str) -> Column:  # no array, hence no row, if empty
-        return F.explode(F.when(F.col(first) <= F.col(last), F.sequence(first, last)))
 
-    return (
-        grid.with_cover(areas, F.col("tile_zoom"))
-        .withColumn("row", line("r0", "r1"))
-        .repartition(*[F.col(name) for name in RECT if name in areas.columns], F.col("row"))
-        .withColumn("col", line("c0", "c1"))
-        .drop("r0", "r1", "c0", "c1")
-    )
+def selection_commands(selections: DataFrame, order: str) -> DataFrame:
+    """An area action as commands to every device in the area: the selected tiles
+    (``zoom, row, col``) expanded, each device's command carrying the action and
+    the value of the selection's ``order`` column as ``event_id``."""
+    chosen = selections.select("action", F.col(order).cast("bigint").alias("event_id"), *grid.TILE)
+    return grid.with_edges(expand_to_devices(chosen), MAX_ZOOM).select("event_id", "action", *RECT)
 
 
 def traverse_selection(selections: DataFrame, zooms: Iterable[int]) -> DataFrame:
     """Per selection and zoom: the tiles it meets, whether it takes them whole
     (``full``) or not (``partial``), and the selection trimmed to the tile."""
     levels = F.explode(F.array(*[F.lit(z) for z in zooms]))
-    tiles = _cover(selections.withColumn("tile_zoom", levels))
+    levelled = selections.withColumn("tile_zoom", levels)
+    tiles = unroll(grid.with_cover(levelled, F.col("tile_zoom")))
     top, left, bot, right = grid.edges(F.col("tile_zoom"), F.col("row"), F.col("col"))
     full = (
         (F.col("top_left_lat") >= top)

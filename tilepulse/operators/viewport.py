@@ -27,6 +27,11 @@ class Area(NamedTuple):
     bot_right_lng: float
 
 
+def map_area(map_zoom: int, top: float, left: float, bot: float, right: float) -> Area:
+    """What a map at some zoom asks for: tiles two levels finer than it shows."""
+    return Area(min(grid.MAX_ZOOM, map_zoom + 2), top, left, bot, right)
+
+
 def non_empty(tiles: DataFrame) -> DataFrame:
     """Upserts never delete: a tile whose devices are gone stays, at zero."""
     return tiles.filter("device_count > 0")

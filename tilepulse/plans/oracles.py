@@ -277,6 +277,10 @@ SELECT event_id, CASE reject_reason
     "selection_scan": f"""WITH s AS ({_at_zoom("13")})
 SELECT s_suppkey, ['create', 'delete', 'happy', 'sad'][1 + s_suppkey % 4] AS action,
   (100 * (1 + s_suppkey % 10))::INT AS rate, zoom, {_edges()} FROM s""",
+    "selection_acks": f"""WITH s AS ({_at_zoom("13")})
+SELECT s_suppkey, 'Accepted' AS message, 200 AS http_status_code,
+  ['create', 'delete', 'happy', 'sad'][1 + s_suppkey % 4] AS action,
+  (100 * (1 + s_suppkey % 10))::INT AS rate, -18e1 + (c + 1) * (2e1 / 1024) AS bot_right_lng FROM s""",
     "event_journal": f"""WITH {JOURNAL}
 SELECT ordering, persistence_id, sequence_number, write_timestamp, event_type, tag FROM journal""",
     "events_by_tag": f"""WITH {JOURNAL} SELECT ordering, persistence_id, event_type FROM journal
@@ -306,6 +310,11 @@ FROM s, range(0, 2) a(i), range(0, 2) b(j) WHERE zoom < 18""",
     "expand_to_devices": f"""WITH s AS ({_at_zoom("14")})
 SELECT s_suppkey, 18 AS zoom, (r * 16 + i)::INT AS "row", (c * 16 + j)::INT AS "col"
 FROM s, range(0, 16) a(i), range(0, 16) b(j)""",
+    "selection_commands": f"""WITH s AS ({_at_zoom("14")}), cmds AS (
+  SELECT s_suppkey AS event_id, s_suppkey AS ts, (r * 16 + i) * 589824 + c * 16 + j AS dev,
+    ['create', 'delete', 'happy', 'sad'][1 + s_suppkey % 4] AS action
+  FROM s, range(0, 16) a(i), range(0, 16) b(j)),
+{_life("cmds").replace(_ROW18, "dev // 589824").replace(_COL18, "dev % 589824")}, {_tiles()} {_shown()}""",
     "cover_area": f"""WITH {AREAS}, {_grid_lines(8)},
 grid_areas AS (SELECT * FROM ({_areas(q.GRID_HEIGHT, q.GRID_WIDTH, 8).removeprefix("areas AS ")})),
 mid AS (

@@ -31,6 +31,8 @@ TAG = "3"
 TAG_OFFSET = 100
 SHARDS = 2
 STEP_SECONDS = 3600
+# Files of commands in one micro-batch: the bound on what one device's group holds.
+STREAM_FILES = 64
 HALF_HEIGHT, HALF_WIDTH = 1.3, 2.1
 GRID_HEIGHT, GRID_WIDTH = 1.25, 2.5
 
@@ -100,6 +102,20 @@ def selection_scan(spark, sf_dir):
     return telemetry.parse_selections(text)
 
 
+@query
+def selection_acks(spark, sf_dir):
+    chosen = inputs.selections(spark, sf_dir).select("s_suppkey", "action", "rate", *RECT)
+    acks = telemetry.acknowledge_selections(chosen)
+    return acks.select(
+        "s_suppkey",
+        "message",
+        "http_status_code",
+        F.col("selection_request.action").alias("action"),
+        F.col("selection_request.rate").alias("rate"),
+        F.col("selection_request.botRightLng").alias("bot_right_lng"),
+    )
+
+
 @query
 def event_journal(spark, sf_dir):
     path = workspace(spark, "journal")
@@ -204,6 +220,14 @@ def expand_to_devices(spark, sf_dir):
     return tiles.expand_to_devices(chosen)
 
 
+@query
+def selection_commands(spark, sf_dir):
+    """From area actions to counts: expanded, run per device, summed per tile."""
+    cmds = tiles.selection_commands(inputs.selections(spark, sf_dir, 14), "s_suppkey")
+    timed = cmds.withColumn("ts", F.timestamp_seconds("event_id"))
+    return shown(summary.summarize_all(lifecycle.derive_events(timed)))
+
+
 @query
 def cover_area(spark, sf_dir):
     off_grid = supplier_areas(spark, sf_dir).withColumn("aligned", F.lit(False))
@@ -507,7 +531,7 @@ def _streamed_commands(spark, sf_dir) -> DataFrame:
     source = f"{sf_dir}/events.parquet"
     schema = spark.read.parquet(source).schema
     # A glob reaches the table whether it is one file or a folder of files.
-    reader = projection.group_within(spark.readStream.schema(schema), 1000)
+    reader = projection.group_within(spark.readStream.schema(schema), STREAM_FILES)
     events = reader.parquet(f"{sf_dir}/event[s].parquet")
     return inputs.as_commands(events.withColumn("ts", F.col("ts").cast("timestamp")))
 

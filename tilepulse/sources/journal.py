@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.grid import COUNTS, RECT
+from ..functions.grid import COUNTS, DEVICE, RECT
 from ..functions.keys import device_key, tag_of
 from ..operators.skew import CHUNK_ROWS, broadcast_if_small, split_points, with_chunk
 from ..operators.summary import with_deltas
@@ -25,7 +25,7 @@ def journal_rows(
     """
     splits = None if chunk_rows is None else split_points(events, RECT, ORDER, chunk_rows)
     chunked = with_chunk(events, RECT, ORDER, splits)
-    number = F.row_number().over(Window.partitionBy(*RECT, "chunk").orderBy(*ORDER))
+    number = F.row_number().over(Window.partitionBy(*DEVICE, "chunk").orderBy(*ORDER))
     numbered = chunked.withColumn("sequence_number", number.cast("bigint"))
     if splits is not None:
         earlier = Window.partitionBy(*RECT).orderBy("chunk")

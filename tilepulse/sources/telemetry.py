@@ -116,11 +116,28 @@ def acknowledge(df: DataFrame) -> DataFrame:
     for name, (text, code) in REJECTIONS.items():
         shown = F.format_string(text, "action") if "%s" in text else F.lit(text)
         message, status = message.when(reason == name, shown), status.when(reason == name, code)
-    request = F.struct(*[F.col(c).alias(JSON_NAMES.get(c, c)) for c in ["action", *RECT]])
-    kept = [c for c in df.columns if c not in ("action", *RECT)]
+    return _answer(
+        df,
+        ["action", *RECT],
+        message.otherwise(ACCEPTED[0]),
+        status.otherwise(ACCEPTED[1]),
+        "telemetry_request",
+    )
+
+
+def acknowledge_selections(df: DataFrame) -> DataFrame:
+    """One answer per area action: accepted at once, before it is carried out."""
+    message, status = [F.lit(value) for value in ACCEPTED]
+    return _answer(df, ["action", "rate", *RECT], message, status, "selection_request")
+
+
+def _answer(
+    df: DataFrame, fields: list[str], message: Column, status: Column, name: str
+) -> DataFrame:
+    kept = [c for c in df.columns if c not in fields]
     return df.select(
         *kept,
-        message.otherwise(ACCEPTED[0]).alias("message"),
-        status.otherwise(ACCEPTED[1]).alias("http_status_code"),
-        request.alias("telemetry_request"),
+        message.alias("message"),
+        status.alias("http_status_code"),
+        F.struct(*[F.col(c).alias(JSON_NAMES.get(c, c)) for c in fields]).alias(name),
     )

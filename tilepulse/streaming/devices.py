@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -11,43 +11,36 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.grid import RECT
-from ..operators.lifecycle import EVENTS, ORDER
+from ..operators.lifecycle import EVENTS, ORDER, STATE_AFTER
+from ..sources.telemetry import ACTIONS
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def _filled(values: np.ndarray, known: np.ndarray, start) -> np.ndarray:
-    """Each position's latest known value, or ``start`` before the first."""
-    at = np.maximum.accumulate(np.where(known, np.arange(len(values)), -1))
-    return np.where(at < 0, start, values[at])
-
-
-def _before(after: np.ndarray, start) -> np.ndarray:
-    return np.concatenate([[start], after[:-1]])
-
-
-def transitions(action: np.ndarray, start: str) -> tuple[np.ndarray, str]:
-    """State before each of a device's commands, and after the last one."""
-    starts = np.isin(action, ["create", "ping"])
-    active = _filled(starts, starts | (action == "delete"), start != "I")
-    was_active = _before(active, start != "I")
-    happy = np.where(was_active, action == "happy", starts)
-    sad = was_active & (action == "sad")
-    mood = _filled(np.where(happy, "H", "S"), happy | sad, start)
-    state = np.where(active, mood, "I")
-    return _before(state, start), str(state[-1])
+def apply_commands(state: str, actions: Iterable[str]) -> tuple[list[str | None], str]:
+    """The event of each of a device's commands, and the state after the last."""
+    events = []
+    for action in actions:
+        event = EVENTS.get((state, action))
+        state = STATE_AFTER.get(event, state)
+        events.append(event)
+    return events, state
 
 
 def _step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """A device's commands of one micro-batch, in order, on top of its state."""
-    cmds = pd.concat(list(batches)).sort_values(ORDER, kind="stable").reset_index(drop=True)
+    parts = [[part[c].to_numpy() for c in [*ORDER, "code"]] for part in batches]
+    ts, ident, code = [np.concatenate(column) for column in zip(*parts)]
+    order = np.lexsort((ident, ts))
     start = state.get[0] if state.exists else "I"
-    before, after = transitions(cmds["action"].to_numpy(dtype=object), start)
+    events, after = apply_commands(start, (ACTIONS[c] for c in code[order]))
     if after != start or not state.exists:
         state.update((after,))
-    event = [EVENTS.get(pair) for pair in zip(before, cmds["action"])]
-    changed = cmds.assign(event_type=event).dropna(subset=["event_type"])
-    yield changed[[*ORDER, *RECT, "event_type"]]
+    changed = [i for i, event in enumerate(events) if event]
+    if changed:
+        kept = order[changed]
+        columns = {"ts": ts[kept], "event_id": ident[kept], **dict(zip(RECT, key))}
+        yield pd.DataFrame(columns | {"event_type": [events[i] for i in changed]})
 
 
 def stream_device_events(cmds: DataFrame) -> DataFrame:
@@ -60,10 +53,13 @@ def stream_device_events(cmds: DataFrame) -> DataFrame:
     (``maxFilesPerTrigger``, ``maxOffsetsPerTrigger``). On a cluster, keep state
     in RocksDB (``spark.sql.streaming.stateStore.providerClass``).
     """
+    # A small number instead of a text: less to shuffle and to hold.
+    code = F.array_position(F.array(*[F.lit(a) for a in ACTIONS]), F.col("action")) - 1
+    known = cmds.filter(F.col("action").isin(ACTIONS))
     fields = {f.name: f.dataType.simpleString() for f in cmds.schema}
     columns = [f"{c} {fields[c]}" for c in [*ORDER, *RECT]]
     return (
-        cmds.select(*ORDER, *RECT, "action")
+        known.select(*ORDER, *RECT, code.cast("tinyint").alias("code"))
         .groupBy(*RECT)
         .applyInPandasWithState(
             _step,
