@@ -61,8 +61,9 @@ def activated_tile(zoom: int):
     def run(spark: SparkSession, _: str) -> DataFrame:
         point = spark.createDataFrame([(48.85, 2.35)], "lat double, lng double")
         devices = tiles.expand_to_devices(tiles.assign_tile(point, zoom=zoom).drop("lat", "lng"))
-        return summary.roll_up(devices.selectExpr("row", "col", "1L as device_count",
-                                                  "1L as happy_count", "0L as sad_count"))
+        events = devices.selectExpr("zoom", "row", "col", "'DeviceActivated' as event_type")
+        counted = summary.with_deltas(events).groupBy("row", "col").agg(*summary.sums())
+        return summary.roll_up(counted)
 
     return run
 
@@ -110,7 +111,7 @@ def main() -> None:
                 "value": total,
                 "unit": "sec",
                 "queries": times,
-                "sf": Path(SF_DIR).name.removeprefix("sf"),
+                "sf": float(Path(SF_DIR).name.removeprefix("sf")),
             }
         )
     )

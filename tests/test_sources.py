@@ -36,6 +36,7 @@ REQUESTS = [
     (request(topLeftLat=99.0, botRightLat=91.0), "off_map"),
     (request(topLeftLat=99.0, botRightLat=80.0), None),
     ({"action": "create"}, "lat_order"),
+    ({k: v for k, v in request().items() if k != "topLeftLng"}, None),  # taken as zero
     ("{not json", "malformed"),
 ]
 
@@ -51,7 +52,7 @@ def test_telemetry_is_read_and_sorted_into_good_and_rejected(spark, request_file
     good, rejected = telemetry.validate_telemetry(telemetry.read_telemetry(spark, request_file))
     reasons = sorted(r.reject_reason for r in rejected.collect())
     assert reasons == sorted(reason for _, reason in REQUESTS if reason)
-    assert good.count() == 3 and good.columns == ["action", *lifecycle.RECT]
+    assert good.count() == 4 and good.columns == ["action", *lifecycle.RECT]
 
 
 def test_telemetry_from_a_text_column_and_as_a_stream(spark, request_file, tmp_path_factory):
@@ -67,7 +68,7 @@ def test_telemetry_from_a_text_column_and_as_a_stream(spark, request_file, tmp_p
 
 def test_acknowledgements(spark, request_file):
     acks = telemetry.acknowledge(telemetry.read_telemetry(spark, request_file)).collect()
-    assert sorted(a.http_status_code for a in acks) == [200] * 3 + [400] * 7 + [500] * 2
+    assert sorted(a.http_status_code for a in acks) == [200] * 4 + [400] * 7 + [500] * 2
     wrong = [a for a in acks if a.telemetry_request.action == "Create"][0]
     assert wrong.message.startswith("Action 'Create' illegal")
     assert {a.message for a in acks if a.http_status_code == 200} == {"Accepted"}

@@ -105,6 +105,14 @@ def _up(levels: int, row: str, col: str) -> list[Column]:
     ]
 
 
+def device_key_counts(df: DataFrame) -> DataFrame:
+    """Rows per device key. Counted per rectangle first, so that a key is made
+    once per device, not once per row."""
+    rectangles = df.groupBy(*grid.RECT).agg(F.count("*").alias("n"))
+    keyed = rectangles.select(device_key().alias("device_key"), "n")
+    return keyed.groupBy("device_key").agg(F.sum("n").alias("command_count"))
+
+
 def assign_tag(events: DataFrame, tag_count: int) -> DataFrame:
     """Add the event's tag, a hash of its device key."""
     return events.withColumn("tag", tag_of(device_key(), tag_count))

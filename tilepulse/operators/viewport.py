@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import grid
-from ..functions.grid import COUNTS, MIN_SUMMARY_ZOOM, TILE
+from ..functions.grid import COUNTS, MIN_SUMMARY_ZOOM
 from .joins import contains_join, overlap_join
 from .summary import sums
 
@@ -51,8 +51,10 @@ def viewport(tiles: DataFrame, area: Area) -> DataFrame:
 
 
 def viewports(tiles: DataFrame, areas: DataFrame) -> DataFrame:
-    """The same for a table of areas: structs ``area`` and ``tile``."""
-    placed = grid.with_edges(non_empty(tiles))
+    """The same for a table of areas: structs ``area`` and ``tile``. The zooms
+    asked for, nineteen at most, are looked up first: they prune the table."""
+    zooms = [row[0] for row in areas.select("zoom").distinct().collect()]
+    placed = grid.with_edges(non_empty(tiles.filter(F.col("zoom").isin(zooms))))
     return contains_join(areas, placed, ("area", "tile")).filter("area.zoom = tile.zoom")
 
 

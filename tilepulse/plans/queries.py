@@ -197,13 +197,13 @@ def assign_by_centre(spark, sf_dir):
 
 @query
 def device_key_counts(spark, sf_dir):
-    keyed = inputs.commands(spark, sf_dir).withColumn("device_key", device_key())
-    return keyed.groupBy("device_key").agg(F.count("*").alias("command_count"))
+    return summary.device_key_counts(inputs.commands(spark, sf_dir))
 
 
 @query
 def device_key_decode(spark, sf_dir):
-    keyed = inputs.commands(spark, sf_dir).select(device_key().alias("device_key")).distinct()
+    seen = inputs.commands(spark, sf_dir).select(*RECT).distinct()
+    keyed = seen.select(device_key().alias("device_key"))
     decoded = keyed.select("device_key", *parse_key(F.col("device_key")))
     return decoded.join(shown(inputs.stored_tiles(spark, sf_dir)), RECT)
 

@@ -15,8 +15,6 @@ batch again therefore changes nothing.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -98,22 +96,18 @@ def compact_tiles(spark: SparkSession, path: str) -> int | None:
 
 
 def read_tiles(spark: SparkSession, path: str) -> DataFrame:
-    """The tile table as of the last finished batch."""
+    """The tile table as of the last finished batch. Only the base and the
+    batches finished after it are opened; compacting keeps their list short."""
     progress = _progress(spark, path)
     base = progress.filter("kind = 'base'").agg(F.max("batch_id")).head()[0]
-    batches = progress.filter("kind = 'batch'").select("batch_id")
-    parts = []
-    if base is not None:
-        parts.append(read_base(spark, f"{path}/base/version={base}"))
-        batches = batches.filter(F.col("batch_id") > base)
-    if batches.head(1):
-        deltas = spark.read.schema(TILES).parquet(f"{path}/deltas")
-        parts.append(deltas.join(batches.distinct(), "batch_id", "left_semi"))
-    if not parts:
-        return spark.createDataFrame([], TILES)
-    if len(parts) == 1 and base is not None:
-        return parts[0]
-    stacked = reduce(DataFrame.unionByName, [p.select(*TILE, *COUNTS) for p in parts])
+    recent = (F.col("kind") == "batch") & (F.col("batch_id") > (-1 if base is None else base))
+    batches = [row[0] for row in progress.filter(recent).select("batch_id").distinct().collect()]
+    stored = None if base is None else read_base(spark, f"{path}/base/version={base}")
+    if not batches:
+        return spark.createDataFrame([], TILES) if stored is None else stored
+    folders = [f"{path}/deltas/batch_id={batch}" for batch in sorted(batches)]
+    deltas = spark.read.schema(TILES).parquet(*folders)
+    stacked = deltas if stored is None else deltas.unionByName(stored)
     return stacked.groupBy(*TILE).agg(*sums())
 
 

@@ -82,28 +82,27 @@ def telemetry_json(fields: list[str]) -> Column:
     return F.to_json(F.struct(*[F.col(f).alias(JSON_NAMES.get(f, f)) for f in fields]))
 
 
-def reject_reason() -> Column:
-    """Why a command is refused; null for a good one. Missing numbers count as
-    zero, as they do in the JSON binding of the service being fed."""
-    centred = F.coalesce(grid.on_map(grid.centre_lat(), grid.centre_lng()), F.lit(False))
+def check_telemetry(df: DataFrame) -> DataFrame:
+    """Add ``reject_reason``: why a command is refused, null for a good one.
+    Missing numbers become zero, as in the JSON binding of the service being fed;
+    a line in which nothing could be read is malformed."""
+    top, left, bot, right = [F.col(c) for c in RECT[1:]]
     nothing = F.coalesce("action", *[F.col(c).cast("string") for c in RECT]).isNull()
-    return (
-        F.when(nothing, "malformed")
-        .when(~_or_zero("zoom").between(0, MAX_ZOOM), "zoom_range")
-        .when(_or_zero("top_left_lat") <= _or_zero("bot_right_lat"), "lat_order")
-        .when(_or_zero("top_left_lng") >= _or_zero("bot_right_lng"), "lng_order")
+    reason = (
+        F.when(F.col("reject_reason") == "malformed", "malformed")
+        .when(~F.col("zoom").between(0, MAX_ZOOM), "zoom_range")
+        .when(top <= bot, "lat_order")
+        .when(left >= right, "lng_order")
         .when(F.col("action").isNull() | ~F.col("action").isin(ACTIONS), "unknown_action")
-        .when(~centred, "off_map")
+        .when(~grid.on_map(grid.centre_lat(), grid.centre_lng()), "off_map")
     )
-
-
-def _or_zero(name: str) -> Column:
-    return F.coalesce(F.col(name), F.lit(0))
+    read = df.withColumn("reject_reason", F.when(nothing, "malformed"))
+    return read.fillna(0, RECT).withColumn("reject_reason", reason)
 
 
 def validate_telemetry(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Good commands, and the rest with a ``reject_reason``."""
-    checked = df.withColumn("reject_reason", reject_reason())
+    checked = check_telemetry(df)
     good = checked.filter("reject_reason is null").drop("reject_reason")
     return good, checked.filter("reject_reason is not null")
 
@@ -111,13 +110,13 @@ def validate_telemetry(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 def acknowledge(df: DataFrame) -> DataFrame:
     """One answer per command: message, status code and the command itself. A
     command without effect on its device is accepted like any other."""
-    reason = reject_reason()
+    reason = F.col("reject_reason")
     message, status = F, F
     for name, (text, code) in REJECTIONS.items():
         shown = F.format_string(text, "action") if "%s" in text else F.lit(text)
         message, status = message.when(reason == name, shown), status.when(reason == name, code)
     return _answer(
-        df,
+        check_telemetry(df),
         ["action", *RECT],
         message.otherwise(ACCEPTED[0]),
         status.otherwise(ACCEPTED[1]),
@@ -134,7 +133,7 @@ def acknowledge_selections(df: DataFrame) -> DataFrame:
 def _answer(
     df: DataFrame, fields: list[str], message: Column, status: Column, name: str
 ) -> DataFrame:
-    kept = [c for c in df.columns if c not in fields]
+    kept = [c for c in df.columns if c not in (*fields, "reject_reason")]
     return df.select(
         *kept,
         message.alias("message"),
