@@ -1,7 +1,8 @@
 """Joins on the map: rectangles and points matched through grid cells.
 
-A rectangle is filed under the few cells it meets at its *home* level, the
-finest zoom whose cells are no smaller than it. Matching is an equi-join on
+A rectangle is filed under the cells it meets at its *home* level, one zoom
+finer than the finest whose cells are no smaller than it: few cells, and little
+of them outside the rectangle. Matching is an equi-join on
 cells followed by the exact predicate, so there is no nested loop, and large and
 small rectangles can be mixed: a huge one has a coarse home and few cells.
 
@@ -22,6 +23,9 @@ from ..functions import grid
 from ..functions.grid import MAX_ZOOM, MIN_SUMMARY_ZOOM
 from .skew import BROADCAST_ROWS, CHUNK_ROWS, broadcast_if_small, salted_join
 
+# Zooms between the finest cell as large as a rectangle and the rectangle's home.
+FINER = 1
+
 CELL = ["cell_zoom", "cell_row", "cell_col"]
 
 
@@ -55,7 +59,7 @@ def _with_home(df: DataFrame, name: str) -> DataFrame:
         side("top_left_lat") - side("bot_right_lat"), side("bot_right_lng") - side("top_left_lng")
     )
     fits = F.floor(F.log2(F.lit(20.0) / extent)) + MIN_SUMMARY_ZOOM
-    home = F.greatest(F.least(fits, F.lit(MAX_ZOOM)), F.lit(MIN_SUMMARY_ZOOM)).cast("int")
+    home = F.greatest(F.least(fits + FINER, F.lit(MAX_ZOOM)), F.lit(MIN_SUMMARY_ZOOM)).cast("int")
     return df.filter((extent > 0) & ~F.isnan(extent)).withColumn("home", home)
 
 
@@ -65,9 +69,13 @@ def _census(df: DataFrame) -> dict[int, int]:
 
 
 def _most_cells(census: dict[int, int]) -> int:
-    """Upper bound on the home cells of a side: 3 x 3 for a rectangle no larger
-    than a cell, the whole map at the coarsest level."""
-    return sum(n * (162 if zoom == MIN_SUMMARY_ZOOM else 9) for zoom, n in census.items())
+    """Upper bound on the home cells of a side: a rectangle is at most 2**FINER
+    cells long and may start and end inside one; the coarsest level has 162."""
+    whole_map = grid.n_rows(MIN_SUMMARY_ZOOM) * grid.n_cols(MIN_SUMMARY_ZOOM)
+    across = 2**FINER + 2
+    return sum(
+        n * (whole_map if zoom == MIN_SUMMARY_ZOOM else across**2) for zoom, n in census.items()
+    )
 
 
 def _cells(df: DataFrame, name: str, zooms: Column) -> DataFrame:
