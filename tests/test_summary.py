@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -217,11 +218,10 @@ def test_activity_samples(spark, keep, step):
     assert got == samples_model([(t, summary.DELTAS[e]) for t, e in rows], step, keep)
 
 
-def test_axis_scale_equals_the_stepwise_search(spark):
-    def bound(delta, unit):
-        while delta / unit > 10:
-            unit *= 10
-        return delta // unit * unit + unit
+def test_axis_scale_has_at_most_ten_units(spark):
+    def bound(delta, sign):
+        unit = next(u for u in (sign * 10**n for n in range(1, 9)) if delta / u <= 10)
+        return (math.floor(delta / unit) + 1) * unit
 
     values = [0, 1, 5, 9, 10, 11, 99, 100, 101, 110, 999, 1000, 1001, 9999, 10000, 10001, 123456]
     values += [-v for v in values]
@@ -232,4 +232,4 @@ def test_axis_scale_equals_the_stepwise_search(spark):
         row = activity.activity_scale(df).head()
         low, high = min(low, 0, high), max(high, 0, low)
         assert (row.min_delta, row.max_delta) == (low, high)
-        assert (row.scale_neg, row.scale_pos) == (bound(low, -10), bound(high, 10))
+        assert (row.scale_neg, row.scale_pos) == (bound(low, -1), bound(high, 1))

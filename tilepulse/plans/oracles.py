@@ -31,24 +31,26 @@ FLEET = (
 )
 
 
-def _life(source: str) -> str:
-    return f"""h0 AS (
+def _life(source: str, own: str = "") -> str:
+    """The state machine over a table of commands; ``own`` prefixes all names."""
+    return f"""{own}h0 AS (
   SELECT *, coalesce(sum((action = 'delete')::INT) OVER (PARTITION BY dev ORDER BY ts, event_id
     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS life FROM {source}),
-h1 AS (
+{own}h1 AS (
   SELECT *, sum((action IN ('create', 'ping'))::INT) OVER (PARTITION BY dev, life
-    ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS n_act FROM h0),
-h2 AS (
+    ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS n_act FROM {own}h0),
+{own}h2 AS (
   SELECT *, CASE WHEN action IN ('create', 'ping') AND n_act = 1 THEN 'H'
     WHEN action = 'happy' AND n_act > 0 THEN 'H' WHEN action = 'sad' AND n_act > 0 THEN 'S'
-    END AS mark FROM h1),
-h3 AS (
+    END AS mark FROM {own}h1),
+{own}h3 AS (
   SELECT *, CASE WHEN action = 'delete' OR n_act = 0 THEN 'I' ELSE last_value(mark IGNORE NULLS)
     OVER (PARTITION BY dev, life ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) END AS state
-  FROM h2),
-h AS (
-  SELECT *, lag(state, 1, 'I') OVER (PARTITION BY dev ORDER BY ts, event_id) AS prev FROM h3),
-ev AS (
+  FROM {own}h2),
+{own}h AS (
+  SELECT *, lag(state, 1, 'I') OVER (PARTITION BY dev ORDER BY ts, event_id) AS prev
+  FROM {own}h3),
+{own}ev AS (
   SELECT *, {_ROW18} AS r18, {_COL18} AS c18,
     CASE prev || state WHEN 'IH' THEN 'DeviceActivated' WHEN 'HI' THEN 'DeviceDeactivatedHappy'
       WHEN 'SI' THEN 'DeviceDeactivatedSad' WHEN 'SH' THEN 'DeviceMadeHappy'
@@ -56,7 +58,7 @@ ev AS (
     (state <> 'I')::INT - (prev <> 'I')::INT AS dd,
     (state = 'H')::INT - (prev = 'H')::INT AS hd,
     (state = 'S')::INT - (prev = 'S')::INT AS sd
-  FROM h WHERE prev <> state)"""
+  FROM {own}h WHERE prev <> state)"""
 
 
 def _tiles(events: str = "ev", name: str = "tiles") -> str:
@@ -223,13 +225,8 @@ _RECT18 = f"18 AS zoom, {_edges('18', _ROW18, _COL18)}"
 _FIRST = _tiles("(SELECT * FROM ev WHERE event_id < 0)", "first_tiles")
 
 
-def _replaced() -> str:
-    """Customers' tiles with the events' own tiles written over them."""
-    own = _life("cmds")
-    for name in ("h0", "h1", "h2", "h3", "ev"):
-        own = own.replace(f"{name} AS", f"own_{name} AS").replace(f"FROM {name})", f"FROM own_{name})")
-    own = own.replace("h AS (", "own_h AS (").replace("FROM h WHERE", "FROM own_h WHERE")
-    return f"""WITH {FLEET_EV}, {_FIRST}, {own.replace("FROM h2)", "FROM own_h2)")}, {_tiles("own_ev", "own_tiles")}
+# Customers' tiles with the events' own tiles written over them.
+_REPLACED = f"""WITH {FLEET_EV}, {_FIRST}, {_life("cmds", "own_")}, {_tiles("own_ev", "own_tiles")}
 SELECT zoom, {_edges()}, {COUNTS} FROM (
   SELECT zoom, r, c, coalesce(n.device_count, o.device_count) AS device_count,
     coalesce(n.happy_count, o.happy_count) AS happy_count,
@@ -288,7 +285,7 @@ WHERE tag = '{q.TAG}' AND ordering > {q.TAG_OFFSET}""",
     "journal_tag_join": f"WITH {JOURNAL} SELECT ordering, sequence_number, event_type, tag FROM journal",
     "tile_summary_scan": f"WITH {TILES} {_shown()}",
     "tile_upsert_additive": f"WITH {TILES} {_shown()}",
-    "tile_upsert_replace": _replaced(),
+    "tile_upsert_replace": _REPLACED,
     "tile_bulk_load": f"WITH {TILES} {_shown()}",
     "assign_tile": f"""WITH p AS ({_at_zoom("12", "o_orderkey", "orders")})
 SELECT o_orderkey AS point_id, zoom, r AS "row", c AS "col" FROM p""",
