@@ -64,6 +64,9 @@ def unroll(ranges: DataFrame) -> DataFrame:
     few narrow rows in between would be far too low.
     """
 
+    # The bounds are columns of their own on purpose: where a generator refers to
+    # a constant column, Spark 4.1's column pruning can drop a carried column once
+    # a filter has been pushed below the generator.
     def line(first: str, last: str) -> Column:
         return F.explode(F.when(F.col(first) <= F.col(last), F.sequence(first, last)))
 
