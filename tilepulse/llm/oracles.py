@@ -38,3 +38,22 @@ SELECT doc_id, size::BIGINT AS size, source_size, target::DOUBLE AS target,
        (size * (floor(rate) + (chance < rate - floor(rate))::INTEGER))::BIGINT AS taken
 FROM rated
 """
+
+SQL["op8_sharding"] = """
+WITH hashed AS (
+    SELECT doc_id, coalesce(octet_length(encode(text)), 0)::BIGINT AS n_bytes,
+           ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))), 1, 15))::BIGINT AS hash
+    FROM documents
+), nodes AS (
+    SELECT depth, hash >> (60 - depth) AS shard, sum(n_bytes)::BIGINT AS shard_bytes, count(*) AS shard_docs,
+           min(hash) = max(hash) AS single
+    FROM hashed, range(0, 61) depths(depth) GROUP BY ALL
+), first AS (
+    SELECT doc_id, n_bytes, hash, min(depth) AS depth
+    FROM hashed, nodes
+    WHERE hash >> (60 - depth) = shard AND (shard_bytes <= 1048576 OR single)
+    GROUP BY ALL
+)
+SELECT doc_id, n_bytes, first.depth::INTEGER AS depth, shard, 0::INTEGER AS page, shard_bytes, shard_docs
+FROM first JOIN nodes ON nodes.depth = first.depth AND nodes.shard = first.hash >> (60 - first.depth)
+"""
