@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chunk_dedup, mixing, quality, sharding, token_counts
+from . import ann, bpe, chunk_dedup, mixing, near_dedup, quality, sharding, token_counts
 from .tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,12 @@ def query(fn: Query) -> Query:
     return fn
 
 
+@query
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_dedup.classes(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "class_id", "class_size")
+
+
 @query
 def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
