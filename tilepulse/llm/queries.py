@@ -8,7 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chunk_dedup, mixing, near_dedup, pii, quality, sharding, token_counts
+from . import (
+    ann,
+    bpe,
+    chunk_dedup,
+    mixing,
+    near_dedup,
+    pii,
+    quality,
+    sharding,
+    suffix_dedup,
+    token_counts,
+)
 from .tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,6 +59,18 @@ def op3_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.deduplicated(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        "n_removed",
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 @query
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(RANKS)
