@@ -2,6 +2,7 @@ import random
 
 import pytest
 from models import contains, inside, overlap, random_rect
+from pyspark.sql import functions as F
 
 from tilepulse.operators import joins
 from tilepulse.operators.skew import salted_join
@@ -36,6 +37,38 @@ def test_pictures(spark, limits):
         assert found == {i for i, p in enumerate(PICTURES) if p[3]}
 
 
+INF = float("inf")
+ENDLESS = [
+    (INF, -INF, -INF, INF),
+    (INF, 0.0, 10.0, 5.0),
+    (50.0, -INF, 49.0, 3.0),
+    (1e300, 0.0, -1e300, 1e300),
+    (INF, 1.0, 300.0, 2.0),
+    (400.0, 700.0, 300.0, 800.0),
+    (52.0, 1.0, 51.0, 2.0),
+    (INF, 0.0, INF, 5.0),
+]
+
+
+@pytest.mark.parametrize("limits", [{}, {"broadcast_rows": 0}])
+def test_endless_rectangles(spark, limits):
+    side = table(spark, ENDLESS)
+    assert side.count() == joins._with_home(joins._side(side, "s"), "s").count()
+    homed = joins._with_home(joins._side(side, "s"), "s")
+    assert joins._cells(homed, "s", F.array("home")).count() <= joins._most_cells(joins._census(homed))
+    pairs = joins.overlap_join(side, side, **limits).collect()
+    want = [(i, j) for i, x in enumerate(ENDLESS) for j, y in enumerate(ENDLESS) if overlap(x, y)]
+    assert sorted((r.a.id, r.b.id) for r in pairs) == want
+    pairs = joins.contains_join(side, side, **limits).collect()
+    want = [(i, j) for i, x in enumerate(ENDLESS) for j, y in enumerate(ENDLESS) if contains(x, y)]
+    assert sorted((r.outer.id, r.inner.id) for r in pairs) == want
+    points = [(0, 60.0, 1.0), (1, 49.5, -170.0), (2, 350.0, 1.5)]
+    rows = spark.createDataFrame(points, "id int, lat double, lng double")
+    found = joins.points_in_regions(rows, side, **limits).collect()
+    want = [(p, i) for p, lat, lng in points for i, x in enumerate(ENDLESS) if inside(x, lat, lng)]
+    assert sorted((r.point.id, r.region.id) for r in found) == want
+
+
 @pytest.fixture(scope="module")
 def rects():
     """Mixed sizes, from specks to half the world, many of them in one spot."""

@@ -1,11 +1,13 @@
 import json
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from conftest import SMALL
 from test_lifecycle import commands, crowd
 from tilepulse.functions.grid import COUNTS, TILE
+from tilepulse.functions.keys import text_hash
 from tilepulse.operators import lifecycle, summary
 from tilepulse.operators.viewport import Area, viewport
 from tilepulse.plans import inputs
@@ -70,7 +72,7 @@ def test_acknowledgements(spark, request_file):
     acks = telemetry.acknowledge(telemetry.read_telemetry(spark, request_file)).collect()
     assert sorted(a.http_status_code for a in acks) == [200] * 4 + [400] * 7 + [500] * 2
     wrong = [a for a in acks if a.telemetry_request.action == "Create"][0]
-    assert wrong.message.startswith("Action 'Create' illegal")
+    assert wrong.message.startswith("Action 'Create' is unknown") and "ping" in wrong.message
     assert {a.message for a in acks if a.http_status_code == 200} == {"Accepted"}
 
 
@@ -99,20 +101,73 @@ def test_store_adds_batches_once_and_compacts(spark, tmp_path):
     store.append_deltas(first, path, 0, offset=10)
     store.append_deltas(first, path, 0, offset=10)  # the same batch again
     assert rows_of(store.read_tiles(spark, path)) == rows_of(first)
-    assert store.compact_tiles(spark, path) == 0
+    assert store.compact_tiles(spark, path) == 1
     store.append_deltas(second, path, 1, offset=20)
     want = [(5, 1, 1, 2, 1, 1), (6, 2, 3, 1, 0, 1), (18, 7, 8, 1, 1, 0)]
     assert rows_of(store.read_tiles(spark, path)) == want
-    assert store.compact_tiles(spark, path) == 1 and store.compact_tiles(spark, path) == 1
+    assert store.compact_tiles(spark, path) == 2 and store.compact_tiles(spark, path) == 2
+    assert rows_of(store.read_tiles(spark, path)) == want
+    store.append_deltas(second, path, 1, offset=20)  # a folded batch again
     assert rows_of(store.read_tiles(spark, path)) == want
     assert store.saved_offset(spark, path) == 20
 
 
+def test_projection_keys_have_batches_of_their_own(spark, tmp_path):
+    path = str(tmp_path / "tiles")
+    one = spark.createDataFrame([(5, 1, 1, 1, 1, 0)], TILES)
+    for key in ("a", "b"):
+        store.append_deltas(one, path, 0, offset=7, key=key)
+        store.append_deltas(one, path, 0, offset=7, projection="other", key=key)
+    assert rows_of(store.read_tiles(spark, path)) == [(5, 1, 1, 4, 4, 0)]
+    assert store.read_progress(spark, path).count() == 4
+    store.append_deltas(one, path, 0, key="c", writer="first checkpoint")
+    for _ in range(2):  # refused before and after compaction
+        with pytest.raises(ValueError):
+            store.append_deltas(one, path, 1, key="c", writer="second checkpoint")
+        store.compact_tiles(spark, path)
+
+
+def test_the_table_stays_small_over_many_batches(spark, tmp_path):
+    path = tmp_path / "tiles"
+    for batch in range(12):
+        rows = [(5, 1, 1, 1, 1, 0), (18, batch, 2, 1, 0, 1)]
+        store.append_deltas(spark.createDataFrame(rows, TILES), str(path), batch, offset=batch)
+        if batch % 2:
+            store.compact_tiles(spark, str(path))
+    want = [(5, 1, 1, 12, 12, 0), *[(18, b, 2, 1, 0, 1) for b in range(12)]]
+    assert rows_of(store.read_tiles(spark, str(path))) == want
+    listed = [f for f in (path / "progress").rglob("*.json")]
+    assert len(listed) <= 2 * (store.KEPT_VERSIONS + 3)
+    assert len(list((path / "deltas").rglob("batch=*"))) <= 2 * (store.KEPT_VERSIONS + 1)
+
+
+def test_replacing_in_the_stored_table(spark, tmp_path):
+    path = str(tmp_path / "tiles")
+    first = spark.createDataFrame([(5, 1, 1, 3, 2, 1), (18, 7, 8, 1, 1, 0)], TILES)
+    store.append_deltas(first, path, 0)
+    given = spark.createDataFrame([(5, 1, 1, 1, 1, 0), (6, 2, 3, 1, 0, 1)], TILES)
+    for _ in range(2):
+        store.replace_tiles(given, path, 1)
+    assert rows_of(store.read_tiles(spark, path)) == [
+        (5, 1, 1, 1, 1, 0), (6, 2, 3, 1, 0, 1), (18, 7, 8, 1, 1, 0),
+    ]
+
+
+def test_stored_deltas_prune_by_zoom(spark, tmp_path):
+    path = str(tmp_path / "tiles")
+    store.append_deltas(inputs.fleet_tiles(spark, SMALL), path, 0)
+    store.compact_tiles(spark, path)
+    store.append_deltas(inputs.fleet_tiles(spark, SMALL), path, 1)
+    shown = viewport(store.read_tiles(spark, path), Area(8, 60.0, -100.0, -60.0, 100.0))
+    plan = shown._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("PartitionFilters: [isnotnull(zoom") == 2
+
+
 def test_unfinished_batch_does_not_count(spark, tmp_path):
     path = str(tmp_path / "tiles")
     df = spark.createDataFrame([(5, 1, 1, 3, 2, 1)], TILES)
     store.append_deltas(df, path, 0)
-    df.select(*TILE, *COUNTS).write.parquet(f"{path}/deltas/batch_id=1")  # no progress row
+    store.bulk_load(df, f"{path}/{store._delta_folder('tiles', '', 1)}")  # no progress row
     assert rows_of(store.read_tiles(spark, path)) == rows_of(df)
     store.append_deltas(df, path, 1)  # the retry replaces what was left
     assert rows_of(store.read_tiles(spark, path)) == [(5, 1, 1, 6, 4, 2)]
@@ -143,23 +198,74 @@ def test_journal_numbers_each_devices_events(spark, tmp_path, chunk_rows):
     assert all(n == list(range(1, len(n) + 1)) for n in numbers.values())
 
 
+@pytest.mark.parametrize("chunk_rows", [None, 30])
+def test_loads_go_on_where_the_last_one_ended(spark, tmp_path, chunk_rows):
+    cmds = commands(spark, crowd(43, 900))
+    whole = lifecycle.derive_events(cmds).collect()
+    path, known = str(tmp_path / "journal"), None
+    for i in range(3):
+        part = cmds.filter(F.ntile(3).over(Window.orderBy(*journal.ORDER)) == i + 1)
+        events = lifecycle.derive_events(part, chunk_rows, initial=known)
+        for _ in range(2):  # the second time it is listed already
+            journal.append_journal(events, path, 4, chunk_rows, load_id=f"load {i}")
+        known = journal.last_of_devices(spark, path)
+    rows = journal.read_journal(spark, path)
+    assert rows.select("persistence_id", "sequence_number").distinct().count() == len(whole)
+    assert sorted(r.event_type for r in rows.collect()) == sorted(r.event_type for r in whole)
+    states = {tuple(r[:5]): r.state for r in lifecycle.device_state(cmds).collect()}
+    replayed = lifecycle.replay(rows, ["sequence_number"]).collect()
+    assert all(states[tuple(r[:5])] == r.state for r in replayed)
+
+
+def test_increments_of_several_loads_and_a_pause(spark, tmp_path):
+    path, tiles = str(tmp_path / "journal"), str(tmp_path / "tiles")
+    events = inputs.fleet_events(spark, SMALL)
+    journal.set_paused(spark, path, "tiles", "1", True)
+    for part in ("event_id >= 0", "event_id < 0"):  # smaller ids come later
+        journal.append_journal(events.filter(part), path, 3)
+        assert journal.project_increment(spark, path, tiles)
+        assert not journal.project_increment(spark, path, tiles)
+    assert rows_of(store.read_tiles(spark, tiles)) != rows_of(summary.summarize_all(events))
+    journal.set_paused(spark, path, "tiles", "1", False)
+    assert journal.project_increment(spark, path, tiles)
+    assert rows_of(store.read_tiles(spark, tiles)) == rows_of(summary.summarize_all(events))
+
+
+def test_offsets_of_other_projections_are_kept(spark):
+    schema = "projection_name string, projection_key string, current_offset long"
+    progress = spark.createDataFrame([("p", "0", 5), ("q", "0", 9)], schema)
+    rows = journal.journal_rows(inputs.device_events(spark, SMALL), 1)
+    _, moved = journal.run_incremental(rows, progress, "p")
+    assert {(r[0], r[1]) for r in moved.collect()} == {("p", "0"), ("q", "0")}
+    assert [r[2] for r in moved.collect() if r[0] == "q"] == [9]
+
+
+def test_text_hash_of_any_text(spark):
+    words = [("abc",), ("",), (None,), ("é€",)]
+    rows = spark.createDataFrame(words, "w string").select("w", text_hash("w").alias("h")).collect()
+    want = {"abc": 96354, "": 0, None: None, "é€": 233 * 31 + 8364}
+    assert {r.w: r.h for r in rows} == want
+
+
 def test_events_by_tag_in_order_after_offset(spark, tmp_path):
     path = str(tmp_path / "journal")
     journal.append_journal(inputs.device_events(spark, SMALL), path, 4)
     rows = journal.read_journal(spark, path)
-    one = journal.events_by_tag(rows, None, "2", 50)
+    after = (1 << journal.PLACE_BITS) + 50
+    one = journal.events_by_tag(rows, None, "2", after)
     got = [r.ordering for r in one.collect()]
-    assert got == sorted(got) and got and min(got) > 50
+    assert got == sorted(got) and got and min(got) > after
     assert "PartitionFilters: [isnotnull(tag" in one._jdf.queryExecution().executedPlan().toString()
     tags = journal.event_tags(rows)
-    assert [r.ordering for r in journal.events_by_tag(rows, tags, "2", 50).collect()] == got
+    assert [r.ordering for r in journal.events_by_tag(rows, tags, "2", after).collect()] == got
 
 
 def test_increments_sum_to_the_full_run_and_pauses_hold(spark):
     rows = journal.journal_rows(inputs.device_events(spark, SMALL), 3).cache()
     schema = "projection_name string, projection_key string, current_offset long"
     progress, totals = spark.createDataFrame([], schema), {}
-    for top in (300, 300, 650, 10**9):  # the journal as it grows; the second run finds nothing
+    first = 1 << journal.PLACE_BITS
+    for top in (first + 100, first + 100, first + 250, 1 << 62):  # the journal as it grows; the second run finds nothing
         due, moved = journal.run_incremental(rows.filter(F.col("ordering") <= top), progress, "p")
         for r in journal.tag_deltas(due).collect():
             totals[r.tag] = totals.get(r.tag, 0) + r.event_total

@@ -1,9 +1,11 @@
 import datetime
+import json
 import random
 import time
 
 import pytest
 from models import fold
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from conftest import SMALL
@@ -103,10 +105,48 @@ def test_projection_adds_every_event_once(spark, event_files, tmp_path):
     assert rows_of(store.read_tiles(spark, table)) == rows_of(summary.summarize_all(events))
     assert store.saved_offset(spark, table) == events.agg(F.max("event_id")).head()[0]
     # A micro-batch that is run again, after a crash between write and checkpoint:
-    store.append_deltas(summary.summarize_all(events), table, 1)
+    writer = json.loads((tmp_path / "checkpoint/metadata").read_text())["id"]
+    store.append_deltas(summary.summarize_all(events), table, 1, writer=writer)
     assert rows_of(store.read_tiles(spark, table)) == rows_of(summary.summarize_all(events))
 
 
+def test_a_second_checkpoint_needs_a_key_of_its_own(spark, event_files, tmp_path):
+    events, path = event_files
+    table = str(tmp_path / "tiles")
+
+    def start(checkpoint, key):
+        stream = spark.readStream.schema(events.schema).parquet(path)
+        return projection.run_projection(stream, table, str(tmp_path / checkpoint), key=key)
+
+    start("one", "a").awaitTermination()
+    with pytest.raises(StreamingQueryException):
+        start("two", "a").awaitTermination()
+    start("three", "b").awaitTermination()
+    doubled = events.unionByName(events)
+    assert rows_of(store.read_tiles(spark, table)) == rows_of(summary.summarize_all(doubled))
+
+
+def test_a_micro_batch_is_computed_once(spark, tmp_path):
+    triples = crowd(53, 300)
+    cmds = write_parts(spark, triples, str(tmp_path / "in"), 1)
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("boolean")
+    def seen(_):
+        calls.add(1)
+        return True
+
+    events = lifecycle.derive_events(cmds)
+    events.withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(str(tmp_path / "events"))
+    stored = spark.read.parquet(str(tmp_path / "events"))
+    stream = spark.readStream.schema(stored.schema).parquet(str(tmp_path / "events"))
+    counted = stream.filter(seen.asNondeterministic()("event_id"))
+    projection.run_projection(
+        counted, str(tmp_path / "tiles"), str(tmp_path / "cp"), offset="event_id"
+    ).awaitTermination()
+    assert calls.value == stored.count()
+
+
 def test_projection_on_a_trigger_interval(spark, event_files, tmp_path):
     events, path = event_files
     stream = projection.group_within(spark.readStream.schema(events.schema), 3).parquet(path)

@@ -233,3 +233,11 @@ def test_axis_scale_has_at_most_ten_units(spark):
         low, high = min(low, 0, high), max(high, 0, low)
         assert (row.min_delta, row.max_delta) == (low, high)
         assert (row.scale_neg, row.scale_pos) == (bound(low, -1), bound(high, 1))
+
+
+def test_filling_tiles_coarser_than_any_stored(spark):
+    df = spark.createDataFrame([(2, 1, 4), (1, 0, 1)], "zoom int, row int, col int")
+    filled = summary.fill_region(df).filter("zoom <= 4").collect()
+    for zoom, side in ((3, 9), (4, 18)):  # zoom 1 is half the world; the other tile lies in it
+        assert sum(r.zoom == zoom for r in filled) == side * side
+    assert {r.device_count for r in filled if r.zoom == 3} == {4**15}

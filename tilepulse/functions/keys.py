@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .grid import RECT
+from .grid import MAX_ZOOM, RECT, lat_size, lng_size
 
 # Fixed value: zoom and four edges with 13 decimals, exact for zoom-18 tiles.
 KEY_FORMAT = "%d:%.13f:%.13f:%.13f:%.13f"
@@ -28,23 +28,36 @@ def parse_key(key: Column) -> list[Column]:
     ]
 
 
+def parse_device(key: Column) -> list[Column]:
+    """The zoom-18 row and column of a device's key. Its edges are exact, so the
+    quotients are whole numbers."""
+    top, left = [F.split(key, ":").getItem(i).cast("double") for i in (1, 2)]
+    row = F.round((F.lit(90.0) - top) / lat_size(MAX_ZOOM))
+    col = F.round((left + 180.0) / lng_size(MAX_ZOOM))
+    return [row.cast("int").alias("row"), col.cast("int").alias("col")]
+
+
 @F.pandas_udf(T.LongType())
 def text_hash(text: pd.Series) -> pd.Series:
-    """The 32-bit polynomial text hash (factor 31) of ASCII text, signed, so tags
-    agree with journals that were tagged elsewhere by the same public rule.
+    """The 32-bit polynomial text hash (factor 31) over UTF-16 units, signed, so tags
+    agree with journals that were tagged elsewhere by the same public rule. Null for
+    null.
 
     A fold over an array of characters says the same with built-in functions; on
     keys of 70 characters it took ten times as long as this, which handles a
     whole batch character by character.
     """
-    fixed = text.to_numpy().astype("S")
-    letters = fixed.view(np.uint8).reshape(len(fixed), fixed.dtype.itemsize)
-    lengths = (letters != 0).sum(axis=1)
-    value = np.zeros(len(fixed), np.uint32)
-    for place in range(letters.shape[1]):
+    units = [b"" if t is None else t.encode("utf-16-le") for t in text]
+    lengths = np.array([len(u) // 2 for u in units], np.int64)
+    widest = int(lengths.max(initial=0))
+    padded = b"".join(u.ljust(2 * widest, b"\0") for u in units)
+    letters = np.frombuffer(padded, "<u2").reshape(len(units), widest)
+    value = np.zeros(len(units), np.uint32)
+    for place in range(widest):
         longer = value * np.uint32(31) + letters[:, place]
         value = np.where(place < lengths, longer, value)
-    return pd.Series(value.view(np.int32).astype(np.int64))
+    signed = pd.Series(value.view(np.int32).astype(np.int64), dtype="Int64")
+    return signed.mask(text.isna())
 
 
 def tag_of(key: Column, tag_count: int) -> Column:

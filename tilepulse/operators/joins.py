@@ -15,6 +15,7 @@ Every join returns struct columns, named by the caller, one per side.
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -53,14 +54,27 @@ def _edge(name: str):
 
 def _with_home(df: DataFrame, name: str) -> DataFrame:
     """Add the home level; drop rectangles with a null or NaN edge, which match
-    nothing."""
+    nothing. Edges beyond the map, infinite ones too, count as far as a whole map
+    beyond it: what lies there shares the cells at the rim."""
     side = _edge(name)
+
+    def within(edge: str, reach: float) -> Column:
+        return F.greatest(F.least(side(edge), F.lit(reach)), F.lit(-reach))
+
     extent = F.greatest(
+        within("top_left_lat", 270.0) - within("bot_right_lat", 270.0),
+        within("bot_right_lng", 540.0) - within("top_left_lng", 540.0),
+    )
+    whole = F.greatest(
         side("top_left_lat") - side("bot_right_lat"), side("bot_right_lng") - side("top_left_lng")
     )
+    # Wholly beyond that reach, a rectangle has no extent in it, and rim cells only.
+    extent = F.when((extent <= 0) & (whole > 0), F.lit(360.0)).otherwise(extent)
+    known = [side(edge).isNotNull() & ~F.isnan(side(edge)) for edge in grid.RECT[1:]]
+    df = df.filter(reduce(lambda x, y: x & y, known))
     fits = F.floor(F.log2(F.lit(20.0) / extent)) + MIN_SUMMARY_ZOOM
     home = F.greatest(F.least(fits + FINER, F.lit(MAX_ZOOM)), F.lit(MIN_SUMMARY_ZOOM)).cast("int")
-    return df.filter((extent > 0) & ~F.isnan(extent)).withColumn("home", home)
+    return df.filter(extent > 0).withColumn("home", home)
 
 
 def _census(df: DataFrame) -> dict[int, int]:

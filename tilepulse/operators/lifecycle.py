@@ -82,20 +82,30 @@ def event_to_state(event: Column) -> Column:
     return branches
 
 
-def device_history(cmds: DataFrame, chunk_rows: int | None = CHUNK_ROWS) -> DataFrame:
+def device_history(
+    cmds: DataFrame, chunk_rows: int | None = CHUNK_ROWS, initial: DataFrame | None = None
+) -> DataFrame:
     """Every command with ``state_before``, ``event_type`` (null for a no-op) and
     ``state_after``. One shuffle and one sort for devices of ordinary size.
 
     ``chunk_rows`` bounds the commands of one device that one task handles; None
-    skips the look for hot devices.
+    skips the look for hot devices. ``initial`` (rectangle and ``state``, one row per
+    device) is where the devices stand before these commands, from ``replay`` or a
+    journal, say; a device that it does not list is inactive.
     """
     splits = None if chunk_rows is None else split_points(cmds, RECT, ORDER, chunk_rows)
-    if splits is None:
-        keys, started = DEVICE, cmds.withColumn("start", F.lit("I"))
+    if initial is None:
+        started = cmds.withColumn("start", F.lit("I"))
     else:
-        keys, chunked = [*DEVICE, "chunk"], with_chunk(cmds, RECT, ORDER, splits)
+        known = initial.select(*RECT, F.col("state").alias("start"))
+        started = cmds.join(known, RECT, "left").fillna("I", ["start"])
+    keys = DEVICE
+    if splits is not None:
+        keys, chunked = [*DEVICE, "chunk"], with_chunk(started, RECT, ORDER, splits)
         starts = F.broadcast(_chunk_starts(chunked, splits))  # one row per chunk of a hot device
-        started = chunked.join(starts, keys, "left").fillna("I", ["start"])
+        started = chunked.join(starts, keys, "left").withColumn(
+            "start", F.coalesce("chunk_start", "start")
+        )
 
     known = F.last("activity", ignorenulls=True).over(_before(keys))
     mood = F.last("mood", ignorenulls=True).over(_before(keys))
@@ -110,7 +120,7 @@ def device_history(cmds: DataFrame, chunk_rows: int | None = CHUNK_ROWS) -> Data
         )
         .withColumn("event_type", _event(F.col("state_before")))
         .withColumn("state_after", F.coalesce(event_to_state(F.col("event_type")), "state_before"))
-        .drop("activity", "active_before", "mood", "mood_before", "start", "chunk")
+        .drop("activity", "active_before", "mood", "mood_before", "start", "chunk", "chunk_start")
     )
 
 
@@ -124,7 +134,7 @@ def _chunk_starts(chunked: DataFrame, splits: DataFrame) -> DataFrame:
 
     effects = (
         chunked.join(F.broadcast(splits.select(*RECT)), RECT, "left_semi")
-        .select(*RECT, "chunk", "action", *ORDER, _activity().alias("activity"))
+        .select(*RECT, "chunk", "action", "start", *ORDER, _activity().alias("activity"))
         .withColumn("mood_if_inactive", _mood(F.coalesce(known, F.lit(False))))
         .withColumn("mood_if_active", _mood(F.coalesce(known, F.lit(True))))
         .groupBy(*RECT, "chunk")
@@ -132,45 +142,52 @@ def _chunk_starts(chunked: DataFrame, splits: DataFrame) -> DataFrame:
             final("activity").alias("activity"),
             final("mood_if_inactive").alias("mood_if_inactive"),
             final("mood_if_active").alias("mood_if_active"),
+            F.first("start").alias("start"),
         )
     )
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("chunk").reset_index(drop=True)
-        starts, state = [], "I"
+        starts, state = [], pdf["start"][0]
         for row in pdf.itertuples():
             starts.append(state)
             mood = row.mood_if_inactive if state == "I" else row.mood_if_active
             active = state != "I" if pd.isna(row.activity) else bool(row.activity)
             state = (state if pd.isna(mood) else mood) if active else "I"
-        return pdf[[*RECT, "chunk"]].assign(start=starts)
+        return pdf[[*RECT, "chunk"]].assign(chunk_start=starts)
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in effects.schema[:6])
-    return effects.groupBy(*RECT).applyInPandas(fold, schema + ", start string")
+    return effects.groupBy(*RECT).applyInPandas(fold, schema + ", chunk_start string")
 
 
-def derive_events(cmds: DataFrame, chunk_rows: int | None = CHUNK_ROWS) -> DataFrame:
+def derive_events(
+    cmds: DataFrame, chunk_rows: int | None = CHUNK_ROWS, initial: DataFrame | None = None
+) -> DataFrame:
     """The change events: commands that changed their device's state."""
     return (
-        device_history(cmds, chunk_rows)
+        device_history(cmds, chunk_rows, initial)
         .filter("event_type is not null")
         .select(*ORDER, *RECT, "event_type")
     )
 
 
-def command_outcomes(cmds: DataFrame, chunk_rows: int | None = CHUNK_ROWS) -> DataFrame:
+def command_outcomes(
+    cmds: DataFrame, chunk_rows: int | None = CHUNK_ROWS, initial: DataFrame | None = None
+) -> DataFrame:
     """Per action: how many commands took effect and how many did not."""
     return (
-        device_history(cmds, chunk_rows)
+        device_history(cmds, chunk_rows, initial)
         .groupBy("action", F.col("event_type").isNotNull().alias("effective"))
         .agg(F.count("*").alias("command_count"))
     )
 
 
-def device_state(cmds: DataFrame, chunk_rows: int | None = CHUNK_ROWS) -> DataFrame:
+def device_state(
+    cmds: DataFrame, chunk_rows: int | None = CHUNK_ROWS, initial: DataFrame | None = None
+) -> DataFrame:
     """Each device's state after its last command."""
     return (
-        device_history(cmds, chunk_rows)
+        device_history(cmds, chunk_rows, initial)
         .groupBy(*RECT)
         .agg(F.max_by("state_after", F.struct(*ORDER)).alias("state"))
     )

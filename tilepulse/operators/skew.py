@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..sources.workspace import written
+
 MAX_SPLITS = 50_000
 CHUNK_ROWS = 4_000_000
 SAMPLES_PER_CHUNK = 256
@@ -23,6 +25,27 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """Rows with their place ``name`` (from 0) in the whole order, without bringing
+    them into one task: ranges are numbered apart, then shifted by the rows of the
+    ranges before them. The driver sees one count per range."""
+    ranged = df.repartitionByRange(*order).withColumn("range_id", F.spark_partition_id())
+    stored = written(ranged, "numbered")
+    counts = sorted(tuple(row) for row in stored.groupBy("range_id").count().collect())
+    before, shifts = 0, []
+    for range_id, count in counts:
+        shifts.append((range_id, before))
+        before += count
+    shift = df.sparkSession.createDataFrame(shifts, "range_id int, rows_before long")
+    place = F.row_number().over(Window.partitionBy("range_id").orderBy(*order)) - 1
+    return (
+        stored.withColumn(name, place)
+        .join(F.broadcast(shift), "range_id")
+        .withColumn(name, F.col(name) + F.col("rows_before"))
+        .drop("range_id", "rows_before")
+    )
+
+
 def split_points(
     df: DataFrame, keys: list[str], order: list[str], chunk_rows: int = CHUNK_ROWS
 ) -> DataFrame | None:

@@ -134,12 +134,12 @@ def per_zoom(tiles: DataFrame) -> DataFrame:
 
 def fill_region(tiles: DataFrame) -> DataFrame:
     """Counts at all zooms after activating every device in the given tiles
-    (zoom 3 or finer; a tile inside another one adds nothing).
+    (a tile inside another one adds nothing).
 
     A filled tile's descendants are all full, so their counts need no devices to
     be made and summed: only the ancestors are aggregated.
     """
-    distinct = tiles.select(*TILE).distinct()
+    distinct = _stored_zooms(tiles.select(*TILE)).distinct()
     zoom, up_zoom = F.col("zoom"), F.col("up_zoom")
     levels = F.explode(F.sequence(F.lit(MIN_SUMMARY_ZOOM), F.lit(MAX_ZOOM - 1)))
     above = (
@@ -175,6 +175,29 @@ def fill_region(tiles: DataFrame) -> DataFrame:
     )
 
 
+def _stored_zooms(tiles: DataFrame) -> DataFrame:
+    """Tiles coarser than any stored zoom as the tiles of that zoom: 162 at most."""
+    zoom = F.col("zoom")
+
+    def spread(index: str, count) -> Column:
+        fan = (F.lit(count(MIN_SUMMARY_ZOOM)) / count(zoom)).cast("int")
+        return F.explode(F.sequence(F.col(index) * fan, F.col(index) * fan + fan - 1))
+
+    coarse = tiles.filter(zoom < MIN_SUMMARY_ZOOM)
+    rows = coarse.withColumn("row", spread("row", _rows_at))
+    finer = rows.withColumn("col", spread("col", _cols_at))
+    finer = finer.withColumn("zoom", F.lit(MIN_SUMMARY_ZOOM))
+    return tiles.filter(zoom >= MIN_SUMMARY_ZOOM).unionByName(finer)
+
+
+def _rows_at(zoom: int | Column) -> int | Column:
+    return grid.n_rows(zoom) if isinstance(zoom, int) else grid.row_count(zoom)
+
+
+def _cols_at(zoom: int | Column) -> int | Column:
+    return grid.n_cols(zoom) if isinstance(zoom, int) else grid.col_count(zoom)
+
+
 def _descendants(roots: DataFrame) -> DataFrame:
     """The tiles themselves and everything below them, zoom by zoom."""
     levels = F.explode(F.sequence(F.lit(MIN_SUMMARY_ZOOM), F.lit(MAX_ZOOM)))

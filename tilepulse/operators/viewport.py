@@ -111,7 +111,8 @@ def query_response(tiles: DataFrame, area: Area) -> DataFrame:
     )
     row, _ = grid.rows_inside(area.zoom, area.top_left_lat, area.bot_right_lat)
     col, _ = grid.cols_inside(area.zoom, area.top_left_lng, area.bot_right_lng)
-    first = tiles.sparkSession.range(1).select(
+    empty = shown.limit(1).agg(F.count("*")).scalar() == 0
+    first = tiles.sparkSession.range(1).filter(empty).select(
         F.lit(max(row, 0) >> up).alias("page_row"),
         F.lit(max(col, 0) >> up).alias("page_col"),
         F.lit(None).cast(shown.schema["summary"].dataType).alias("summary"),

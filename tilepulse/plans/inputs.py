@@ -13,6 +13,7 @@ from ..functions import grid
 from ..functions.grid import MAX_ZOOM, RECT
 from ..operators.lifecycle import derive_events
 from ..operators.summary import summarize_all
+from ..sources.journal import append_journal
 from ..sources.store import bulk_load, read_base
 from ..sources.workspace import workspace
 
@@ -119,7 +120,7 @@ def fleet_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summarize_all(fleet_events(spark, sf_dir))
 
 
-_stored: dict[tuple[str, str], str] = {}
+_stored: dict[tuple[str, ...], str] = {}
 
 
 def stored_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,6 +134,17 @@ def stored_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_base(spark, _stored[key])
 
 
+def stored_journal(spark: SparkSession, sf_dir: str, tag_count: int) -> str:
+    """Path of a journal of the device events, as readers find it: appended once per
+    session and data folder, in the shared folder."""
+    key = (spark.sparkContext.applicationId, sf_dir, f"journal-{tag_count}")
+    if key not in _stored:
+        path = workspace(spark, "journal")
+        append_journal(device_events(spark, sf_dir), path, tag_count)
+        _stored[key] = path
+    return _stored[key]
+
+
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Centres of the device tiles of all orders: ``point_id, lat, lng``."""
     placed = place(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey")

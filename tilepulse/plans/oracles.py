@@ -111,9 +111,9 @@ JOURNAL = (
     EV
     + f""", keyed AS (SELECT *, {_KEY} AS persistence_id FROM ev),
 journal AS (
-  SELECT event_id AS ordering, persistence_id, row_number() OVER (PARTITION BY dev
-    ORDER BY ts, event_id)::BIGINT AS sequence_number, epoch_us(ts)::BIGINT AS write_timestamp,
-    event_type, {_tag("persistence_id")} AS tag, dd, hd, sd FROM keyed)"""
+  SELECT 1099511627775 + row_number() OVER (ORDER BY ts, event_id) AS ordering, persistence_id,
+    row_number() OVER (PARTITION BY dev ORDER BY ts, event_id)::BIGINT AS sequence_number, epoch_us(ts)::BIGINT AS write_timestamp,
+    event_type, {_tag("persistence_id")} AS tag, dd, hd, sd, ts, event_id FROM keyed)"""
 )
 
 _BROKEN = f"""bad AS (
@@ -157,11 +157,12 @@ _WITHIN = (
 
 def _grid_lines(zoom: int) -> str:
     """All rows and columns of a zoom with their edges."""
-    size = f"(2e1 / {1 << (zoom - 3)})"
-    return f"""rows_{zoom} AS (SELECT r::INT AS r, 9e1 - r * {size} AS top, 9e1 - (r + 1) * {size} AS bot
-  FROM range(0, {9 << (zoom - 3)}) t(r)),
-cols_{zoom} AS (SELECT c::INT AS c, -18e1 + c * {size} AS lft, -18e1 + (c + 1) * {size} AS rgt
-  FROM range(0, {18 << (zoom - 3)}) t(c))"""
+    rows, cols = [(1, 1), (1, 2), (3, 6)][zoom] if zoom < 3 else (9 << (zoom - 3), 18 << (zoom - 3))
+    high, wide = f"(18e1 / {rows})", f"(36e1 / {cols})"
+    return f"""rows_{zoom} AS (SELECT r::INT AS r, 9e1 - r * {high} AS top, 9e1 - (r + 1) * {high} AS bot
+  FROM range(0, {rows}) t(r)),
+cols_{zoom} AS (SELECT c::INT AS c, -18e1 + c * {wide} AS lft, -18e1 + (c + 1) * {wide} AS rgt
+  FROM range(0, {cols}) t(c))"""
 
 
 def _cover(areas: str, zoom: int) -> str:
@@ -194,7 +195,7 @@ _DELTA_SUMS = (
 )
 
 _TRAVERSE = " UNION ALL ".join(
-    f"SELECT a.*, {z}::INT AS z, y.*, x.* {_cover('areas', z)}" for z in range(3, 9)
+    f"SELECT a.*, {z}::INT AS z, y.*, x.* {_cover('areas', z)}" for z in range(0, 19)
 )
 
 _SAMPLES = f"""steps AS (
@@ -253,7 +254,8 @@ _EVENT_DELTAS = (
 )
 _DUE = f"""due AS (
   SELECT j.*, p.current_offset FROM journal j JOIN (
-    SELECT tag, max(ordering) // 2 AS current_offset FROM journal GROUP BY tag) p USING (tag)
+    SELECT tag, (min(ordering) + max(ordering)) // 2 AS current_offset FROM journal GROUP BY tag) p
+    USING (tag)
   WHERE j.ordering > p.current_offset)"""
 _DUE_SUMS = f"tag, count(*) AS event_total, {_DELTA_SUMS}"
 
@@ -263,11 +265,11 @@ SQL: dict[str, str] = {
 SELECT event_id, reject_reason FROM bad WHERE reject_reason IS NOT NULL""",
     "telemetry_acks": f"""WITH {CMDS}, {_BROKEN}
 SELECT event_id, CASE reject_reason
-    WHEN 'zoom_range' THEN 'Zoom must be in >= 0 and <= 18.'
-    WHEN 'lat_order' THEN 'Top left latitude must be greater than bottom right latitude.'
-    WHEN 'lng_order' THEN 'Top left longitude must be less than bottom right longitude.'
+    WHEN 'zoom_range' THEN 'The zoom has to lie between 0 and 18.'
+    WHEN 'lat_order' THEN 'The northern edge has to lie north of the southern one.'
+    WHEN 'lng_order' THEN 'The western edge has to lie west of the eastern one.'
     WHEN 'unknown_action' THEN 'Action ''' || action
-      || ''' illegal, must be one of: ''create'', ''delete'', ''happy'', or ''sad''.'
+      || ''' is unknown; known are create, ping, delete, happy and sad.'
     ELSE 'Accepted' END AS message,
   CASE WHEN reject_reason IS NULL THEN 200 WHEN reject_reason = 'unknown_action' THEN 500
     ELSE 400 END AS http_status_code, action, zoom, top_left_lat FROM bad""",
@@ -280,12 +282,17 @@ SELECT s_suppkey, 'Accepted' AS message, 200 AS http_status_code,
   (100 * (1 + s_suppkey % 10))::INT AS rate, -18e1 + (c + 1) * (2e1 / 1024) AS bot_right_lng FROM s""",
     "event_journal": f"""WITH {JOURNAL}
 SELECT ordering, persistence_id, sequence_number, write_timestamp, event_type, tag FROM journal""",
+    "event_journal_two_loads": f"""WITH {JOURNAL}, loads AS (
+  SELECT *, CASE WHEN ts < TIMESTAMP '{q.SPLIT_TIME}' THEN 1 ELSE 2 END AS load FROM journal)
+SELECT load * 1099511627776 + row_number() OVER (PARTITION BY load ORDER BY ts, event_id) - 1 AS ordering,
+  persistence_id, sequence_number, write_timestamp, event_type, tag FROM loads""",
     "events_by_tag": f"""WITH {JOURNAL} SELECT ordering, persistence_id, event_type FROM journal
 WHERE tag = '{q.TAG}' AND ordering > {q.TAG_OFFSET}""",
     "journal_tag_join": f"WITH {JOURNAL} SELECT ordering, sequence_number, event_type, tag FROM journal",
     "tile_summary_scan": f"WITH {TILES} {_shown()}",
     "tile_upsert_additive": f"WITH {TILES} {_shown()}",
     "tile_upsert_replace": _REPLACED,
+    "tile_replace_stored": _REPLACED,
     "tile_bulk_load": f"WITH {TILES} {_shown()}",
     "assign_tile": f"""WITH p AS ({_at_zoom("12", "o_orderkey", "orders")})
 SELECT o_orderkey AS point_id, zoom, r AS "row", c AS "col" FROM p""",
@@ -303,7 +310,11 @@ SELECT {_USER_KEY}, {_RECT18}, {COUNTS} FROM (SELECT DISTINCT dev FROM cmds)
 JOIN (SELECT r, c, {COUNTS} FROM tiles WHERE zoom = 18) ON r = {_ROW18} AND c = {_COL18}""",
     "expand_children": f"""WITH s AS ({_at_zoom("3 + s_suppkey % 16")})
 SELECT s_suppkey, zoom + 1 AS zoom, (r * 2 + i)::INT AS "row", (c * 2 + j)::INT AS "col"
-FROM s, range(0, 2) a(i), range(0, 2) b(j) WHERE zoom < 18""",
+FROM s, range(0, 2) a(i), range(0, 2) b(j) WHERE zoom < 18
+UNION ALL SELECT -1, 1, 0, j FROM range(0, 2) b(j)
+UNION ALL SELECT -2 - c, 2, i, c * 3 + j FROM range(0, 2) t(c), range(0, 3) a(i), range(0, 3) b(j)
+UNION ALL SELECT -4 - 6 * r - c, 3, r * 3 + i, c * 3 + j
+FROM range(0, 3) u(r), range(0, 6) t(c), range(0, 3) a(i), range(0, 3) b(j)""",
     "expand_to_devices": f"""WITH s AS ({_at_zoom("14")})
 SELECT s_suppkey, 18 AS zoom, (r * 16 + i)::INT AS "row", (c * 16 + j)::INT AS "col"
 FROM s, range(0, 16) a(i), range(0, 16) b(j)""",
@@ -336,7 +347,8 @@ SELECT lv.*, (180 / lat_degrees * 360 / lng_degrees)::BIGINT AS tile_count,
   tile_total, device_total
 FROM lv LEFT JOIN (SELECT zoom, count(*) AS tile_total, sum(device_count)::BIGINT AS device_total
   FROM tiles GROUP BY zoom) USING (zoom)""",
-    "selection_traversal": f"""WITH {_areas(0.3, 0.7, 8)}, {", ".join(_grid_lines(z) for z in range(3, 9))},
+    "selection_traversal": f"""WITH {_areas(q.TRAVERSED_HEIGHT, q.TRAVERSED_WIDTH, 8)},
+{", ".join(_grid_lines(z) for z in range(0, 19))},
 hit AS ({_TRAVERSE})
 SELECT area_id, z AS zoom, r AS "row", c AS "col",
   CASE WHEN top_left_lat >= top AND bot_right_lat <= bot AND top_left_lng <= lft
@@ -400,13 +412,15 @@ pages AS (
   SELECT min(r) >> 4, min(c) >> 4 FROM (
     SELECT r, c FROM range(0, 144) y(r), range(0, 288) x(c)
     WHERE 9e1 - r * 1.25::DOUBLE <= {q.PAGE_VIEW.top_left_lat}::DOUBLE
-      AND -18e1 + c * 1.25::DOUBLE >= {q.PAGE_VIEW.top_left_lng}::DOUBLE))
+      AND -18e1 + c * 1.25::DOUBLE >= {q.PAGE_VIEW.top_left_lng}::DOUBLE)
+  HAVING (SELECT count(*) FROM seen) = 0)
 SELECT page_row::INT AS page_row, page_col::INT AS page_col, t.device_count, t.happy_count, t.sad_count,
   s.zoom, s.top_left_lat, s.top_left_lng, s.bot_right_lat, s.bot_right_lng,
   s.device_count AS tile_device_count, s.happy_count AS tile_happy_count,
   s.sad_count AS tile_sad_count
 FROM pages CROSS JOIN total t LEFT JOIN seen s ON r >> 4 = page_row AND c >> 4 = page_col""",
     "device_events": _DEVICE_EVENTS,
+    "device_events_resumed": _DEVICE_EVENTS,
     "command_outcomes": f"""WITH {CMDS}, {_life("cmds")}
 SELECT action, prev <> state AS effective, count(*) AS command_count FROM h GROUP BY 1, 2""",
     "device_state": f"WITH {EV} {_stateful_sql('h')}",
@@ -434,12 +448,14 @@ SELECT s_suppkey, zoom, (100 * (1 + s_suppkey % 10))::INT AS rate,
 SELECT p.tag, event_total, {COUNTS}, p.current_offset FROM (
   SELECT tag, max(ordering) AS current_offset FROM journal GROUP BY tag) p
 LEFT JOIN (SELECT {_DUE_SUMS} FROM due GROUP BY tag) USING (tag)""",
+    "incremental_two_loads": f"WITH {TILES} {_shown()}",
     "paused_projections": f"""WITH {JOURNAL}, {_DUE}
 SELECT {_DUE_SUMS} FROM due WHERE tag::INT % 2 = 0 GROUP BY tag""",
     "stream_device_events": _DEVICE_EVENTS,
     "stream_device_state": f"WITH {EV} {_stateful_sql('ev')}",
     "stream_grouped": _EVENT_DELTAS,
     "stream_tile_summary": _SUMMARY,
+    "stream_two_projections": _SUMMARY,
     "stream_tile_counts": _SUMMARY,
     "stream_activity": f"WITH {EV}, {_SAMPLES} SELECT * FROM samples",
 }

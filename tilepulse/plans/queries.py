@@ -3,18 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import grid, measures
 from ..functions.grid import COUNTS, MAX_ZOOM, RECT, TILE
-from ..functions.keys import device_key, parse_key
+from ..functions.keys import device_key, parse_device, parse_key
 from ..operators import activity, joins, lifecycle, summary, tiles, viewport
 from ..operators.viewport import Area
 from ..sources import journal, store, telemetry
 from ..streaming import devices, projection
-from ..sources.workspace import workspace
+from ..sources.workspace import workspace, written
 from . import inputs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,13 +29,16 @@ LOOKUP_IDS = (1, 2, 3, 4)
 CELL_ZOOM = 5
 TAG_COUNT = 8
 TAG = "3"
-TAG_OFFSET = 100
+# Where commands are split into two loads.
+SPLIT_TIME = "2024-01-15 00:00:00"
+TAG_OFFSET = (1 << journal.PLACE_BITS) + 100
 SHARDS = 2
 STEP_SECONDS = 3600
 # Files of commands in one micro-batch: the bound on what one device's group holds.
 STREAM_FILES = 64
 HALF_HEIGHT, HALF_WIDTH = 1.3, 2.1
 GRID_HEIGHT, GRID_WIDTH = 1.25, 2.5
+TRAVERSED_HEIGHT, TRAVERSED_WIDTH = 0.0013, 0.0021
 
 
 def query(fn: Query) -> Query:
@@ -125,17 +129,43 @@ def event_journal(spark, sf_dir):
     )
 
 
+def split_commands(cmds: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The commands up to some time, and those after it."""
+    early = F.col("ts") < F.lit(SPLIT_TIME).cast("timestamp_ntz")
+    return cmds.filter(early), cmds.filter(~early)
+
+
+def journal_of_two_loads(spark: SparkSession, sf_dir: str) -> str:
+    """A journal whose second load goes on from the states that the first one left.
+    The first load is appended twice, which changes nothing."""
+    path = workspace(spark, "journal")
+    first, later = split_commands(inputs.commands(spark, sf_dir))
+    for _ in range(2):
+        journal.append_journal(lifecycle.derive_events(first), path, TAG_COUNT, load_id="first")
+    known = journal.last_of_devices(spark, path)
+    events = lifecycle.derive_events(later, initial=known)
+    journal.append_journal(events, path, TAG_COUNT, load_id="later")
+    return path
+
+
+@query
+def event_journal_two_loads(spark, sf_dir):
+    return journal.read_journal(spark, journal_of_two_loads(spark, sf_dir)).select(
+        "ordering", "persistence_id", "sequence_number", "write_timestamp", "event_type", "tag"
+    )
+
+
 @query
 def events_by_tag(spark, sf_dir):
-    rows = journal.journal_rows(inputs.device_events(spark, sf_dir), TAG_COUNT)
+    rows = journal.read_journal(spark, inputs.stored_journal(spark, sf_dir, TAG_COUNT))
     tagged = journal.events_by_tag(rows, None, TAG, TAG_OFFSET)
     return tagged.select("ordering", "persistence_id", "event_type")
 
 
 @query
 def journal_tag_join(spark, sf_dir):
-    rows = journal.journal_rows(inputs.device_events(spark, sf_dir), TAG_COUNT)
-    joined = journal.join_tags(rows, journal.event_tags(rows))
+    rows = journal.read_journal(spark, inputs.stored_journal(spark, sf_dir, TAG_COUNT))
+    joined = journal.join_tags(rows, written(journal.event_tags(rows), "event-tags"))
     return joined.select("ordering", "sequence_number", "event_type", "tag")
 
 
@@ -161,10 +191,23 @@ def tile_upsert_replace(spark, sf_dir):
     return shown(store.upsert_tiles(summary.summarize_all(first), given, "replace"))
 
 
+@query
+def tile_replace_stored(spark, sf_dir):
+    """The replacing upsert on the stored table, with a compaction before it."""
+    path = workspace(spark, "tiles")
+    first, _ = split_fleet(spark, sf_dir)
+    store.append_deltas(summary.summarize_all(first), path, 0)
+    store.compact_tiles(spark, path)
+    given = summary.summarize_all(inputs.device_events(spark, sf_dir))
+    store.replace_tiles(written(given, "given"), path, 1)
+    return shown(store.read_tiles(spark, path))
+
+
 @query
 def tile_bulk_load(spark, sf_dir):
     path = workspace(spark, "tiles")
-    first, later = split_fleet(spark, sf_dir)
+    events = written(inputs.fleet_events(spark, sf_dir), "fleet-events")
+    first, later = events.filter("event_id < 0"), events.filter("event_id >= 0")
     store.append_deltas(summary.summarize_all(first), path, 0)
     store.compact_tiles(spark, path)
     store.append_deltas(summary.summarize_all(later), path, 1)
@@ -204,14 +247,19 @@ def device_key_counts(spark, sf_dir):
 def device_key_decode(spark, sf_dir):
     seen = inputs.commands(spark, sf_dir).select(*RECT).distinct()
     keyed = seen.select(device_key().alias("device_key"))
-    decoded = keyed.select("device_key", *parse_key(F.col("device_key")))
-    return decoded.join(shown(inputs.stored_tiles(spark, sf_dir)), RECT)
+    key = F.col("device_key")
+    decoded = keyed.select("device_key", *parse_key(key), *parse_device(key))
+    finest = inputs.stored_tiles(spark, sf_dir).filter(F.col("zoom") == MAX_ZOOM).drop("zoom")
+    return decoded.join(finest, ["row", "col"]).drop("row", "col")
 
 
 @query
 def expand_children(spark, sf_dir):
     mixed = inputs.selections(spark, sf_dir, F.lit(3) + F.col("s_suppkey") % 16)
-    return tiles.expand_children(mixed.select("s_suppkey", *TILE))
+    world = [(-1, 0, 0, 0), (-2, 1, 0, 0), (-3, 1, 0, 1)]
+    world += [(-4 - 6 * row - col, 2, row, col) for row in range(3) for col in range(6)]
+    coarse = spark.createDataFrame(world, mixed.select("s_suppkey", *TILE).schema)
+    return tiles.expand_children(mixed.select("s_suppkey", *TILE).unionByName(coarse))
 
 
 @query
@@ -260,8 +308,8 @@ def zoom_levels(spark, sf_dir):
 
 @query
 def selection_traversal(spark, sf_dir):
-    chosen = inputs.areas(spark, sf_dir, 8, 0.3, 0.7)
-    steps = tiles.traverse_selection(chosen, range(3, 9))
+    chosen = inputs.areas(spark, sf_dir, 8, TRAVERSED_HEIGHT, TRAVERSED_WIDTH)
+    steps = tiles.traverse_selection(chosen, range(0, MAX_ZOOM + 1))
     return steps.select(
         "area_id",
         F.col("tile_zoom").alias("zoom"),
@@ -369,8 +417,12 @@ def summary_rollup(spark, sf_dir):
 
 @query
 def summary_sharded(spark, sf_dir):
-    counted = summary.summarize(inputs.fleet_events(spark, sf_dir), 12)
-    return summary.with_shard(counted, SHARDS)
+    events = inputs.fleet_events(spark, sf_dir)
+    shards = [
+        summary.summarize(events, 12, SHARDS, i).withColumn("shard", F.lit(i))
+        for i in range(SHARDS)
+    ]
+    return reduce(DataFrame.unionByName, shards)
 
 
 @query
@@ -427,6 +479,15 @@ def _with_user_key(events: DataFrame) -> DataFrame:
     return events.select("event_id", device_key().alias("device_key"), "event_type")
 
 
+@query
+def device_events_resumed(spark, sf_dir):
+    """Two loads of commands, the second one from the states the first one ends in."""
+    first, later = split_commands(inputs.commands(spark, sf_dir))
+    early = written(lifecycle.derive_events(first), "device-events")
+    late = lifecycle.derive_events(later, initial=lifecycle.replay(early))
+    return _with_user_key(early.unionByName(late))
+
+
 @query
 def command_outcomes(spark, sf_dir):
     return lifecycle.command_outcomes(inputs.commands(spark, sf_dir))
@@ -439,7 +500,7 @@ def device_state(spark, sf_dir):
 
 @query
 def replay_state(spark, sf_dir):
-    rows = journal.journal_rows(inputs.device_events(spark, sf_dir), 1)
+    rows = journal.read_journal(spark, inputs.stored_journal(spark, sf_dir, TAG_COUNT))
     return lifecycle.replay(rows, ["sequence_number"])
 
 
@@ -498,6 +559,21 @@ def incremental_projection(spark, sf_dir):
     )
 
 
+@query
+def incremental_two_loads(spark, sf_dir):
+    """Two loads, the second one with smaller event ids, each projected as it comes; a
+    tag is paused during the first and goes on after the second."""
+    path, tiles_path = workspace(spark, "journal"), workspace(spark, "tiles")
+    first, later = split_fleet(spark, sf_dir)
+    journal.set_paused(spark, path, "tiles", TAG, True)
+    for events in (later, first):
+        journal.append_journal(events, path, TAG_COUNT)
+        journal.project_increment(spark, path, tiles_path)
+    journal.set_paused(spark, path, "tiles", TAG, False)
+    journal.project_increment(spark, path, tiles_path)
+    return shown(store.read_tiles(spark, tiles_path))
+
+
 @query
 def paused_projections(spark, sf_dir):
     rows, progress = _journal_with_progress(spark, sf_dir)
@@ -512,10 +588,8 @@ def paused_projections(spark, sf_dir):
 
 def _journal_with_progress(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """The journal, and offsets as if each tag's first half had been handled."""
-    path = workspace(spark, "journal")
-    journal.append_journal(inputs.device_events(spark, sf_dir), path, TAG_COUNT)
-    rows = journal.read_journal(spark, path)
-    halfway = F.floor(F.max("ordering") / 2).alias("current_offset")
+    rows = journal.read_journal(spark, inputs.stored_journal(spark, sf_dir, TAG_COUNT))
+    halfway = F.expr("(min(ordering) + max(ordering)) div 2").alias("current_offset")
     progress = rows.groupBy("tag").agg(halfway)
     return rows, progress.select(
         F.lit("tiles").alias("projection_name"),
@@ -591,6 +665,25 @@ def stream_tile_summary(spark, sf_dir):
     return shown(store.read_tiles(spark, f"{target}/tiles"))
 
 
+@query
+def stream_two_projections(spark, sf_dir):
+    """Two projections, each of half the tags, into one table."""
+    target = workspace(spark, "projection")
+    for key in ("even", "odd"):
+        events = summary.assign_tag(_streamed_events(spark, sf_dir), TAG_COUNT)
+        mine = F.col("tag").cast("int") % 2 == int(key == "odd")
+        projection.run_projection(
+            events.filter(mine).drop("tag"),
+            f"{target}/tiles",
+            f"{target}/checkpoint-{key}",
+            offset="event_id",
+            projection="halves",
+            key=key,
+            compact_every=1,
+        ).awaitTermination()
+    return shown(store.read_tiles(spark, f"{target}/tiles"))
+
+
 @query
 def stream_tile_counts(spark, sf_dir):
     target = workspace(spark, "tile-counts")

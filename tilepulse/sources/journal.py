@@ -2,23 +2,39 @@
 
 from __future__ import annotations
 
+import time
+
+from pyspark import StorageLevel
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.grid import COUNTS, DEVICE, RECT
 from ..functions.keys import device_key, tag_of
-from ..operators.skew import CHUNK_ROWS, broadcast_if_small, split_points, with_chunk
-from ..operators.summary import with_deltas
+from ..operators.lifecycle import event_to_state
+from ..operators.skew import CHUNK_ROWS, broadcast_if_small, numbered, split_points, with_chunk
+from ..operators.summary import summarize_all, with_deltas
+from . import store
 
 ORDER = ["ts", "event_id"]
+LOADS = "load int, load_id string"
+MANAGEMENT = "projection_name string, projection_key string, paused boolean, last_updated long"
+# Bits of ``ordering`` for an event's place in its load: 10**12 events, 8 million loads.
+PLACE_BITS = 40
 
 
 def journal_rows(
-    events: DataFrame, tag_count: int, chunk_rows: int | None = CHUNK_ROWS
+    events: DataFrame,
+    tag_count: int,
+    chunk_rows: int | None = CHUNK_ROWS,
+    load: int = 1,
+    earlier: DataFrame | None = None,
 ) -> DataFrame:
-    """Events as journal rows. ``ordering`` is the source's unique id, so no
-    global numbering is needed; ``sequence_number`` counts a device's events.
+    """One load of events as journal rows. ``ordering`` is the place of append: the
+    load's number in the high bits, below it the event's place in the load by time.
+    ``sequence_number`` counts a device's events and goes on from ``earlier``, the
+    devices' last numbers (as of ``last_of_devices``).
 
     A device with a very long history is numbered chunk by chunk: each chunk's
     numbers start after the rows of the chunks before it.
@@ -26,11 +42,11 @@ def journal_rows(
     splits = None if chunk_rows is None else split_points(events, RECT, ORDER, chunk_rows)
     chunked = with_chunk(events, RECT, ORDER, splits)
     number = F.row_number().over(Window.partitionBy(*DEVICE, "chunk").orderBy(*ORDER))
-    numbered = chunked.withColumn("sequence_number", number.cast("bigint"))
+    counted = chunked.withColumn("sequence_number", number.cast("bigint"))
     if splits is not None:
-        earlier = Window.partitionBy(*RECT).orderBy("chunk")
+        before = Window.partitionBy(*RECT).orderBy("chunk")
         rows_before = F.coalesce(
-            F.sum("count").over(earlier.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
+            F.sum("count").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
         )
         offsets = (  # one row per chunk of a hot device
             chunked.join(F.broadcast(splits.select(*RECT)), RECT, "left_semi")
@@ -38,12 +54,17 @@ def journal_rows(
             .count()
             .select(*RECT, "chunk", rows_before.alias("offset"))
         )
-        numbered = numbered.join(F.broadcast(offsets), [*RECT, "chunk"], "left").withColumn(
+        counted = counted.join(F.broadcast(offsets), [*RECT, "chunk"], "left").withColumn(
             "sequence_number", F.col("sequence_number") + F.coalesce("offset", F.lit(0))
         )
+    if earlier is not None:
+        counted = counted.join(earlier.select(*RECT, "last_number"), RECT, "left").withColumn(
+            "sequence_number", F.col("sequence_number") + F.coalesce("last_number", F.lit(0))
+        )
     key = device_key()
-    return numbered.select(
-        F.col("event_id").alias("ordering"),
+    placed = numbered(counted.select(*ORDER, *RECT, "event_type", "sequence_number"), ORDER, "place")
+    return placed.select(
+        (F.col("place") + F.lit(load << PLACE_BITS)).alias("ordering"),
         key.alias("persistence_id"),
         "sequence_number",
         F.lit(False).alias("deleted"),
@@ -55,18 +76,63 @@ def journal_rows(
 
 
 def append_journal(
-    events: DataFrame, path: str, tag_count: int = 1, chunk_rows: int | None = CHUNK_ROWS
+    events: DataFrame,
+    path: str,
+    tag_count: int = 1,
+    chunk_rows: int | None = CHUNK_ROWS,
+    load_id: str | None = None,
 ) -> None:
-    """Append one load of events, partitioned by tag."""
-    rows = journal_rows(events, tag_count, chunk_rows)
-    rows.write.mode("append").partitionBy("tag").parquet(path)
+    """Append one load of events, partitioned by tag. A load that is listed under its
+    ``load_id`` is left alone; one that failed half-way is written anew. Loads are
+    appended one after the other, and a device's later events come in later loads.
+
+        <path>/events/load=<n>/tag=<t>/   the events of load n
+        <path>/last/load=<n>/             its devices' last numbers and states
+        <path>/loads/                     one row per finished load
+    """
+    spark = events.sparkSession
+    finished = _loads(spark, path)
+    if load_id is not None and finished.filter(F.col("load_id") == load_id).head(1):
+        return
+    load = 1 + (finished.agg(F.max("load")).head()[0] or 0)
+    earlier = last_of_devices(spark, path) if load > 1 else None
+    rows = journal_rows(events, tag_count, chunk_rows, load, earlier)
+    rows.write.mode("overwrite").partitionBy("tag").parquet(f"{path}/events/load={load}")
+    stored = spark.read.parquet(f"{path}/events/load={load}")
+    top = F.max_by("event_type", "sequence_number")
+    last = stored.groupBy(*RECT).agg(
+        F.max("sequence_number").alias("last_number"), event_to_state(top).alias("state")
+    )
+    last.write.mode("overwrite").parquet(f"{path}/last/load={load}")
+    row = spark.createDataFrame([(load, load_id if load_id is not None else str(load))], LOADS)
+    row.coalesce(1).write.mode("append").json(f"{path}/loads")
 
 
 def read_journal(spark: SparkSession, path: str) -> DataFrame:
-    rows = spark.read.parquet(path)
+    """The events of all finished loads."""
+    newest = _loads(spark, path).agg(F.max("load")).head()[0] or 0
+    rows = spark.read.parquet(f"{path}/events").filter(F.col("load") <= newest).drop("load")
     return rows.withColumn("tag", F.col("tag").cast("string"))
 
 
+def last_of_devices(spark: SparkSession, path: str) -> DataFrame:
+    """(rectangle, last_number, state) of every device in the finished loads, from
+    the rows that each load keeps per device, not from its events. ``state`` is what
+    the state machine goes on from."""
+    newest = _loads(spark, path).agg(F.max("load")).head()[0] or 0
+    last = spark.read.parquet(f"{path}/last").filter(F.col("load") <= newest)
+    return last.groupBy(*RECT).agg(
+        F.max("last_number").alias("last_number"), F.max_by("state", "load").alias("state")
+    )
+
+
+def _loads(spark: SparkSession, path: str) -> DataFrame:
+    try:
+        return spark.read.schema(LOADS).json(f"{path}/loads")
+    except AnalysisException:  # nothing appended yet
+        return spark.createDataFrame([], LOADS)
+
+
 def event_tags(journal: DataFrame) -> DataFrame:
     """The tag table: one row per event and tag."""
     return journal.select(F.col("ordering").alias("event_id"), "tag")
@@ -118,7 +184,52 @@ def run_incremental(
         F.col("tag").alias("projection_key"),
         F.coalesce("moved_to", "current_offset").alias("current_offset"),
     )
-    return due, advanced
+    others = progress.filter(F.col("projection_name") != projection)
+    return due, advanced.unionByName(others.select(*advanced.columns))
+
+
+def project_increment(
+    spark: SparkSession, path: str, tiles: str, projection: str = "tiles"
+) -> bool:
+    """Add the counts of all events past the saved offsets to the tile table, and save
+    the offsets with them: both or neither. The projection's keys are the tags; those
+    paused (``set_paused``) wait. Returns whether anything was due."""
+    progress = store.read_progress(spark, tiles)
+    due, advanced = run_incremental(
+        read_journal(spark, path), progress, projection, read_management(spark, path)
+    )
+    due = due.persist(StorageLevel.DISK_ONLY)
+    try:
+        moved = due.groupBy("tag").agg(F.max("ordering").alias("top")).collect()  # a row per tag
+        if not moved:
+            return False
+        batch = 1 + max(store.saved_batch(spark, tiles, projection), 0)
+        offsets = {row["tag"]: row["top"] for row in moved}
+        deltas = summarize_all(due)
+        store.append_deltas(deltas, tiles, batch, projection=projection, offsets=offsets)
+    finally:
+        due.unpersist()
+    return True
+
+
+def set_paused(
+    spark: SparkSession, path: str, projection: str, key: str, paused: bool
+) -> None:
+    """Pause a key of a projection, or let it go on; kept beside the journal."""
+    row = (projection, key, paused, time.time_ns() // 1000)
+    rows = spark.createDataFrame([row], MANAGEMENT)
+    rows.coalesce(1).write.mode("append").json(f"{path}/management")
+
+
+def read_management(spark: SparkSession, path: str) -> DataFrame:
+    """(projection_name, projection_key, paused): the latest word on each key."""
+    try:
+        rows = spark.read.schema(MANAGEMENT).json(f"{path}/management")
+    except AnalysisException:  # nothing was ever paused
+        rows = spark.createDataFrame([], MANAGEMENT)
+    return rows.groupBy("projection_name", "projection_key").agg(
+        F.max_by("paused", "last_updated").alias("paused")
+    )
 
 
 def tag_deltas(due: DataFrame) -> DataFrame:

@@ -30,12 +30,12 @@ SELECTION = T.StructType(
 # Reject reason -> message and status of the answer.
 REJECTIONS = {
     "malformed": ("The request content was malformed.", 400),
-    "zoom_range": ("Zoom must be in >= 0 and <= 18.", 400),
-    "lat_order": ("Top left latitude must be greater than bottom right latitude.", 400),
-    "lng_order": ("Top left longitude must be less than bottom right longitude.", 400),
+    "zoom_range": ("The zoom has to lie between 0 and 18.", 400),
+    "lat_order": ("The northern edge has to lie north of the southern one.", 400),
+    "lng_order": ("The western edge has to lie west of the eastern one.", 400),
     "off_map": ("The centre of the rectangle must be on the map.", 400),
     "unknown_action": (
-        "Action '%s' illegal, must be one of: 'create', 'delete', 'happy', or 'sad'.",
+        "Action '%s' is unknown; known are create, ping, delete, happy and sad.",
         500,
     ),
 }

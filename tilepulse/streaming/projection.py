@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamReader, StreamingQuery
@@ -18,7 +21,10 @@ from ..functions.grid import (
 from ..operators.activity import step_deltas
 from ..operators.summary import summarize_all, sums, with_deltas
 from ..operators.tiles import assign_by_centre, climb
-from ..sources.store import append_deltas
+from ..sources.store import append_deltas, compact_tiles
+
+# Micro-batches between two compactions of the table.
+COMPACT_EVERY = 20
 
 
 def group_within(reader: DataStreamReader, files: int) -> DataStreamReader:
@@ -34,21 +40,43 @@ def run_projection(
     checkpoint: str,
     interval: str | None = None,
     offset: str | None = None,
+    projection: str = "tiles",
+    key: str = "",
+    compact_every: int | None = COMPACT_EVERY,
 ) -> StreamingQuery:
     """Add every micro-batch's counts to the tile table at ``path``, exactly
     once: the batch and its offset become visible together, and a micro-batch
     that is run again is recognised by its id.
 
+    Several projections may feed one table, each under a ``projection`` and ``key`` of
+    its own. A key goes on with the checkpoint it began with; another checkpoint, also
+    a renewed one in the same place, is refused.
+
     ``interval`` is the longest wait, "1 second" say; without it the query takes
     what there is, in bounded micro-batches, and ends. ``offset`` names the
-    column whose maximum is saved with each batch.
+    column whose maximum is saved with each batch. A micro-batch is computed once
+    (kept while it is written; a lost executor's share is computed again). Every
+    ``compact_every`` micro-batches the table is compacted; leave that to one of
+    several projections by giving the others None.
     """
+    spark = events.sparkSession
+    writer: list[str] = []
 
     def project(batch: DataFrame, batch_id: int) -> None:
-        if batch.isEmpty():
-            return
-        top = batch.agg(F.max(offset)).head()[0] if offset else None
-        append_deltas(summarize_all(batch), path, batch_id, top)
+        if not writer:  # the id that a query keeps as long as its checkpoint
+            described = spark.read.text(f"{checkpoint}/metadata").head()
+            writer.append(json.loads(described[0])["id"])
+        kept = batch.persist(StorageLevel.DISK_ONLY)
+        try:
+            counted = summarize_all(kept)
+            found = F.max(offset) if offset else F.lit(None).cast("bigint")
+            total, top = kept.agg(F.count("*"), found).head()
+            if total:
+                append_deltas(counted, path, batch_id, top, projection, key, writer[0])
+        finally:
+            kept.unpersist()
+        if compact_every and batch_id % compact_every == compact_every - 1:
+            compact_tiles(spark, path)
 
     trigger = {"processingTime": interval} if interval else {"availableNow": True}
     return (
