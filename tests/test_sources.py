@@ -203,8 +203,9 @@ def test_loads_go_on_where_the_last_one_ended(spark, tmp_path, chunk_rows):
     cmds = commands(spark, crowd(43, 900))
     whole = lifecycle.derive_events(cmds).collect()
     path, known = str(tmp_path / "journal"), None
+    thirds = cmds.withColumn("third", F.ntile(3).over(Window.orderBy(*journal.ORDER)))
     for i in range(3):
-        part = cmds.filter(F.ntile(3).over(Window.orderBy(*journal.ORDER)) == i + 1)
+        part = thirds.filter(F.col("third") == i + 1).drop("third")
         events = lifecycle.derive_events(part, chunk_rows, initial=known)
         for _ in range(2):  # the second time it is listed already
             journal.append_journal(events, path, 4, chunk_rows, load_id=f"load {i}")
