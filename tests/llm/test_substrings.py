@@ -1,0 +1,183 @@
+import hashlib
+import random
+from collections import Counter, defaultdict
+
+import odd
+import pytest
+
+from conftest import SMALL
+from tilepulse.llm import chunk_dedup, queries, suffix_dedup
+
+
+def long_repeats(texts, length=200):
+    """Per text: (bytes, removed, spans, digest of the rest), by counting every string."""
+    seen = Counter(t[p : p + length] for t in texts for p in range(len(t) - length + 1))
+    out = []
+    for t in texts:
+        gone = bytearray(len(t))
+        for p in range(len(t) - length + 1):
+            if seen[t[p : p + length]] > 1:
+                gone[p : p + length] = b"\1" * length
+        spans = sum(g and (not i or not gone[i - 1]) for i, g in enumerate(gone))
+        rest = bytes(c for c, g in zip(t, gone) if not g)
+        out.append((len(t), sum(gone), spans, hashlib.sha256(rest).hexdigest()))
+    return out
+
+
+def mixed_texts(seed, n):
+    """Pieces of a few passages, cut and changed, between random filling."""
+    rng = random.Random(seed)
+    pool = ["".join(rng.choices("abcd ", k=rng.randint(150, 400))) for _ in range(6)]
+    pool += ["a" * 500, "ab" * 300]
+    texts = []
+    for _ in range(n):
+        parts = []
+        for _ in range(rng.randint(0, 5)):
+            x = rng.choice(pool)
+            if rng.random() < 0.6:
+                j = rng.randrange(len(x))
+                x = x[:j] + rng.choice("xyzé") + x[j:]
+            parts.append(x[rng.randrange(len(x)) // 3 :] + "".join(rng.choices("pqrs", k=rng.randint(0, 60))))
+        texts.append("".join(parts))
+    return [*texts, None, texts[3], ""]
+
+
+def shown(r):
+    return r.n_bytes, r.n_removed, len(r.spans), hashlib.sha256(r.kept).hexdigest()
+
+
+@pytest.mark.parametrize("block", [2_048, 5])
+def test_suffixes_equal_counting(spark, monkeypatch, block):
+    monkeypatch.setattr(suffix_dedup, "BLOCK", block)
+    texts = mixed_texts(4, 90)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = long_repeats([(t or "").encode() for t in texts])
+    got = {r.doc_id: shown(r) for r in suffix_dedup.deduplicated(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+    assert sum(w[1] > 0 for w in want) > 40
+
+
+def test_induced_order_is_suffix_order():
+    rng = random.Random(9)
+    items = sorted((rng.randrange(4), "".join(rng.choices("ab", k=30)).encode()) for _ in range(60))
+    left = ["".join(rng.choices("ab", k=rng.randint(0, 12))).encode() for _ in items]
+    import numpy as np
+
+    steps = suffix_dedup.induced(np.array([g for g, _ in items]), left, [r for _, r in items])
+    for t, (order, shared) in enumerate(steps):
+        whole = [(items[i][0], (left[i][len(left[i]) - t :] if t else b"") + items[i][1]) for i in order]
+        assert whole == sorted(whole)
+        for k in range(1, len(whole)):
+            (g, a), (h, b) = whole[k - 1], whole[k]
+            n = suffix_dedup.shared_prefix(a, b) if g == h else 0
+            assert shared[k] == n
+
+
+def test_seeds_of_long_texts_do_not_depend_on_blocks(monkeypatch):
+    raw = "".join(random.Random(2).choices("abcdefg ", k=5_000)).encode()
+    whole = {p: q for a, b, q in suffix_dedup.seeds(raw) for p in range(a, b + 1)}
+    monkeypatch.setattr(suffix_dedup, "STARTS", 300)
+    parts = {p: q for a, b, q in suffix_dedup.seeds(raw) for p in range(a, b + 1)}
+    assert whole == parts and sorted(whole) == list(range(len(raw) - 199))
+
+
+def test_odd_documents_suffixes(spark):
+    rows = odd.rows()
+    found = suffix_dedup.deduplicated(odd.documents(spark)).collect()
+    want = long_repeats([(r[1] or "").encode() for r in rows])
+    assert Counter(map(shown, found)) == Counter(want)
+    assert suffix_dedup.deduplicated(odd.none(spark)).count() == 0
+
+
+def test_query_4(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()
+    want = dict(zip([r.doc_id for r in docs], long_repeats([r.text.encode() for r in docs])))
+    rows = queries.QUERIES["op4_suffix_dedup"](spark, SMALL).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows} == want
+
+
+# --- chunks ---------------------------------------------------------------------
+
+
+def plain_chunks(docs):
+    """(id, text) -> (repeated, removed, kept), chunk by chunk in one process."""
+    seen, first = Counter(), {}
+    for i, t in docs:
+        for a, b in zip([0, *chunk_dedup.chunk_ends(t)], chunk_dedup.chunk_ends(t)):
+            seen[t[a:b]] += 1
+            key = ((i is not None, i or 0), hash_order(t), a)
+            first[t[a:b]] = min(first.get(t[a:b], key), key)
+    out = []
+    for i, t in docs:
+        ends = chunk_dedup.chunk_ends(t)
+        spans = []
+        for a, b in zip([0, *ends], ends):
+            if seen[t[a:b]] > 1:
+                own = ((i is not None, i or 0), hash_order(t), a) == first[t[a:b]]
+                spans.append({"start": a, "length": b - a, "original": own})
+        gone = chunk_dedup.whole_characters(t, chunk_dedup.runs(spans, True))
+        repeated = sum(b - a for a, b in chunk_dedup.runs(spans, False))
+        kept = chunk_dedup.without(t, gone).decode()
+        out.append((i, repeated, sum(b - a for a, b in gone), kept))
+    return out
+
+
+def hash_order(text):
+    return text  # ids differ wherever the order of texts would matter
+
+
+def test_chunks_cover_the_text_and_respect_their_bounds():
+    rng = random.Random(1)
+    for n in (0, 1, 23, 24, 300, 5_000, 50_000):
+        raw = "".join(rng.choices("abc de\né", k=n)).encode()
+        ends = chunk_dedup.chunk_ends(raw)
+        sizes = [b - a for a, b in zip([0, *ends], ends)]
+        assert sum(sizes) == len(raw)
+        assert all(chunk_dedup.LEAST <= s <= chunk_dedup.MOST for s in sizes[:-1])
+
+
+def test_the_gear_hash_rolls():
+    raw = bytes(random.Random(5).choices(range(256), k=400))
+    import numpy as np
+
+    got = chunk_dedup.gear_hash(np.frombuffer(raw, np.uint8))
+    h = 0
+    for i, c in enumerate(raw):
+        h = ((h << 1) + int(chunk_dedup.GEAR[c])) & 0xFFFFFFFF
+        assert int(got[i]) == h
+
+
+def test_an_insertion_moves_few_chunks():
+    rng = random.Random(7)
+    raw = "".join(rng.choices("abcdefghij ", k=20_000)).encode()
+    more = raw[:5_000] + b"inserted" + raw[5_000:]
+
+    def digests(t):
+        ends = chunk_dedup.chunk_ends(t)
+        return {t[a:b] for a, b in zip([0, *ends], ends)}
+
+    assert len(digests(raw) - digests(more)) < 12
+
+
+def test_query_3_and_odd_documents(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()
+    want = plain_chunks([(r.doc_id, r.text.encode()) for r in docs])
+    rows = queries.QUERIES["op3_chunk_dedup"](spark, SMALL).collect()
+    got = {r.doc_id: (r.n_repeated, r.n_removed, r.kept_sha256) for r in rows}
+    for i, repeated, removed, kept in want:
+        assert got[i] == (repeated, removed, hashlib.sha256(kept.encode()).hexdigest())
+    found = chunk_dedup.deduplicated(odd.documents(spark)).collect()
+    want = plain_chunks([(r[0], (r[1] or "").encode()) for r in odd.rows()])
+    assert Counter((r.doc_id, r.n_repeated, r.n_removed, r.kept) for r in found) == Counter(want)
+    assert chunk_dedup.deduplicated(odd.none(spark)).count() == 0
+
+
+def test_passages_of_fifty_words_are_caught(spark):
+    rng = random.Random(12)
+    passage = odd.prose(rng, 60)
+    docs = [(i, f"{odd.prose(rng, 90)} {passage} {odd.prose(rng, 70)}") for i in range(20)]
+    docs += [(100 + i, odd.prose(rng, 200)) for i in range(20)]
+    rows = chunk_dedup.deduplicated(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    by_id = defaultdict(int, {r.doc_id: r.n_repeated for r in rows})
+    assert all(by_id[i] > 0 for i in range(20)) and not any(by_id[100 + i] for i in range(20))
+    assert sum(r.n_removed > 0 for r in rows) == 19
