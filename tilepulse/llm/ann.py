@@ -3,9 +3,14 @@
 The trees are grown on a bounded sample: a node's hyperplane lies midway between
 two of its vectors, drawn at random; nodes of at most ``LEAF`` sample vectors are
 leaves. Every row is then filed in one leaf of each tree. A query goes down all
-trees at once through one priority queue ordered by the smallest margin on the
-way, and visits the ``PROBES`` leaves that come first. All vectors of those leaves
-are candidates, and are ranked by exact inner products in double precision.
+trees at once through one priority queue, ordered by the squared distances to the
+hyperplanes on whose other side a node lies, and visits the ``PROBES`` leaves that come
+first. All vectors of those leaves are candidates, and are ranked by exact inner
+products in double precision.
+
+How many leaves it takes depends on the vectors, hardly on their number: where they
+have no structure at all, as in random directions, nine tenths of the nearest are
+found only by comparing with a third of all rows, whatever the index.
 
 To seek the largest inner product with hyperplanes, stored vectors get one more
 component, sqrt(longest^2 - length^2), and queries a zero there: the angle between
@@ -43,7 +48,7 @@ from .tables import is_small
 NEAREST = 20
 # Rows of the sample that the trees are grown on, by a hash of the id.
 SAMPLE = 16_384
-TREES, LEAF, PROBES = 12, 64, 160
+TREES, LEAF, PROBES = 12, 64, 240
 SEED = 11
 # Rows, and queries, that meet in one task's block.
 BLOCK = 2_048
@@ -78,6 +83,7 @@ class Tree:
         for _ in range(3 if len(rows) > leaf else 0):
             a, b = sample[rng.choice(rows, 2, replace=False)]
             normal = a - b
+            normal /= np.sqrt((normal**2).sum()) + 1e-12
             offset = -float(normal @ (a + b)) / 2
             right = sample[rows] @ normal + offset > 0
             if 0 < right.sum() < len(rows):
@@ -128,18 +134,18 @@ class Forest:
         length = float(np.sqrt((query**2).sum()))
         query = np.append(query * (self.longest / length), 0.0).astype(np.float32)
         margins = [tree.planes @ query + tree.shifts for tree in self.trees]
-        queue = [(-np.inf, i, tree.root) for i, tree in enumerate(self.trees)]
+        queue = [(0.0, i, tree.root) for i, tree in enumerate(self.trees)]
         heapq.heapify(queue)
         found: list[tuple[int, int]] = []
         while queue and len(found) < probes:
-            rank, i, node = heapq.heappop(queue)
+            far, i, node = heapq.heappop(queue)
             if node < 0:
                 found.append((i, -node - 1))
                 continue
             margin = float(margins[i][node])
             left, right = self.trees[i].children[node]
-            heapq.heappush(queue, (max(rank, margin), i, left))
-            heapq.heappush(queue, (max(rank, -margin), i, right))
+            heapq.heappush(queue, (far + max(0.0, margin) ** 2, i, left))
+            heapq.heappush(queue, (far + max(0.0, -margin) ** 2, i, right))
         return found
 
 
