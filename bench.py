@@ -14,8 +14,10 @@ import time
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tilepulse.operators import summary, tiles
+from tilepulse.functions.grid import RECT
+from tilepulse.operators import lifecycle, summary, tiles
 from tilepulse.plans import inputs
 from tilepulse.plans.queries import QUERIES
 
@@ -75,6 +77,13 @@ def expanded_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return expanded.groupBy(*summary.TILE).agg(*summary.sums())
 
 
+def hot_device(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All commands as those of one device, cut into more than a thousand chunks."""
+    cmds = inputs.commands(spark, sf_dir).drop(*RECT)
+    rect = [F.lit(v).alias(c) for c, v in zip(RECT, (18, 2.0, 1.0, 1.0, 2.0))]
+    return lifecycle.derive_events(cmds.select("*", *rect), chunk_rows=64)
+
+
 def main() -> None:
     spark = (
         SparkSession.builder.master(f"local[{CPUS}]")
@@ -90,6 +99,7 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     jobs = {name: QUERIES[name] for name in HEADLINE}
     jobs["summary_expanded_first"] = expanded_first
+    jobs["hot_device"] = hot_device
     jobs["fill_zoom_12"] = filled_tile(12)
     jobs["fill_zoom_8"] = filled_tile(8)
     jobs["activate_zoom_8"] = activated_tile(8)

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
 from ..functions.grid import DEVICE, RECT
-from .skew import CHUNK_ROWS, split_points, with_chunk
+from .skew import CHUNK_ROWS, Splits, split_points, with_chunk
 
 ORDER = ["ts", "event_id"]
 
@@ -102,7 +102,7 @@ def device_history(
     keys = DEVICE
     if splits is not None:
         keys, chunked = [*DEVICE, "chunk"], with_chunk(started, RECT, ORDER, splits)
-        starts = F.broadcast(_chunk_starts(chunked, splits))  # one row per chunk of a hot device
+        starts = splits.side(_chunk_starts(chunked, splits))  # one row per chunk of a hot device
         started = chunked.join(starts, keys, "left").withColumn(
             "start", F.coalesce("chunk_start", "start")
         )
@@ -124,7 +124,7 @@ def device_history(
     )
 
 
-def _chunk_starts(chunked: DataFrame, splits: DataFrame) -> DataFrame:
+def _chunk_starts(chunked: DataFrame, splits: Splits) -> DataFrame:
     """State in which each chunk of a hot device begins."""
     known = F.last("activity", ignorenulls=True).over(_before([*DEVICE, "chunk"]))
     here = F.struct(*ORDER)
@@ -133,7 +133,7 @@ def _chunk_starts(chunked: DataFrame, splits: DataFrame) -> DataFrame:
         return F.max_by(column, F.when(F.col(column).isNotNull(), here))
 
     effects = (
-        chunked.join(F.broadcast(splits.select(*RECT)), RECT, "left_semi")
+        chunked.join(splits.hot(), RECT, "left_semi")
         .select(*RECT, "chunk", "action", "start", *ORDER, _activity().alias("activity"))
         .withColumn("mood_if_inactive", _mood(F.coalesce(known, F.lit(False))))
         .withColumn("mood_if_active", _mood(F.coalesce(known, F.lit(True))))

@@ -1,12 +1,14 @@
 """Helpers that keep hot keys from landing in one task.
 
-Both work out a bounded description of the hot keys first (at most
-``MAX_SPLITS`` rows, by construction), so that it is safe to broadcast, and both
-leave the result exactly as it would be without them.
+Both work out a description of the hot keys first, which is broadcast only if it has
+at most ``MAX_SPLITS`` rows, and both leave the result exactly as it would be without
+them.
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,63 +48,107 @@ def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
     )
 
 
+class Splits(NamedTuple):
+    """Where to cut the ordered rows of hot keys: one row per hot key with a sorted
+    array ``cuts``. ``small`` says whether they are few enough to broadcast."""
+
+    table: DataFrame
+    keys: list[str]
+    small: bool
+
+    def side(self, df: DataFrame) -> DataFrame:
+        """For a join with as many rows as there are cuts, or fewer."""
+        return F.broadcast(df) if self.small else df
+
+    def hot(self) -> DataFrame:
+        return self.side(self.table.select(*self.keys))
+
+
 def split_points(
     df: DataFrame, keys: list[str], order: list[str], chunk_rows: int = CHUNK_ROWS
-) -> DataFrame | None:
-    """Where to cut the ordered rows of hot keys so that each piece holds about
-    ``chunk_rows``: one row per hot key with a sorted array ``cuts`` and the
-    ``steps`` of a binary search in it. None if the whole input is no larger than
-    one piece, or no key is.
-
-    The cuts come from a sample picked by a hash of the order columns. They only
-    balance the work: any cuts give the same answer.
+) -> Splits | None:
+    """Cuts so that each piece of a hot key's rows holds about ``chunk_rows``, however
+    many rows there are. None if no key has more than one piece.
+
+    The cuts come from a sample picked by a hash of the order columns, in one pass. They
+    only balance the work: any cuts give the same answer. They are written down, so every
+    use of them, and every retry of a task, sees the same ones.
     """
-    total = df.count()
-    if total <= chunk_rows:
-        return None
-    chunk_rows = max(chunk_rows, -(-total // MAX_SPLITS))
     one_in = max(1, chunk_rows // SAMPLES_PER_CHUNK)
     step = max(1, chunk_rows // one_in)
     sample = df.select(*keys, *order)
     if one_in > 1:
         sample = sample.filter(F.pmod(F.xxhash64(*order), F.lit(one_in)) == 0)
     nth = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    cuts = F.sort_array(F.collect_list(F.struct(*order)))
-    halvings = F.sequence(F.floor(F.log2(F.size("cuts"))).cast("int"), F.lit(0))
     found = (
         sample.withColumn("nth", nth)
         .filter(F.col("nth") % step == 0)
         .groupBy(*keys)
-        .agg(cuts.alias("cuts"))
-        .withColumn(
-            "steps",
-            F.transform(halvings, lambda bit: F.call_function("shiftleft", F.lit(1), bit)),
-        )
+        .agg(F.sort_array(F.collect_list(F.struct(*order))).alias("cuts"))
     )
-    # At most total / chunk_rows cuts. Kept as a literal table, so every use of
-    # it in a plan, and every retry of a task, sees the same cuts.
-    rows = found.collect()
-    return df.sparkSession.createDataFrame(rows, found.schema) if rows else None
+    stored = written(found, "cuts")
+    total = stored.agg(F.sum(F.size("cuts"))).head()[0]
+    return Splits(stored, keys, total <= MAX_SPLITS) if total else None
 
 
 def with_chunk(
-    df: DataFrame, keys: list[str], order: list[str], splits: DataFrame | None
+    df: DataFrame, keys: list[str], order: list[str], splits: Splits | None
 ) -> DataFrame:
-    """Add ``chunk``: how many cuts lie at or before the row (0 for cold keys)."""
+    """Add ``chunk``: how many cuts lie at or before the row (0 for cold keys).
+
+    A hot key's time, the first of the order columns, is divided into as many equal
+    slices as it has cuts; a row looks up its slice, with the number of cuts before
+    that and the few cuts in it. So a row's cost does not grow with the cuts.
+    """
     if splits is None:
         return df.withColumn("chunk", F.lit(0))
-    here = F.struct(*order)
-
-    def advance(pos: Column, step: Column) -> Column:
-        nxt = pos + step
-        return F.when(
-            (nxt <= F.size("cuts")) & (F.get(F.col("cuts"), nxt - 1) <= here), nxt
-        ).otherwise(pos)
 
-    found = F.aggregate("steps", F.lit(0), advance)
-    chunk = F.when(F.col("cuts").isNull(), 0).otherwise(found)
-    marked = df.join(F.broadcast(splits), keys, "left").withColumn("chunk", chunk)
-    return marked.drop("cuts", "steps")
+    def micros(time: Column) -> Column:
+        return F.unix_micros(time.cast("timestamp"))
+
+    def slice_of(time: Column) -> Column:
+        place = F.floor((micros(time) - F.col("time_from")) / F.col("time_width"))
+        return F.least(place, F.col("slices").cast("bigint"))
+
+    time = order[0]
+    first, last = [micros(F.col("cuts")[i][time]) for i in (F.lit(0), F.size("cuts") - 1)]
+    width = F.greatest(F.lit(1), F.ceil((last - first + 1) / F.size("cuts")))
+    lines = splits.table.select(
+        *keys,
+        first.alias("time_from"),
+        width.alias("time_width"),
+        F.size("cuts").alias("slices"),
+        "cuts",
+    )
+    each = lines.select("*", F.posexplode("cuts").alias("nth", "cut"))
+    filled = (
+        each.withColumn("slice", slice_of(F.col("cut")[time]))
+        .groupBy(*keys, "slice")
+        .agg(
+            F.min("nth").alias("cuts_before"),
+            F.sort_array(F.collect_list("cut")).alias("cuts_here"),
+        )
+    )
+    numbers = F.sequence(F.lit(0).cast("bigint"), F.col("slices").cast("bigint"))
+    every = lines.select(*keys, F.explode(numbers).alias("slice"))
+    line = Window.partitionBy(*keys).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    passed = F.last(F.col("cuts_before") + F.size("cuts_here"), ignorenulls=True).over(line)
+    slices = every.join(filled, [*keys, "slice"], "left").select(
+        *keys,
+        "slice",
+        F.coalesce("cuts_before", passed, F.lit(0)).alias("cuts_before"),
+        "cuts_here",
+    )
+    here = F.struct(*order)
+    among = F.coalesce(F.size(F.filter("cuts_here", lambda cut: cut <= here)), F.lit(0))
+    return (
+        df.join(splits.side(lines.drop("cuts")), keys, "left")
+        .withColumn("slice", slice_of(F.col(time)))
+        .join(splits.side(slices), [*keys, "slice"], "left")
+        .withColumn("among", F.when(F.col("cuts_here").isNull(), 0).otherwise(among))
+        .withColumn("chunk", F.coalesce(F.col("cuts_before") + F.col("among"), F.lit(0)).cast("int"))
+        .drop("time_from", "time_width", "slices", "slice", "cuts_before", "cuts_here", "among")
+    )
 
 
 def salted_join(

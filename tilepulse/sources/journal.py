@@ -16,6 +16,7 @@ from ..operators.lifecycle import event_to_state
 from ..operators.skew import CHUNK_ROWS, broadcast_if_small, numbered, split_points, with_chunk
 from ..operators.summary import summarize_all, with_deltas
 from . import store
+from .workspace import written
 
 ORDER = ["ts", "event_id"]
 LOADS = "load int, load_id string"
@@ -49,12 +50,12 @@ def journal_rows(
             F.sum("count").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
         )
         offsets = (  # one row per chunk of a hot device
-            chunked.join(F.broadcast(splits.select(*RECT)), RECT, "left_semi")
+            chunked.join(splits.hot(), RECT, "left_semi")
             .groupBy(*RECT, "chunk")
             .count()
             .select(*RECT, "chunk", rows_before.alias("offset"))
         )
-        counted = counted.join(F.broadcast(offsets), [*RECT, "chunk"], "left").withColumn(
+        counted = counted.join(splits.side(offsets), [*RECT, "chunk"], "left").withColumn(
             "sequence_number", F.col("sequence_number") + F.coalesce("offset", F.lit(0))
         )
     if earlier is not None:
@@ -96,6 +97,8 @@ def append_journal(
         return
     load = 1 + (finished.agg(F.max("load")).head()[0] or 0)
     earlier = last_of_devices(spark, path) if load > 1 else None
+    # Written first: what derives the events would else run for each of the steps below.
+    events = written(events.select(*ORDER, *RECT, "event_type"), "load")
     rows = journal_rows(events, tag_count, chunk_rows, load, earlier)
     rows.write.mode("overwrite").partitionBy("tag").parquet(f"{path}/events/load={load}")
     stored = spark.read.parquet(f"{path}/events/load={load}")

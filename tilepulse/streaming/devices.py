@@ -34,7 +34,10 @@ def _step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Ite
     order = np.lexsort((ident, ts))
     start = state.get[0] if state.exists else "I"
     events, after = apply_commands(start, (ACTIONS[c] for c in code[order]))
-    if after != start or not state.exists:
+    if after == "I":  # what a device without state is taken for
+        if state.exists:
+            state.remove()
+    elif after != start:
         state.update((after,))
     changed = [i for i, event in enumerate(events) if event]
     if changed:
@@ -45,7 +48,8 @@ def _step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Ite
 
 def stream_device_events(cmds: DataFrame) -> DataFrame:
     """Change events of an unbounded command stream (columns as in the batch
-    job, ``ts`` a timestamp). State is one letter per device and never expires.
+    job, ``ts`` a timestamp). State is one letter per active device; it never expires,
+    and goes when its device is deactivated.
 
     Commands are put in order within a micro-batch; one that arrives in a later
     micro-batch is applied then, in arrival order. A hot device's group is

@@ -27,11 +27,16 @@ from ..sources.store import append_deltas, compact_tiles
 COMPACT_EVERY = 20
 
 
-def group_within(reader: DataStreamReader, files: int) -> DataStreamReader:
-    """Bound the events handled together by the files a micro-batch takes; the
-    other bound, a time, is the trigger interval. (For Kafka the same limit is
-    called ``maxOffsetsPerTrigger``.)"""
-    return reader.option("maxFilesPerTrigger", files)
+def group_within(
+    reader: DataStreamReader, files: int | None = None, size: str | None = None
+) -> DataStreamReader:
+    """Bound the events handled together by the files, or by the bytes ("64m", say), that
+    a micro-batch takes; the other bound, a time, is the trigger interval. A file is never
+    split, so write files of bounded size. (For Kafka the same limit is called
+    ``maxOffsetsPerTrigger``.)"""
+    if files is not None:
+        return reader.option("maxFilesPerTrigger", files)
+    return reader if size is None else reader.option("maxBytesPerTrigger", size)
 
 
 def run_projection(
