@@ -40,7 +40,7 @@ LEAST, MOST, MASK_BITS = 24, 256, 5
 # Bytes that the gear hash looks back on: one bit of the hash each.
 WINDOW = 32
 # Least bytes of adjacent repeated chunks that are a passage.
-LEAST_RUN = 120
+LEAST_RUN = 64
 GEAR_SEED = 3
 GEAR = np.random.default_rng(GEAR_SEED).integers(0, 1 << 32, 256, np.uint32)
 
