@@ -13,12 +13,11 @@ the Jaccard similarity of the labelled k-mers that keep their order.
 
 Classes are the connected components of these links. Texts of equal words are one
 node from the start, so copies cost a row each. In a bucket every node is compared
-with one pivot first; only nodes of buckets that are not one component by then are
-compared further, with new pivots while that resolves them and, last, each with the
-nodes of the other components that no bound rules out. So a bucket of many near
-copies costs a comparison per node, not per pair, and no candidate link is passed by.
-The bounds: lengths too different; and, as the Jaccard distance of labelled k-mers
-is a metric, distances to a common pivot that differ by more than the limit.
+with one pivot first; only buckets that are not one component by then go on. Their
+nodes meet in bounded blocks, where the Jaccard similarity of k-mers (which is never less
+than that in order) of all pairs comes from a matrix product, and those that reach the
+limit are aligned while they lie in different components. Blocks hand on the links that
+join components, never pairs, and no candidate that could join two is passed by.
 
 Defined results for odd inputs:
 
@@ -54,8 +53,8 @@ SEED = 7
 SKETCHED = 1 << 15
 # Words whose hash a worker remembers.
 MEMORY = 500_000
-# Rounds of further pivots, while they resolve anything.
-PIVOT_ROUNDS = 3
+# Nodes and k-mers that meet in one task's block, and columns of its matrix at once.
+BLOCK, BLOCK_MERS, COLUMNS = 2_048, 2_000_000, 2_048
 # Mixing constants (fixed values: the 64-bit finalizer of SplitMix, and its step).
 MIX_A, MIX_B, STEP = 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15
 U = np.uint64
@@ -231,9 +230,7 @@ def compared(pairs: DataFrame, sequences: DataFrame) -> DataFrame:
         for batch in batches:
             found = []
             for a, b in zip(batch.column(2), batch.column(3)):
-                a = np.frombuffer(a.as_buffer(), np.uint32).astype(np.uint64)
-                b = np.frombuffer(b.as_buffer(), np.uint32).astype(np.uint64)
-                found.append(similarity(a, b))
+                found.append(similarity(unpacked(a), unpacked(b)))
             jaccard, aligned = zip(*found) if found else ([], [])
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:2], pa.array(jaccard, pa.float64()), pa.array(aligned, pa.float64())],
@@ -245,14 +242,12 @@ def compared(pairs: DataFrame, sequences: DataFrame) -> DataFrame:
     )
 
 
-def pivot_pairs(members: DataFrame, turn: int) -> DataFrame:
-    """Distinct pairs (a, b) of a node and its bucket's pivot, the node of least hash
-    in this turn. Lengths that rule a pair out are left out."""
-    hashed = F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "size")
+def pivot_pairs(members: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of a node and its bucket's pivot, the node of least hash.
+    Lengths that rule a pair out are left out."""
+    hashed = F.struct(F.xxhash64("node", F.lit(SEED)).alias("h"), "node", "size")
     pivots = members.groupBy("bucket").agg(F.min(hashed).alias("p"))
-    pivots = pivots.select(F.col("bucket").alias("_bucket"), "p.node", "p.size").toDF(
-        "_bucket", "b", "_size"
-    )
+    pivots = pivots.select("bucket", "p.node", "p.size").toDF("_bucket", "b", "_size")
     joined = members.join(pivots, F.col("bucket") == F.col("_bucket"))
     fits = F.least("size", "_size") >= SIMILAR * F.greatest("size", "_size")
     return (
@@ -265,7 +260,7 @@ def pivot_pairs(members: DataFrame, turn: int) -> DataFrame:
 def rooted(members: DataFrame, links: DataFrame) -> DataFrame:
     """Members with the ``root`` of their component so far."""
     found = components(links).withColumnRenamed("node", "_node")
-    joined = members.drop("root").join(found, F.col("node") == F.col("_node"), "left")
+    joined = members.join(found, F.col("node") == F.col("_node"), "left")
     return joined.withColumn("root", F.coalesce("root", "node")).drop("_node")
 
 
@@ -276,17 +271,70 @@ def unresolved(members: DataFrame) -> DataFrame:
     return members.join(mixed_up, F.col("bucket") == F.col("_bucket"), "left_semi")
 
 
-def remaining_pairs(members: DataFrame, done: DataFrame) -> DataFrame:
-    """Pairs of different components in a bucket that were not compared yet and that
-    neither length nor the distances to a node compared with both rules out."""
-    one = members.select("bucket", F.col("node").alias("a"), F.col("size").alias("_sa"), F.col("root").alias("_ra"))
-    two = members.select(F.col("bucket").alias("_bucket"), F.col("node").alias("b"), F.col("size").alias("_sb"), F.col("root").alias("_rb"))
-    fits = F.least("_sa", "_sb") >= SIMILAR * F.greatest("_sa", "_sb")
-    met = (F.col("bucket") == F.col("_bucket")) & (F.col("a") < F.col("b"))
-    pairs = one.join(two, met & (F.col("_ra") != F.col("_rb")) & fits).select("a", "b").distinct()
-    old = done.select(F.col("a").alias("_a"), F.col("b").alias("_b"))
-    same = (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b"))
-    return pairs.join(old, same, "left_anti")
+def block_links(block: pa.Table) -> pa.Table:
+    """For ``applyInArrow``: links (a, b) between nodes of a block that join components
+    not joined so far. The Jaccard similarity of all of the block's pairs comes from
+    products of its matrix of nodes and k-mers; pairs that reach the limit are aligned
+    as long as they lie in different components."""
+    nodes, first = np.unique(np.array(block["node"].to_pylist(), object), return_index=True)
+    roots = [block["root"][int(i)].as_py() for i in first]
+    marked = [labelled(unpacked(block["mers"][int(i)])) for i in first]
+    sizes = np.array([len(m) for m in marked])
+    owner = np.repeat(np.arange(len(nodes)), sizes)
+    mers, place, often = np.unique(np.concatenate(marked), return_inverse=True, return_counts=True)
+    shared = np.zeros((len(nodes), len(nodes)), np.float32)
+    kept = np.flatnonzero(often > 1)
+    for start in range(0, len(kept), COLUMNS):
+        column = np.full(len(mers), -1)
+        part = kept[start : start + COLUMNS]
+        column[part] = np.arange(len(part))
+        at = column[place]
+        matrix = np.zeros((len(nodes), len(part)), np.float32)
+        matrix[owner[at >= 0], at[at >= 0]] = 1
+        shared += matrix @ matrix.T
+    jaccard = shared / (sizes[:, None] + sizes[None, :] - shared)
+    left, right = np.nonzero(np.triu(jaccard >= SIMILAR - 1e-6, 1))
+    best = np.argsort(-jaccard[left, right], kind="stable")
+    parent = {root: root for root in roots}
+
+    def top(root):
+        while parent[root] != root:
+            root = parent[root] = parent[parent[root]]
+        return root
+
+    found = []
+    for i, j in zip(left[best].tolist(), right[best].tolist()):
+        x, y = top(roots[i]), top(roots[j])
+        if x != y:
+            one, two = (unpacked(block["mers"][int(first[k])]) for k in (i, j))
+            if similarity(one, two)[1] >= SIMILAR:
+                parent[x] = y
+                found.append((nodes[i], nodes[j]))
+    columns = list(zip(*found)) or [[], []]
+    return pa.table([pa.array(c, pa.binary()) for c in columns], ["a", "b"])
+
+
+def unpacked(value: pa.Scalar) -> np.ndarray:
+    return np.frombuffer(value.as_buffer(), np.uint32).astype(np.uint64)
+
+
+def remaining_links(members: DataFrame, sequences: DataFrame) -> DataFrame:
+    """Links between nodes of a bucket that are in different components. A bucket of
+    more than ``BLOCK`` nodes, or ``BLOCK_MERS`` k-mers, is dealt into parts, and each two
+    parts meet in a block of their own: blocks are bounded, and no pair is passed by."""
+    parts = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / BLOCK_MERS)).cast("int")
+    sizes = members.groupBy(F.col("bucket").alias("_bucket")).agg(parts.alias("parts"))
+    mers = sequences.select(F.col("node").alias("_node"), "mers")
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    own = F.pmod(F.xxhash64("node", "bucket"), "parts").cast("int")
+    dealt = (
+        members.join(sizes, F.col("bucket") == F.col("_bucket"))
+        .select("bucket", "node", "root", own.alias("own"), other.alias("other"))
+        .select("bucket", "node", "root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+        .join(mers, F.col("node") == F.col("_node"))
+        .select("bucket", "i", "j", "node", "root", "mers")
+    )
+    return dealt.groupBy("bucket", "i", "j").applyInArrow(block_links, "a binary, b binary")
 
 
 def near_links(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
@@ -314,24 +362,12 @@ def near_links(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, Data
         else sequences.select(F.col("_node").alias("node"), "mers"),
         "sequences",
     )
-    done = written(compared(pivot_pairs(members, 0), sequences), "compared")
-    close = F.col("aligned") >= SIMILAR
-    members = written(unresolved(rooted(members, done.filter(close))), "members")
-    for turn in range(1, PIVOT_ROUNDS + 1):
-        if members.isEmpty():
-            break
-        old = done.select(F.col("a").alias("_a"), F.col("b").alias("_b"))
-        same = (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b"))
-        fresh = pivot_pairs(members, turn).join(old, same, "left_anti")
-        found = written(compared(fresh, sequences), "compared")
-        done = done.unionByName(found)
-        if found.filter(close).isEmpty():
-            break
-        members = written(unresolved(rooted(members, done.filter(close))), "members")
+    done = written(compared(pivot_pairs(members), sequences), "compared")
+    links = done.filter(F.col("aligned") >= SIMILAR).select("a", "b")
+    members = written(unresolved(rooted(members, links)), "members")
     if not members.isEmpty():
-        pairs = written(remaining_pairs(members, done), "pairs")
-        done = done.unionByName(written(compared(pairs, sequences), "compared"))
-    return rows, components(done.filter(close))
+        links = links.unionByName(written(remaining_links(members, sequences), "links"))
+    return rows, components(links)
 
 
 def has_repeats(rows: DataFrame) -> bool:
