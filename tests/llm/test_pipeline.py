@@ -27,7 +27,7 @@ def test_stages_equal_the_same_by_hand(spark):
         clean.append((r.doc_id, pii.redact(r.text, spans), r.lang, r.source))
     frame = spark.createDataFrame(clean, "doc_id long, text string, lang string, source string")
     plan = mixing.mix_plan(frame).select("row.doc_id", "row.text", "copies").collect()
-    enc = bpe.encoding(RANKS, public_tokenizers.PATTERN)
+    enc = bpe.encoding(public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
     want = Counter()
     for doc_id, text, copies in plan:
         ids = enc.encode_ordinary(text)
