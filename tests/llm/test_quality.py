@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import odd
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import SMALL
 from tilepulse.llm import quality, queries
@@ -93,6 +94,30 @@ def test_labelled_documents():
     assert sum(junk) < 0.2 * len(junk)
 
 
+@pytest.mark.parametrize("doc_id", [None, "clean"])
+def test_copies_do_not_become_the_reference(spark, doc_id):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").select("doc_id", "quality")
+    french = docs.filter("lang = 'fr'").join(labels, "doc_id").orderBy("doc_id").collect()
+    junk = " ".join(f"#{i * 7919 % 9973:04d}" for i in range(400))
+    copied = next(r.text for r in french if r.quality == 1 and len(r.text) > 1500) if doc_id else junk
+    # A third of all rows; of both tables one text is the same, so both have the same texts.
+    third = spark.range(500).select((F.col("id") + 10**9).alias("doc_id"), F.lit(copied).alias("text"), F.lit("fr").alias("lang"))
+    alone = {r.doc_id: r for r in quality.quality(docs.union(third.limit(1))).collect()}
+    among = quality.quality(docs.union(third)).collect()
+    assert len(among) == 1500
+    assert all(r == alone[r.doc_id] for r in among if r.doc_id < 10**9)
+    good = {r.doc_id for r in french if r.quality == 1}
+    assert all(r.kept for r in among if r.doc_id in good and not r.base_failed)
+    assert quality.keep_good(docs.union(third)).count() == sum(r.kept for r in among)
+
+
+def test_distinct_texts_are_those_of_a_plain_distinct(spark):
+    docs = odd.documents(spark)
+    got = Counter(map(tuple, quality.distinct_texts(docs).collect()))
+    assert got == Counter({(r[1], r[2]) for r in odd.rows()})
+
+
 def test_odd_documents(spark):
     docs = odd.documents(spark)
     found = quality.quality(docs).collect()

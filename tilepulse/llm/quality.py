@@ -6,17 +6,19 @@ Jensen-Shannon distance (the square root of the divergence in bits, 0 to 1). A
 document far from its language's reference is rejected. Short documents are far by
 chance, so each comparison has a minimum length, and a reference a minimum size.
 
-The references are counts over all documents: each task sums what it reads, the
-sums are added per language, and the words beyond the ``COMMON`` most frequent of
-a language stand for one, "any other". What the tasks get back is that many
-words per language, broadcast behind a check of its size.
+The references are counts over all distinct texts of a language, so that a text is
+no more usual for having copies: each task sums what it reads, the sums are added per
+language, and the words beyond the ``COMMON`` most frequent of a language stand for
+one, "any other". What the tasks get back is that many words per language, broadcast
+behind a check of its size. Hashes tell which texts may have copies; only those
+travel, once from each task.
 
 Defined results for odd inputs:
 
 - null text: no words; it fails the least length and is rejected, as is an empty one.
 - null language: a language of its own. A language with too little text to have a
   reference is judged by the counted rules only.
-- repeated rows each count and each get their row.
+- repeated rows each get their row; their text counts once in its language's reference.
 - ties among common words go to the smaller word (by bytes).
 - empty table: no rows. Extra columns are kept by ``keep_good`` and never read.
 """
@@ -51,6 +53,8 @@ LEAST_REFERENCE = 20_000
 COMMON = 100
 # Words a task counts before it hands its sums on.
 HELD_WORDS = 200_000
+# Places of the table of repeated hashes, a bit each; those in a row of it, as Spark has it.
+PLACES, ROW_PLACES = 1 << 25, 1 << 15
 
 CLASSES = ["lower", "upper", "digit", "blank", "line", "stop", "symbol", "control", "other"]
 
@@ -172,6 +176,29 @@ class Reference:
         return of_classes, of_words
 
 
+def distinct_texts(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
+    """(text, lang) of the documents, each pair once. One whose hash shares no place
+    with a repeated hash is the only one of its kind and stays where it is read; the
+    others are compared whole."""
+    rows = docs.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
+    hashed = rows.select(F.xxhash64("lang", "text").alias("hash")).groupBy("hash").count()
+    # Spark numbers the rows of such a table and the places in all of them from 1.
+    place = F.pmod("hash", F.lit(PLACES)) + 1
+    filled = hashed.filter("count > 1").groupBy(F.bitmap_bucket_number(place).alias("row"))
+    table = np.zeros((PLACES // ROW_PLACES, ROW_PLACES // 8), np.uint8)
+    for r in filled.agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect():
+        table[r["row"] - 1] = np.frombuffer(r["bits"], np.uint8)
+    shared = docs.sparkSession.sparkContext.broadcast(table.reshape(-1))
+
+    @F.arrow_udf("boolean")
+    def shares(places: pa.Array) -> pa.Array:
+        at = places.to_numpy(zero_copy_only=False)
+        return pa.array(shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1)
+
+    shared_place = shares(F.pmod(F.xxhash64("lang", "text"), F.lit(PLACES)))
+    return rows.filter(~shared_place).unionByName(rows.filter(shared_place).distinct())
+
+
 def language_counts(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     """(lang, kind, name, n) over all documents: characters per class, words."""
 
@@ -237,6 +264,11 @@ def load_references(docs: DataFrame, text: str, lang: str) -> dict[str | None, R
     return out
 
 
+def text_references(docs: DataFrame, text: str, lang: str) -> dict[str | None, Reference]:
+    """The references that documents are judged by: each distinct text counts once."""
+    return load_references(distinct_texts(docs, text, lang), "text", "lang")
+
+
 def verdict(text: str, reference: Reference | None) -> dict:
     """All columns of a document: counts, distances, kept."""
     rules = counted_rules(text)
@@ -275,8 +307,8 @@ def quality(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang"
 ) -> DataFrame:
     """One row per document: doc_id and its counts, distances and verdict. The
-    documents are read twice and never shuffled."""
-    shared = docs.sparkSession.sparkContext.broadcast(load_references(docs, text, lang))
+    documents are read four times; of their texts only copies are shuffled."""
+    shared = docs.sparkSession.sparkContext.broadcast(text_references(docs, text, lang))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
@@ -300,7 +332,7 @@ def quality(
 
 def keep_good(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     """The documents that are kept, with all their columns as they were."""
-    shared = docs.sparkSession.sparkContext.broadcast(load_references(docs, text, lang))
+    shared = docs.sparkSession.sparkContext.broadcast(text_references(docs, text, lang))
     at, of = docs.columns.index(text), docs.columns.index(lang)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
