@@ -181,3 +181,43 @@ def test_passages_of_fifty_words_are_caught(spark):
     by_id = defaultdict(int, {r.doc_id: r.n_repeated for r in rows})
     assert all(by_id[i] > 0 for i in range(20)) and not any(by_id[100 + i] for i in range(20))
     assert sum(r.n_removed > 0 for r in rows) == 19
+
+
+def test_greatest_places_are_those_of_the_definition():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for n, top in ((1, 9), (5, 9), (60, 4), (400, 50), (400, 1 << 32)):
+        h = rng.integers(0, top, n, np.uint32)
+        want = [i for i in range(n) if h[i] == max(h[max(0, i - 23) : i + 24])]
+        assert chunk_dedup.greatest(h, 23).tolist() == want
+
+
+@pytest.mark.parametrize("lang", ["en", "fr", "de", "es"])
+def test_passages_of_51_words_are_seldom_missed(lang):
+    import pyarrow.parquet as pq
+
+    docs = pq.read_table("/root/testdata/sf0.1/documents.parquet").to_pandas()
+    texts = sorted(set(docs[docs.lang == lang].text))
+    rng = random.Random(51)
+    long = [w for w in (t.split(" ") for t in texts) if len(w) > 200]
+
+    def around(passage):
+        words = rng.choice(long)
+        at = rng.randrange(20, len(words) - 20)
+        a, b = " ".join(words[max(0, at - 90) : at]), " ".join(words[at : at + 90])
+        return f"{a} {passage} {b}".encode(), len(a.encode()) + 1
+
+    missed = 0
+    for _ in range(1_500):
+        words = rng.choice(long)
+        at = rng.randrange(len(words) - 51)
+        passage = " ".join(words[at : at + 51])
+        inside = []
+        for raw, start in (around(passage), around(passage)):
+            ends, end = chunk_dedup.chunk_ends(raw), start + len(passage.encode())
+            inside.append([(a, raw[a:b]) for a, b in zip([0, *ends], ends) if start <= a and b <= end])
+        other = {x for _, x in inside[1]}
+        both = [{"start": a, "length": len(x)} for a, x in inside[0] if x in other]
+        missed += not chunk_dedup.runs(both, False)
+    assert missed <= 0.005 * 1_500, missed

@@ -1,8 +1,10 @@
 """Substring deduplication by content-defined chunks.
 
-A gear hash rolls over a text's bytes; where its low bits are zero a chunk may
-end. Since the hash forgets what lies ``WINDOW`` bytes back, chunk ends depend on
-nearby content only: after an insertion the chunks fall into step again. Chunks of
+A gear hash rolls over a text's bytes; a chunk ends where the hash is greatest among
+the ``LEAST`` - 1 places on either side. Since the hash forgets what lies ``WINDOW``
+bytes back, chunk ends depend on nearby content only and not on the end before (but
+for those that ``MOST`` forces): equal passages are cut alike from ``WINDOW`` +
+``LEAST`` bytes after their start on, whatever stands before them. Chunks of
 equal digest are repeats; the first one (smallest doc_id, then place) counts as the
 original. A run of adjacent repeats is removed once it is long enough to be a
 passage rather than a turn of phrase.
@@ -35,8 +37,8 @@ from pyspark.sql import functions as F
 
 from .tables import OUT_ROWS
 
-# Bytes of a chunk: fewest, most; one place in 2**MASK_BITS may end one.
-LEAST, MOST, MASK_BITS = 24, 256, 5
+# Bytes of a chunk: fewest, most.
+LEAST, MOST = 24, 256
 # Bytes that the gear hash looks back on: one bit of the hash each.
 WINDOW = 32
 # Least bytes of adjacent repeated chunks that are a passage.
@@ -57,15 +59,29 @@ def gear_hash(data: np.ndarray) -> np.ndarray:
     return rolled
 
 
+def greatest(rolled: np.ndarray, reach: int) -> np.ndarray:
+    """The places whose hash is no less than the ``reach`` before and after them.
+    Those nearer than that are equal, as where a word repeats."""
+    n = len(rolled)
+    # Of the hashes from each place on the greatest among ``reach``, by doubling.
+    padded = np.concatenate([np.zeros(reach, np.uint32), rolled, np.zeros(reach, np.uint32)])
+    ahead, span = padded, 1
+    while span < reach:
+        step = min(span, reach - span)
+        ahead = np.maximum(ahead[:-step], ahead[step:])
+        span += step
+    before, after = ahead[:n], ahead[reach + 1 : reach + 1 + n]
+    return np.flatnonzero((rolled >= before) & (rolled >= after))
+
+
 def chunk_ends(raw: bytes) -> list[int]:
     """Where the chunks of a text end; the last end is its length."""
     n = len(raw)
     if not n:
         return []
-    # The top bits have seen the most bytes.
-    rolled = gear_hash(np.frombuffer(raw, np.uint8)) >> np.uint32(WINDOW - MASK_BITS)
+    rolled = gear_hash(np.frombuffer(raw, np.uint8))
     ends, last = [], 0
-    for place in (np.flatnonzero(rolled == 0) + 1).tolist():
+    for place in (greatest(rolled, LEAST - 1) + 1).tolist():
         while place - last > MOST:
             last += MOST
             ends.append(last)
