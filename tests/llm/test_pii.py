@@ -89,6 +89,27 @@ def test_added_spans_leave_base_spans_alone():
     assert pii.redact(text, spans).count("<PHONE>") == 2
 
 
+def test_spelt_out_addresses_are_found_in_any_case():
+    weights = pii.trained()
+    for name in ("john", "mary.jones", "a_b"):
+        for at in (" [AT] ", " (At) ", "(AT)", " [at] ", " at ", " AT "):
+            for dot in (" [DOT] ", " dot ", " Dot "):
+                for form in (f"{name}{at}example{dot}com", f"{name}{at}example{dot}org".upper()):
+                    text = f"please write, {form}, or come by"
+                    assert pii.redact(text, pii.find(text, weights)[1]) == "please write, <EMAIL>, or come by"
+
+
+def test_at_and_dot_in_prose_are_left_alone():
+    weights = pii.trained()
+    for text in ("look at the dot on the map", "he stood at home", "At this dot we stop", "aim at a dot (at best)"):
+        assert pii.find(text, weights) == ([], [])
+
+
+def test_anchors_are_linear():
+    for text in ("at." * 100_000, "at " * 100_000, "at dot " * 50_000, "(at" * 100_000):
+        sum(1 for _ in pii.ANCHOR.finditer(text))
+
+
 def test_clean_text_is_left_alone():
     weights = pii.trained()
     for text in ("", "Chapter 12, page 3.", "CC BY-NC 4.0.", "in 1999-2005 and on 2024-05-06 at 10:20:30"):

@@ -6,8 +6,8 @@ spelt out, a phone number without "+", a card number with dots). It scores *whol
 candidate spans* by their features, for each kind, and a dynamic program over
 the tokens of a window picks the best way to cut it into spans and single other
 tokens: boundaries and kinds at once. Spans are bounded (``MOST_TOKENS``), so the
-program is linear in the text. Windows surround digits and "@" signs; elsewhere no
-span can be. What lies within a pattern's match is not looked at again.
+program is linear in the text. Windows surround digits, "@" signs and a spelt "at"
+(in brackets, or with a spelt "dot" after the next word); elsewhere no span can be. What lies within a pattern's match is not looked at again.
 
 No table has labelled spans, so the weights are trained on ``WINDOWS`` windows that
 a seeded generator writes: forms of each kind, and numbers that are none. Training
@@ -45,7 +45,10 @@ IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 
-ANCHOR = re.compile(r"[0-9@]|[(\[]\s?at\s?[)\]]")
+ANCHOR = re.compile(
+    r"[0-9@]|[(\[]\s?at\s?[)\]]|\bat\b(?=\s?[\w.-]{1,64}+\s?(?:[(\[]\s?dot\s?[)\]]|\bdot\b))",
+    re.IGNORECASE,
+)
 TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|\s+|.", re.DOTALL)
 # Characters around an anchor that a window takes in; tokens and characters of a span.
 AROUND, MOST_TOKENS, MOST_CHARS = 48, 20, 64
@@ -104,6 +107,11 @@ ADDRESS = re.compile(
     r"(?:\s?(?:[(\[]\s?(?:dot|\.)\s?[)\]]|\bdot\b|\.)\s?[A-Za-z0-9-]+)+",
     re.IGNORECASE,
 )
+BARE = re.compile(r"\s?\bat\b\s", re.IGNORECASE)
+# Usual last parts of addresses that are no words where "at" is one.
+ENDINGS = frozenset(
+    "com org net edu gov mil int info biz io co uk de fr es nl ch eu ca au jp cn br ru pl se dk fi cz pt mx".split()
+)
 GROUPS = re.compile(r"[0-9]+")
 DATE = re.compile(r"(?:19|20)\d\d[-/.]\d\d?[-/.]\d\d?|\d\d?[-/.]\d\d?[-/.](?:19|20)?\d\d")
 
@@ -118,6 +126,8 @@ def features(span: str, left: str, right: str) -> list[float]:
     plain = not letters
     small = all(n < 4 and int(g) <= 255 for n, g in zip(sizes, groups))
     address = ADDRESS.fullmatch(span) is not None
+    bare = address and "@" not in span and BARE.search(span) is not None
+    usual = bare and re.split(r"\W", span)[-1].lower() in ENDINGS
     return [
         1.0,
         address,
@@ -149,6 +159,8 @@ def features(span: str, left: str, right: str) -> list[float]:
         right.isalnum() or right in tuple("_@/"),
         "\n" in span or "  " in span,
         len(groups) > 5,
+        usual,
+        bare and not usual,
     ]
 
 
@@ -162,6 +174,7 @@ class Window:
         self.edges = [start, *(m.end() for m in TOKEN.finditer(text, start, end))]
         n = len(self.edges) - 1
         kinds = [text[self.edges[i]] for i in range(n)]
+        anchors = [c.isdigit() or c in "([" or ANCHOR.match(text, a) for c, a in zip(kinds, self.edges)]
         self.n, self.ends = n, []
         rows, self.spans = [], []
         for i in range(n):
@@ -172,7 +185,7 @@ class Window:
                 if self.edges[j] - self.edges[i] > MOST_CHARS:
                     break
                 first = kinds[j - 1]
-                anchored = anchored or first.isdigit() or first == "@" or first in "(["
+                anchored = anchored or anchors[j - 1]
                 if anchored and (first.isalnum() or first in ")]"):
                     a, b = self.edges[i], self.edges[j]
                     rows.append(features(text[a:b], text[max(0, a - 2) : a], text[b : b + 1]))
@@ -240,10 +253,11 @@ def example(rng: random.Random) -> tuple[str, list[Span]]:
     number = lambda n: "".join(rng.choices("0123456789", k=n))
     kind = rng.choice([0, 1, 2, 3, None, None, None, None])
     if kind == 0:
-        at = rng.choice([" (at) ", " [at] ", " @ ", "@", "(at)"])
-        dot = rng.choice([".", ".", " dot ", " [dot] "])
+        at = rng.choice([" (at) ", " [at] ", " @ ", "@", "(at)", " at "])
+        dot = rng.choice([".", ".", " dot ", " [dot] "][2 * (at == " at ") :])
         name = rng.choice([word(), f"{word()}.{number(2)}", f"{word()}_{word()}"])
         form = f"{name}{at}{word()}{rng.choice(['', number(1)])}{dot}{rng.choice(['com', 'org', 'net', 'de'])}"
+        form = form.upper() if rng.random() < 0.25 else form
     elif kind == 1:
         parts = [str(rng.randint(1, 255)) for _ in range(4)]
         form = rng.choice([".", "[.]", " . ", "(.)"]).join(parts)
@@ -286,6 +300,7 @@ def example(rng: random.Random) -> tuple[str, list[Span]]:
                 f"{number(3)}.{number(3)}.{number(3)}.{number(4)}",
                 f"@{word()}",
                 f"{word()} at {word()} {number(2)}",
+                f"{word()} at {word()} dot {word()}",
                 f"{number(3)} {number(3)} {number(3)} {number(3)} {number(3)} {number(3)}",
                 f"{number(1)}.{number(1)}.{number(1)}",
             ]
