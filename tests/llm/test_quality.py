@@ -135,3 +135,12 @@ def test_a_column_that_holds_no_languages_is_refused(spark, monkeypatch):
     monkeypatch.setattr(quality, "BROADCAST_BYTES", 1000)
     with pytest.raises(ValueError):
         quality.quality(odd.documents(spark))
+
+
+def test_rare_languages_do_not_fail_the_job(spark, monkeypatch):
+    monkeypatch.setattr(quality, "BROADCAST_BYTES", 20_000)
+    rng = random.Random(4)
+    rare = [(odd.prose(rng, 60), f"tag{i}") for i in range(200)]
+    docs = [(odd.prose(rng, 25_000), "en"), *rare]
+    held = quality.load_references(spark.createDataFrame(docs, "text string, lang string"), "text", "lang")
+    assert set(held) == {"en"}

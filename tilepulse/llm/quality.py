@@ -251,9 +251,11 @@ def language_references(docs: DataFrame, text: str = "text", lang: str = "lang")
 
 
 def load_references(docs: DataFrame, text: str, lang: str) -> dict[str | None, Reference]:
-    """The references on the driver: ``COMMON`` words a language at most. A table
-    with more languages than the bound allows is refused, not cut."""
-    table = written(language_references(docs, text, lang), "language-references")
+    """The references on the driver: ``COMMON`` words a language at most. Languages
+    with too little text to have one are left out first; a table with more others
+    than the bound allows is refused, not cut."""
+    enough = F.col("total") >= LEAST_REFERENCE
+    table = written(language_references(docs, text, lang).filter(enough), "language-references")
     size = table.agg(F.sum(F.size("words") * 64 + 256)).head()[0] or 0
     if size > BROADCAST_BYTES:
         raise ValueError(f"references of {size} bytes: the language column holds no languages")
