@@ -3,21 +3,24 @@
 A document's histogram over character classes, and that over the common words of
 its language, are compared with those of all documents of the language by the
 Jensen-Shannon distance (the square root of the divergence in bits, 0 to 1). A
-document far from its language's reference is rejected. Short documents are far by
-chance, so each comparison has a minimum length, and a reference a minimum size.
+document far from its language's reference is rejected. Short documents, and those
+of a language with little text, are far by chance: the distance of words still kept
+widens by what sampling adds to it, and the classes of a language are joined by those
+of ``PRIOR_CHARS`` characters of all languages. So neither comparison begins or ends
+at a size of the table. A text is compared with its reference less its own counts.
 
 The references are counts over all distinct texts of a language, so that a text is
 no more usual for having copies: each task sums what it reads, the sums are added per
 language, and the words beyond the ``COMMON`` most frequent of a language stand for
-one, "any other". What the tasks get back is that many words per language, broadcast
-behind a check of its size. Hashes tell which texts may have copies; only those
-travel, once from each task.
+one, "any other". The tasks get back that many words per language: those of the
+languages with most text, up to a bound, in a broadcast, the others in a join. Hashes
+tell which texts may have copies; only those travel, once from each task.
 
 Defined results for odd inputs:
 
 - null text: no words; it fails the least length and is rejected, as is an empty one.
-- null language: a language of its own. A language with too little text to have a
-  reference is judged by the counted rules only.
+- null language: a language of its own. The only text of a language is compared with
+  the classes of the other languages, and kept by them if there are none.
 - repeated rows each get their row; their text counts once in its language's reference.
 - ties among common words go to the smaller word (by bytes).
 - empty table: no rows. Extra columns are kept by ``keep_good`` and never read.
@@ -26,7 +29,7 @@ Defined results for odd inputs:
 from __future__ import annotations
 
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,21 +39,25 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..sources.workspace import written
-from .tables import BROADCAST_BYTES, OUT_ROWS
+from .tables import BROADCAST_BYTES
 
 # Counted rules.
 LEAST_WORDS = 50
 MOST_REPEATED_PERCENT = 50
 REPEAT_WINDOW = 3
 SYMBOLS = "#*$%&|<>"
-# Divergence: farthest still kept, and the least length judged.
+# Divergence: farthest still kept of long texts, and the least length judged by classes.
 FARTHEST_CLASSES = 0.31
-FARTHEST_WORDS = 0.48
+FARTHEST_WORDS = 0.44
 LEAST_CHARS = 200
-LEAST_COMMON_WORDS = 100
-# A reference needs this many words; it names this many words of a language.
-LEAST_REFERENCE = 20_000
+# Share of the divergence expected of two samples that a text is allowed on top.
+NOISE = 0.5
+# Characters of all languages that count in a language's classes.
+PRIOR_CHARS = 20_000
+# Words of a language that its reference names.
 COMMON = 100
+# Documents that Python handles at once.
+SLICE = 512
 # Words a task counts before it hands its sums on.
 HELD_WORDS = 200_000
 # Places of the table of repeated hashes, a bit each; those in a row of it, as Spark has it.
@@ -151,29 +158,33 @@ def counted_rules(text: str) -> dict[str, int | bool]:
 
 
 class Reference:
-    """Histograms of one language."""
+    """Histograms of one language; ``pooled`` are the class counts of all languages."""
 
-    def __init__(self, classes: dict[str, int], words: dict[bytes, int], total: int):
-        self.classes = np.array([classes.get(name, 0) for name in CLASSES], float)
+    def __init__(self, classes: list[int], words: dict[bytes, int], total: int, pooled: np.ndarray):
+        self.classes = np.array(classes, float)
         self.place = {word: i for i, word in enumerate(words)}
         self.words = np.array([*words.values(), total - sum(words.values())], float)
-        self.total = total
+        self.pooled = pooled
 
-    def distances(self, raw: bytes) -> tuple[float | None, float | None]:
-        """Of a text's classes and common words; None where it is too short."""
-        if self.total < LEAST_REFERENCE:
-            return None, None
+    def distances(self, raw: bytes) -> tuple[float | None, float | None, float]:
+        """Of a text's classes and common words from those of the other texts, None
+        where the text is too short or there are none; farthest words still kept."""
         classes, words = class_counts(raw), raw.split()
-        of_classes = of_words = None
-        if classes.sum() >= LEAST_CHARS:
-            of_classes = js_distance(classes, self.classes)
-        if len(words) >= LEAST_COMMON_WORDS:
-            counts = np.zeros(len(self.words))
-            rest = len(self.place)
-            for word, n in Counter(words).items():
-                counts[self.place.get(common_form(word), rest)] += n
-            of_words = js_distance(counts, self.words)
-        return of_classes, of_words
+        of_classes, of_words, farthest = None, None, FARTHEST_WORDS
+        pooled = np.maximum(self.pooled - classes, 0)
+        if classes.sum() >= LEAST_CHARS and pooled.sum():
+            others = np.maximum(self.classes - classes, 0)
+            of_classes = js_distance(classes, others + PRIOR_CHARS * pooled / pooled.sum())
+        counts = np.zeros(len(self.words))
+        for word, n in Counter(words).items():
+            counts[self.place.get(common_form(word), len(self.place))] += n
+        others = np.maximum(self.words - counts, 0)
+        if len(words) >= LEAST_WORDS and others.sum():
+            of_words = js_distance(counts, others)
+            # Two samples of one distribution over k values diverge by (k - 1)(1/n + 1/m) / 8 nats.
+            chance = COMMON / (8 * np.log(2)) * (1 / len(words) + 1 / others.sum())
+            farthest = (FARTHEST_WORDS**2 + NOISE * chance) ** 0.5
+        return of_classes, of_words, farthest
 
 
 def distinct_texts(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
@@ -188,22 +199,32 @@ def distinct_texts(docs: DataFrame, text: str = "text", lang: str = "lang") -> D
     table = np.zeros((PLACES // ROW_PLACES, ROW_PLACES // 8), np.uint8)
     for r in filled.agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect():
         table[r["row"] - 1] = np.frombuffer(r["bits"], np.uint8)
-    shared = docs.sparkSession.sparkContext.broadcast(table.reshape(-1))
+    # The rows of the table, at most 4 MB in all, meet the documents as a broadcast.
+    bits = [(i, row.view("<i8").tolist()) for i, row in enumerate(table) if row.any()]
+    if not bits:
+        return rows
+    filled = docs.sparkSession.createDataFrame(bits, "_row long, _bits array<bigint>")
+    at = F.pmod(F.xxhash64("lang", "text"), F.lit(PLACES))
+    placed = rows.withColumn("_at", at).withColumn("_row", F.expr(f"_at div {ROW_PLACES}"))
+    bit = F.expr(f"getbit(get(_bits, cast(_at % {ROW_PLACES} div 64 as int)), cast(_at % 64 as int)) = 1")
+    marked = placed.join(F.broadcast(filled), "_row", "left").select(
+        "text", "lang", F.coalesce(bit, F.lit(False)).alias("_shared")
+    )
+    alone = marked.filter("not _shared").drop("_shared")
+    return alone.unionByName(marked.filter("_shared").drop("_shared").distinct())
 
-    @F.arrow_udf("boolean")
-    def shares(places: pa.Array) -> pa.Array:
-        at = places.to_numpy(zero_copy_only=False)
-        return pa.array(shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1)
 
-    shared_place = shares(F.pmod(F.xxhash64("lang", "text"), F.lit(PLACES)))
-    return rows.filter(~shared_place).unionByName(rows.filter(shared_place).distinct())
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for start in range(0, batch.num_rows, SLICE):
+            yield batch.slice(start, SLICE)
 
 
 def language_counts(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     """(lang, kind, name, n) over all documents: characters per class, words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             sums: defaultdict[tuple, int] = defaultdict(int)
             for words, language in zip(*(c.to_pylist() for c in batch.columns)):
                 raw = (words or "").encode()
@@ -250,32 +271,37 @@ def language_references(docs: DataFrame, text: str = "text", lang: str = "lang")
     return totals.join(top, totals["lang"].eqNullSafe(top["_lang"]), "left").drop("_lang")
 
 
-def load_references(docs: DataFrame, text: str, lang: str) -> dict[str | None, Reference]:
-    """The references on the driver: ``COMMON`` words a language at most. Languages
-    with too little text to have one are left out first; a table with more others
-    than the bound allows is refused, not cut."""
-    enough = F.col("total") >= LEAST_REFERENCE
-    table = written(language_references(docs, text, lang).filter(enough), "language-references")
-    size = table.agg(F.sum(F.size("words") * 64 + 256)).head()[0] or 0
-    if size > BROADCAST_BYTES:
-        raise ValueError(f"references of {size} bytes: the language column holds no languages")
-    out = {}
-    for row in table.collect():
-        words = {bytes(w["name"]): w["n"] for w in row["words"] or []}
-        out[row["lang"]] = Reference({c: row[c] or 0 for c in CLASSES}, words, row["total"])
-    return out
-
-
-def text_references(docs: DataFrame, text: str, lang: str) -> dict[str | None, Reference]:
-    """The references that documents are judged by: each distinct text counts once."""
-    return load_references(distinct_texts(docs, text, lang), "text", "lang")
+def text_references(
+    docs: DataFrame, text: str, lang: str
+) -> tuple[dict[str | None, Reference], DataFrame, np.ndarray]:
+    """The references of the languages with most text, as many as the bound of a
+    broadcast allows; a table of all the others; the class counts of all. Each distinct
+    text counts once."""
+    found = language_references(distinct_texts(docs, text, lang), "text", "lang")
+    table = written(found, "language-references")
+    sums = table.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in CLASSES]).head()
+    pooled = np.array(sums, float)
+    most = BROADCAST_BYTES // (64 * COMMON + 256)
+    first = table.orderBy(F.desc("total"), "lang").limit(most + 1).collect()
+    known = {row["lang"]: reference_of(row.asDict(), pooled) for row in first[:most]}
+    rest = table.limit(0)
+    if len(first) > most:  # what comes after the last of the first
+        last, name = first[most]["total"], first[most]["lang"]
+        tied = F.coalesce(F.col("lang") >= F.lit(name), F.lit(name is None))
+        rest = table.filter((F.col("total") < last) | ((F.col("total") == last) & tied))
+    return known, rest, pooled
+
+
+def reference_of(row: dict, pooled: np.ndarray) -> Reference:
+    words = {bytes(w["name"]): w["n"] for w in row["words"] or []}
+    return Reference([row[c] or 0 for c in CLASSES], words, row["total"], pooled)
 
 
 def verdict(text: str, reference: Reference | None) -> dict:
     """All columns of a document: counts, distances, kept."""
     rules = counted_rules(text)
-    near = reference.distances(text.encode()) if reference else (None, None)
-    far = (near[0] or 0.0) > FARTHEST_CLASSES or (near[1] or 0.0) > FARTHEST_WORDS
+    near = reference.distances(text.encode()) if reference else (None, None, 0.0)
+    far = (near[0] or 0.0) > FARTHEST_CLASSES or (near[1] or 0.0) > near[2]
     return rules | {
         "class_distance": near[0],
         "word_distance": near[1],
@@ -283,6 +309,43 @@ def verdict(text: str, reference: Reference | None) -> dict:
     }
 
 
+def with_verdicts(
+    docs: DataFrame,
+    text: str,
+    lang: str,
+    make: Callable[[pa.RecordBatch, list[dict]], pa.RecordBatch],
+    schema: T.StructType,
+) -> DataFrame:
+    """What ``make`` makes of some documents and their verdicts. Columns go by their
+    places, so their names may be any."""
+    known, rest, pooled = text_references(docs, text, lang)
+    shared = docs.sparkSession.sparkContext.broadcast((known, pooled))
+    at, of = docs.columns.index(text), len(docs.columns)
+
+    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, pooled = shared.value
+        for batch in slices(batches):
+            languages = batch.column(of).to_pylist()
+            if batch.num_columns > of + 1:
+                rows = batch.column(of + 1).to_pylist()
+                references = [None if r is None else reference_of(r, pooled) for r in rows]
+            else:
+                references = [known.get(language) for language in languages]
+            pairs = zip(batch.column(at).to_pylist(), references)
+            yield make(batch, [verdict(words or "", reference) for words, reference in pairs])
+
+    names = [f"c{i}" for i in range(of)]
+    rows = docs.withColumn("_language", F.col(lang).cast("string")).toDF(*names, "language")
+    if rest.isEmpty():
+        return rows.mapInArrow(judged, schema)
+    other = rest.select(F.col("lang").alias("language"), F.struct(*rest.columns).alias("reference"))
+    # A language here has fewer words than each of the known ones: no row of the join is hot.
+    there = rows["language"].eqNullSafe(other["language"])
+    rare = rows.join(other, there).select(*names, rows["language"], "reference")
+    usual = rows.join(other, there, "left_anti")
+    return usual.mapInArrow(judged, schema).unionByName(rare.mapInArrow(judged, schema))
+
+
 COLUMNS = T.StructType(
     [
         *[
@@ -310,41 +373,26 @@ def quality(
 ) -> DataFrame:
     """One row per document: doc_id and its counts, distances and verdict. The
     documents are read four times; of their texts only copies are shuffled."""
-    shared = docs.sparkSession.sparkContext.broadcast(text_references(docs, text, lang))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
-        for whole in batches:
-            for start in range(0, whole.num_rows, OUT_ROWS):
-                batch = whole.slice(start, OUT_ROWS)
-                pairs = zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())
-                rows = [verdict(words or "", known.get(language)) for words, language in pairs]
-                arrays = [pa.array([r[c] for r in rows], kind) for c, kind in ARROW.items()]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), *arrays], ["doc_id", *ARROW]
-                )
+    def make(batch: pa.RecordBatch, found: list[dict]) -> pa.RecordBatch:
+        arrays = [pa.array([r[c] for r in found], kind) for c, kind in ARROW.items()]
+        return pa.RecordBatch.from_arrays([batch.column(0), *arrays], ["doc_id", *ARROW])
 
     rows = docs.select(
-        F.col(doc_id).alias("doc_id"),
-        F.col(text).alias("text"),
-        F.col(lang).cast("string").alias("lang"),
+        F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang")
     )
-    return rows.mapInArrow(run, T.StructType([rows.schema["doc_id"], *COLUMNS.fields]))
+    schema = T.StructType([rows.schema["doc_id"], *COLUMNS.fields])
+    return with_verdicts(rows, "text", "lang", make, schema)
 
 
 def keep_good(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     """The documents that are kept, with all their columns as they were."""
-    shared = docs.sparkSession.sparkContext.broadcast(text_references(docs, text, lang))
-    at, of = docs.columns.index(text), docs.columns.index(lang)
+    width = len(docs.columns)
+    names = [f"c{i}" for i in range(width)]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
-        for batch in batches:
-            pairs = zip(batch.column(at).to_pylist(), batch.column(of).to_pylist())
-            good = [
-                verdict(words or "", known.get(None if language is None else str(language)))["kept"]
-                for words, language in pairs
-            ]
-            yield batch.filter(pa.array(good, pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+    def make(batch: pa.RecordBatch, found: list[dict]) -> pa.RecordBatch:
+        own = pa.RecordBatch.from_arrays(batch.columns[:width], names)
+        return own.filter(pa.array([r["kept"] for r in found], pa.bool_()))
+
+    schema = T.StructType([T.StructField(n, f.dataType) for n, f in zip(names, docs.schema)])
+    return with_verdicts(docs, text, lang, make, schema).toDF(*docs.columns)
