@@ -19,6 +19,7 @@ from . import (
     sharding,
     suffix_dedup,
     token_counts,
+    whitening,
 )
 from .tables import table
 
@@ -108,3 +109,8 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "target",
         (F.col("size") * F.col("copies")).alias("taken"),
     )
+
+
+@query
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
