@@ -17,6 +17,7 @@ from . import (
     pii,
     quality,
     sharding,
+    spelling,
     suffix_dedup,
     token_counts,
     whitening,
@@ -114,3 +115,8 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))

@@ -58,24 +58,26 @@ def secular_roots(poles: np.ndarray, z: np.ndarray, rho: float) -> tuple[np.ndar
     k, squares = len(poles), rho * z * z
     width = np.append(np.diff(poles), squares.sum())
     half = width / 2
-    middle = 1 + (squares / (poles[None, :] - poles[:, None] - half[:, None])).sum(1)
+    middle = 1 + (1 / (poles[None, :] - (poles + half)[:, None])) @ squares
     origin = np.arange(k)
     upper = (middle < 0) & (origin < k - 1)  # the root lies nearer the next pole
     origin = origin + upper
     low = np.where(upper, -half, np.where(middle < 0, half, 0.0))
     high = np.where(upper, 0.0, np.where(middle < 0, width, half))
     delta = poles[None, :] - poles[origin][:, None]
-    left = np.arange(k)[None, :] <= np.arange(k)[:, None]  # poles below a root
-    a, b = delta[np.arange(k), np.arange(k)], delta[np.arange(k), np.minimum(np.arange(k) + 1, k - 1)]
-    t, last = (low + high) / 2, np.arange(k) == k - 1
+    place = np.arange(k)
+    left = (place[None, :] <= place[:, None]).astype(float)  # poles below a root
+    a, b = delta[place, place], delta[place, np.minimum(place + 1, k - 1)]
+    t, last = (low + high) / 2, place == k - 1
+    inverse, below_only, work = np.empty((3, k, k))
     for _ in range(60):
-        inverse = 1 / (delta - t[:, None])
-        terms = squares * inverse
-        f = 1 + terms.sum(1)
-        slopes = terms * inverse
-        below = np.where(left, slopes, 0).sum(1)
-        above = slopes.sum(1) - below
-        done = np.abs(f) <= 4 * EPS * k * (1 + np.abs(terms).sum(1))
+        np.reciprocal(np.subtract(delta, t[:, None], out=inverse), out=inverse)
+        np.multiply(inverse, left, out=below_only)
+        terms, terms_below = inverse @ squares, below_only @ squares
+        f = 1 + terms
+        below = np.multiply(below_only, inverse, out=work) @ squares
+        above = np.multiply(inverse, inverse, out=work) @ squares - below
+        done = np.abs(f) <= 4 * EPS * k * (1 + terms - 2 * terms_below)
         low, high = np.where(f < 0, t, low), np.where(f < 0, high, t)
         if (done | (high - low <= 2 * EPS * np.maximum(np.abs(low), np.abs(high)))).all():
             break
