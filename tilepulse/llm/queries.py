@@ -12,6 +12,7 @@ from . import (
     ann,
     bpe,
     chunk_dedup,
+    lm_score,
     mixing,
     near_dedup,
     pii,
@@ -120,3 +121,9 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path(RANKS)
+    return lm_score.scores(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
