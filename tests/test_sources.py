@@ -291,3 +291,71 @@ def test_tag_histogram_lists_every_tag(spark):
     rows = summary.tag_histogram(devices, 40).collect()
     assert sorted(int(r.tag) for r in rows) == list(range(40))
     assert sum(r.device_total for r in rows) == devices.count()
+
+
+def loads_read(df):
+    """The folders of loads that a plan's scans list."""
+    files = [f for f in df.inputFiles() if "/events/" in f]
+    return {int(f.split("/load=")[1].split("/")[0]) for f in files}
+
+
+def test_an_increment_reads_only_new_loads(spark, tmp_path):
+    path, tiles = str(tmp_path / "journal"), str(tmp_path / "tiles")
+    events = inputs.device_events(spark, SMALL)
+    journal.set_paused(spark, path, "tiles", "1", True)
+    for part in range(3):
+        journal.append_journal(events.filter(F.pmod("event_id", F.lit(3)) == part), path, 3)
+        progress = store.read_progress(spark, tiles)
+        due = journal.due_loads(spark, path, progress, "tiles")
+        assert due == [part + 1]
+        assert loads_read(journal.read_loads(spark, path, due)) == {part + 1}
+        assert journal.project_increment(spark, path, tiles, compact_every=2)
+        assert not journal.project_increment(spark, path, tiles)
+    journal.set_paused(spark, path, "tiles", "1", False)
+    assert journal.due_loads(spark, path, store.read_progress(spark, tiles), "tiles") == [1, 2, 3]
+    assert journal.project_increment(spark, path, tiles)
+    assert rows_of(store.read_tiles(spark, tiles)) == rows_of(summary.summarize_all(events))
+
+
+def test_the_manifest_lists_files_and_their_places(spark, tmp_path):
+    path = str(tmp_path / "journal")
+    events = inputs.device_events(spark, SMALL)
+    for part in range(2):
+        journal.append_journal(events.filter(F.pmod("event_id", F.lit(2)) == part), path, 4)
+    rows = journal.read_journal(spark, path)
+    want = rows.groupBy("tag", F.shiftright("ordering", 40).cast("int").alias("load")).agg(
+        F.min("ordering"), F.max("ordering"), F.count("*")
+    )
+    got = journal.read_manifest(spark, path).groupBy("tag", "load").agg(
+        F.min("first"), F.max("last"), F.sum("events")
+    )
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_few_tables_hold_the_last_states():
+    for n in range(1, 600):
+        tables = journal.last_tables(n)
+        assert [i for first, end in tables for i in range(first, end + 1)] == list(range(1, n + 1))
+        assert len(tables) <= 7 * 4
+    assert journal.last_tables(500) == [(1, 64), (65, 128), (129, 192), (193, 256), (257, 320), (321, 384), (385, 448), (449, 456), (457, 464), (465, 472), (473, 480), (481, 488), (489, 496), (497, 497), (498, 498), (499, 499), (500, 500)]
+
+
+def test_last_states_are_those_of_the_newest_load(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(journal, "FOLD", 2)
+    path = str(tmp_path / "journal")
+    cmds = inputs.commands(spark, SMALL)
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    first, last = cmds.agg(F.min(micros), F.max(micros)).head()
+    for nth in range(5):  # the last but one is empty
+        span = cmds.filter(F.floor((micros - first) * 4 / (last - first + 1)) == (nth if nth < 3 else 7 - nth))
+        known = journal.last_of_devices(spark, path) if nth else None
+        journal.append_journal(lifecycle.derive_events(span, initial=known), path, 2)
+    assert {p.name for p in (tmp_path / "journal" / "last").iterdir()} == {"1-1", "2-2", "1-2", "3-3", "4-4", "3-4", "1-4", "5-5"}
+    assert journal.last_tables(5) == [(1, 4), (5, 5)]
+    rows = journal.read_journal(spark, path)
+    want = rows.groupBy(*lifecycle.RECT).agg(F.max("sequence_number").alias("last_number"))
+    want = want.join(lifecycle.replay(rows, ["ordering"]), lifecycle.RECT)
+    got = journal.last_of_devices(spark, path)
+    columns = sorted(got.columns)
+    assert sorted(map(tuple, got.select(*columns).collect())) == sorted(map(tuple, want.select(*columns).collect()))
+    assert journal.read_manifest(spark, path).filter("load = 4").count() == 0

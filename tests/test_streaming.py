@@ -13,8 +13,8 @@ from test_lifecycle import ACTIONS, commands, crowd, model
 from test_sources import rows_of
 from tilepulse.operators import activity, lifecycle, summary
 from tilepulse.plans import inputs
-from tilepulse.sources import store
-from tilepulse.streaming import devices, projection
+from tilepulse.sources import journal, store
+from tilepulse.streaming import devices, events, projection
 from tilepulse.sources.workspace import workspace
 
 
@@ -199,3 +199,58 @@ def test_late_command_is_applied_on_arrival(spark, tmp_path):
     got = {r.event_type: r.ts for r in spark.read.parquet(out + "/rows").collect()}
     assert set(got) == {"DeviceActivated", "DeviceMadeSad"}
     assert got["DeviceMadeSad"] == start + datetime.timedelta(seconds=1)
+
+
+def stream_to(query_rows, target, spark):
+    """Run a stream to its end; the events of each micro-batch."""
+    sizes = []
+
+    def write(batch, batch_id):
+        batch.persist()
+        sizes.append(batch.count())
+        batch.write.mode("append").parquet(f"{target}/out")
+        batch.unpersist()
+
+    writer = query_rows.writeStream.foreachBatch(write)
+    events.drained(writer.option("checkpointLocation", f"{target}/checkpoint").start())
+    return sizes
+
+
+def test_the_journal_as_a_stream_in_groups_of_events(spark, tmp_path):
+    path = str(tmp_path / "journal")
+    all_events = inputs.device_events(spark, SMALL)
+    early = F.pmod("event_id", F.lit(3)) != 0
+    journal.append_journal(all_events.filter(early), path, 4)
+    journal.append_journal(all_events.limit(0), path, 4)  # an empty load
+    total = journal.read_journal(spark, path).count()
+    sizes = stream_to(events.stream_events(spark, path, 200), tmp_path / "a", spark)
+    assert max(sizes) <= 200 and sum(sizes) == total and len(sizes) == -(-total // 200)
+    journal.append_journal(all_events.filter(~early), path, 4)
+    more = stream_to(events.stream_events(spark, path, 130), tmp_path / "a", spark)  # goes on
+    rows = journal.read_journal(spark, path)
+    assert max(more) <= 130 and sum(more) == rows.count() - total
+    got = spark.read.parquet(str(tmp_path / "a/out")).select(*rows.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, rows.collect()))
+
+
+def test_a_tag_of_the_journal_past_an_offset(spark, tmp_path):
+    path = str(tmp_path / "journal")
+    journal.append_journal(inputs.device_events(spark, SMALL), path, 4)
+    after = (1 << journal.PLACE_BITS) + 333
+    stream = events.stream_events(spark, f"file://{path}", 200, "2", after)
+    sizes = stream_to(stream.select("ordering", "tag"), tmp_path / "a", spark)
+    want = journal.events_by_tag(journal.read_journal(spark, path), None, "2", after).select("ordering", "tag")
+    got = spark.read.parquet(str(tmp_path / "a/out"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and sum(sizes) > 0
+
+
+def test_counts_from_the_journal_as_a_stream(spark, tmp_path):
+    path, tiles = str(tmp_path / "journal"), str(tmp_path / "tiles")
+    journal.append_journal(inputs.device_events(spark, SMALL), path, 4)
+    query = projection.run_projection(
+        events.stream_events(spark, path, 400), tiles, str(tmp_path / "c"), interval="0 seconds", offset="ordering", compact_every=3
+    )
+    events.drained(query)
+    want = summary.summarize_all(journal.read_journal(spark, path))
+    got = store.read_tiles(spark, tiles).select(*want.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))

@@ -287,6 +287,8 @@ SELECT ordering, persistence_id, sequence_number, write_timestamp, event_type, t
 SELECT load * 1099511627776 + row_number() OVER (PARTITION BY load ORDER BY ts, event_id) - 1 AS ordering,
   persistence_id, sequence_number, write_timestamp, event_type, tag FROM loads""",
     "events_by_tag": f"""WITH {JOURNAL} SELECT ordering, persistence_id, event_type FROM journal
+WHERE tag = '{q.TAG}' AND ordering > {q.TAG_OFFSET}""",
+    "stream_events_by_tag": f"""WITH {JOURNAL} SELECT ordering, persistence_id, event_type FROM journal
 WHERE tag = '{q.TAG}' AND ordering > {q.TAG_OFFSET}""",
     "journal_tag_join": f"WITH {JOURNAL} SELECT ordering, sequence_number, event_type, tag FROM journal",
     "tile_summary_scan": f"WITH {TILES} {_shown()}",
@@ -449,6 +451,7 @@ SELECT p.tag, event_total, {COUNTS}, p.current_offset FROM (
   SELECT tag, max(ordering) AS current_offset FROM journal GROUP BY tag) p
 LEFT JOIN (SELECT {_DUE_SUMS} FROM due GROUP BY tag) USING (tag)""",
     "incremental_two_loads": f"WITH {TILES} {_shown()}",
+    "incremental_many_loads": f"WITH {TILES} {_shown()}",
     "paused_projections": f"""WITH {JOURNAL}, {_DUE}
 SELECT {_DUE_SUMS} FROM due WHERE tag::INT % 2 = 0 GROUP BY tag""",
     "stream_device_events": _DEVICE_EVENTS,

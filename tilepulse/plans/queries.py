@@ -14,7 +14,7 @@ from ..functions.keys import device_key, parse_device, parse_key
 from ..operators import activity, joins, lifecycle, summary, tiles, viewport
 from ..operators.viewport import Area
 from ..sources import journal, store, telemetry
-from ..streaming import devices, projection
+from ..streaming import devices, events, projection
 from ..sources.workspace import workspace, written
 from . import inputs
 
@@ -34,6 +34,9 @@ SPLIT_TIME = "2024-01-15 00:00:00"
 TAG_OFFSET = (1 << journal.PLACE_BITS) + 100
 SHARDS = 2
 STEP_SECONDS = 3600
+# Loads of a journal, and events in a group of the journal's stream.
+MANY_LOADS = 9
+GROUP_EVENTS = 20_000
 # Files of commands in one micro-batch: the bound on what one device's group holds.
 STREAM_FILES = 64
 HALF_HEIGHT, HALF_WIDTH = 1.3, 2.1
@@ -574,6 +577,21 @@ def incremental_two_loads(spark, sf_dir):
     return shown(store.read_tiles(spark, tiles_path))
 
 
+@query
+def incremental_many_loads(spark, sf_dir):
+    """A load for each span of time, each projected as it comes."""
+    path, tiles_path = workspace(spark, "journal"), workspace(spark, "tiles")
+    events_ = written(inputs.fleet_events(spark, sf_dir), "fleet-events")
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    first, last = events_.agg(F.min(micros), F.max(micros)).head()
+    width = (last - first) // MANY_LOADS + 1
+    for nth in range(MANY_LOADS):
+        span = events_.filter(F.floor((micros - first) / width) == nth)
+        journal.append_journal(span, path, TAG_COUNT)
+        journal.project_increment(spark, path, tiles_path, compact_every=4)
+    return shown(store.read_tiles(spark, tiles_path))
+
+
 @query
 def paused_projections(spark, sf_dir):
     rows, progress = _journal_with_progress(spark, sf_dir)
@@ -644,6 +662,17 @@ def _streamed_events(spark, sf_dir, files: int = 2) -> DataFrame:
     return projection.group_within(spark.readStream.schema(events.schema), files).parquet(path)
 
 
+@query
+def stream_events_by_tag(spark, sf_dir):
+    """One tag's events past an offset, from the journal as a stream."""
+    path, target = inputs.stored_journal(spark, sf_dir, TAG_COUNT), workspace(spark, "by-tag")
+    stream = events.stream_events(spark, path, GROUP_EVENTS, TAG, TAG_OFFSET)
+    rows = stream.select("ordering", "persistence_id", "event_type")
+    writer = rows.writeStream.option("checkpointLocation", f"{target}/checkpoint")
+    events.drained(writer.format("parquet").start(f"{target}/out"))
+    return spark.read.schema(rows.schema).parquet(f"{target}/out")
+
+
 @query
 def stream_grouped(spark, sf_dir):
     target = workspace(spark, "grouped")

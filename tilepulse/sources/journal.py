@@ -23,6 +23,11 @@ LOADS = "load int, load_id string"
 MANAGEMENT = "projection_name string, projection_key string, paused boolean, last_updated long"
 # Bits of ``ordering`` for an event's place in its load: 10**12 events, 8 million loads.
 PLACE_BITS = 40
+# Increments between two compactions of the tile table.
+COMPACT_EVERY = 20
+# So many tables of last states are folded into one of the next level.
+FOLD = 8
+MANIFEST = "load int, tag string, file string, first long, last long, events long"
 
 
 def journal_rows(
@@ -88,7 +93,8 @@ def append_journal(
     appended one after the other, and a device's later events come in later loads.
 
         <path>/events/load=<n>/tag=<t>/   the events of load n
-        <path>/last/load=<n>/             its devices' last numbers and states
+        <path>/manifest/load=<n>/         its files: tag, least and greatest ordering, events
+        <path>/last/<m>-<n>/              last numbers and states of the devices of loads m to n
         <path>/loads/                     one row per finished load
     """
     spark = events.sparkSession
@@ -101,12 +107,15 @@ def append_journal(
     events = written(events.select(*ORDER, *RECT, "event_type"), "load")
     rows = journal_rows(events, tag_count, chunk_rows, load, earlier)
     rows.write.mode("overwrite").partitionBy("tag").parquet(f"{path}/events/load={load}")
-    stored = spark.read.parquet(f"{path}/events/load={load}")
+    stored = spark.read.schema(rows.schema).parquet(f"{path}/events/load={load}")
     top = F.max_by("event_type", "sequence_number")
     last = stored.groupBy(*RECT).agg(
         F.max("sequence_number").alias("last_number"), event_to_state(top).alias("state")
     )
-    last.write.mode("overwrite").parquet(f"{path}/last/load={load}")
+    last = last.withColumn("load", F.lit(load))
+    last.write.mode("overwrite").parquet(f"{path}/last/{load}-{load}")
+    _fold_last(spark, path, load)
+    _write_manifest(stored, f"{path}/manifest/load={load}")
     row = spark.createDataFrame([(load, load_id if load_id is not None else str(load))], LOADS)
     row.coalesce(1).write.mode("append").json(f"{path}/loads")
 
@@ -118,15 +127,56 @@ def read_journal(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("tag", F.col("tag").cast("string"))
 
 
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """(load, tag, file, first, last, events) of every file of the finished loads."""
+    newest = _loads(spark, path).agg(F.max("load")).head()[0] or 0
+    if not newest:
+        return spark.createDataFrame([], MANIFEST)
+    return spark.read.schema(MANIFEST).json(f"{path}/manifest").filter(F.col("load") <= newest)
+
+
+def _write_manifest(stored: DataFrame, path: str) -> None:
+    name = F.col("_metadata.file_name").alias("file")
+    files = stored.select(F.col("tag").cast("string"), name, "ordering").groupBy("tag", "file")
+    bounds = [F.min("ordering").alias("first"), F.max("ordering").alias("last")]
+    counted = files.agg(*bounds, F.count("*").alias("events"))
+    counted.coalesce(1).write.mode("overwrite").json(path)
+
+
 def last_of_devices(spark: SparkSession, path: str) -> DataFrame:
     """(rectangle, last_number, state) of every device in the finished loads, from
     the rows that each load keeps per device, not from its events. ``state`` is what
-    the state machine goes on from."""
+    the state machine goes on from. Of n loads some log(n) tables are read."""
     newest = _loads(spark, path).agg(F.max("load")).head()[0] or 0
-    last = spark.read.parquet(f"{path}/last").filter(F.col("load") <= newest)
-    return last.groupBy(*RECT).agg(
-        F.max("last_number").alias("last_number"), F.max_by("state", "load").alias("state")
-    )
+    return _newest_states(spark, path, last_tables(newest)).drop("load")
+
+
+def last_tables(newest: int) -> list[tuple[int, int]]:
+    """The folded tables that hold the loads 1 to ``newest``."""
+    tables, size, end = [], 1, newest
+    while end:
+        for _ in range(end // size % FOLD):
+            tables.append((end - size + 1, end))
+            end -= size
+        size *= FOLD
+    return tables[::-1]
+
+
+def _newest_states(spark: SparkSession, path: str, tables: list[tuple[int, int]]) -> DataFrame:
+    last = spark.read.parquet(*[f"{path}/last/{first}-{end}" for first, end in tables])
+    newest = F.max_by(F.struct("last_number", "state", "load"), "load").alias("newest")
+    return last.groupBy(*RECT).agg(newest).select(*RECT, "newest.*")
+
+
+def _fold_last(spark: SparkSession, path: str, load: int) -> None:
+    """Fold the tables that a load completes, each level from those of the one below."""
+    size = FOLD
+    while load % size == 0:
+        step = size // FOLD
+        parts = [(end - step + 1, end) for end in range(load - size + step, load + 1, step)]
+        folded = _newest_states(spark, path, parts)
+        folded.write.mode("overwrite").parquet(f"{path}/last/{load - size + 1}-{load}")
+        size *= FOLD
 
 
 def _loads(spark: SparkSession, path: str) -> DataFrame:
@@ -191,15 +241,52 @@ def run_incremental(
     return due, advanced.unionByName(others.select(*advanced.columns))
 
 
+def due_loads(
+    spark: SparkSession, path: str, progress: DataFrame, projection: str
+) -> list[int]:
+    """The loads that hold events past the saved offset of a tag that isn't paused, by the
+    manifest alone."""
+    saved = progress.filter(F.col("projection_name") == projection).select(
+        F.col("projection_key").alias("tag"), "current_offset"
+    )
+    paused = (
+        read_management(spark, path)
+        .filter((F.col("projection_name") == projection) & F.col("paused"))
+        .select(F.col("projection_key").alias("tag"))
+    )
+    due = (
+        read_manifest(spark, path)
+        .join(broadcast_if_small(saved), "tag", "left")
+        .filter(F.col("last") > F.coalesce("current_offset", F.lit(-1)))
+        .join(broadcast_if_small(paused), "tag", "left_anti")
+    )
+    return sorted(row["load"] for row in due.select("load").distinct().collect())
+
+
+def read_loads(spark: SparkSession, path: str, loads: list[int]) -> DataFrame:
+    """The events of some finished loads with events; other loads' folders are not listed."""
+    folders = [f"{path}/events/load={load}" for load in loads]
+    rows = spark.read.option("basePath", f"{path}/events").parquet(*folders).drop("load")
+    return rows.withColumn("tag", F.col("tag").cast("string"))
+
+
 def project_increment(
-    spark: SparkSession, path: str, tiles: str, projection: str = "tiles"
+    spark: SparkSession,
+    path: str,
+    tiles: str,
+    projection: str = "tiles",
+    compact_every: int | None = COMPACT_EVERY,
 ) -> bool:
     """Add the counts of all events past the saved offsets to the tile table, and save
     the offsets with them: both or neither. The projection's keys are the tags; those
-    paused (``set_paused``) wait. Returns whether anything was due."""
+    paused (``set_paused``) wait. Only loads with such events are read. Every
+    ``compact_every`` increments the table is compacted. Returns whether anything was due."""
     progress = store.read_progress(spark, tiles)
-    due, advanced = run_incremental(
-        read_journal(spark, path), progress, projection, read_management(spark, path)
+    loads = due_loads(spark, path, progress, projection)
+    if not loads:
+        return False
+    due, _ = run_incremental(
+        read_loads(spark, path, loads), progress, projection, read_management(spark, path)
     )
     due = due.persist(StorageLevel.DISK_ONLY)
     try:
@@ -212,6 +299,8 @@ def project_increment(
         store.append_deltas(deltas, tiles, batch, projection=projection, offsets=offsets)
     finally:
         due.unpersist()
+    if compact_every and batch % compact_every == 0:
+        store.compact_tiles(spark, tiles)
     return True
 
 
