@@ -14,7 +14,7 @@ from test_sources import rows_of
 from tilepulse.operators import activity, lifecycle, summary
 from tilepulse.plans import inputs
 from tilepulse.sources import journal, store
-from tilepulse.streaming import devices, events, projection
+from tilepulse.streaming import devices, events, journaled, projection
 from tilepulse.sources.workspace import workspace
 
 
@@ -254,3 +254,53 @@ def test_counts_from_the_journal_as_a_stream(spark, tmp_path):
     want = summary.summarize_all(journal.read_journal(spark, path))
     got = store.read_tiles(spark, tiles).select(*want.columns)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def journal_events(spark, path):
+    rows = journal.read_journal(spark, path)
+    return sorted(map(tuple, rows.select("top_left_lng", "sequence_number", "event_type").collect()))
+
+
+@pytest.mark.parametrize("parts, limits", [(1, {}), (4, {"chunk_rows": 9, "broadcast_rows": 0})])
+def test_stream_into_a_journal_goes_on_where_the_batch_ended(spark, tmp_path, parts, limits):
+    triples = sorted(crowd(57, 400))
+    cmds = commands(spark, triples)
+    first, later = cmds.filter("event_id < 150"), triples[150:]
+    path, whole = str(tmp_path / "journal"), str(tmp_path / "whole")
+    journal.append_journal(lifecycle.derive_events(first), path, 4)
+    write_parts(spark, later, str(tmp_path / "in"), parts)
+    for _ in range(2):  # the second run finds nothing new
+        stream = stream_files(spark, cmds.schema, str(tmp_path / "in"))
+        query = journaled.stream_into_journal(stream, path, str(tmp_path / "checkpoint"), 4, **limits)
+        query.awaitTermination()
+    journal.append_journal(lifecycle.derive_events(cmds), whole, 4)
+    assert journal_events(spark, path) == journal_events(spark, whole)
+
+
+def test_a_load_of_a_stream_is_appended_once(spark, tmp_path):
+    triples = crowd(58, 200)
+    cmds = write_parts(spark, triples, str(tmp_path / "in"), 1)
+    path, checkpoint = str(tmp_path / "journal"), tmp_path / "checkpoint"
+
+    def go_on():
+        stream = stream_files(spark, cmds.schema, str(tmp_path / "in"))
+        journaled.stream_into_journal(stream, path, str(checkpoint), 2).awaitTermination()
+
+    go_on()
+    found = journal_events(spark, path)
+    for commit in (checkpoint / "commits").iterdir():  # as after a crash before the commit
+        commit.unlink()
+    go_on()
+    assert journal_events(spark, path) == found
+    # Micro-batches without a change, and without a command.
+    commands(spark, []).write.mode("append").parquet(str(tmp_path / "in"))
+    go_on()
+    assert journal_events(spark, path) == found
+
+
+def test_a_hot_device_of_a_micro_batch_is_no_python_group(spark, tmp_path):
+    cmds = commands(spark, crowd(59, 300))
+    initial = lifecycle.replay(lifecycle.derive_events(cmds))
+    plan = lifecycle.derive_events(cmds, 20, initial)._jdf.queryExecution().optimizedPlan().toString()
+    python = plan[plan.index("FlatMapGroupsInPandas") :]
+    assert "Aggregate" in python  # one row per chunk reaches the fold, not the commands

@@ -94,18 +94,19 @@ def device_history(
     journal, say; a device that it does not list is inactive.
     """
     splits = None if chunk_rows is None else split_points(cmds, RECT, ORDER, chunk_rows)
-    if initial is None:
-        started = cmds.withColumn("start", F.lit("I"))
-    else:
-        known = initial.select(*RECT, F.col("state").alias("start"))
+    known = None if initial is None else initial.select(*RECT, F.col("state").alias("start"))
+    keys, started = DEVICE, cmds.withColumn("start", F.lit("I"))
+    if splits is None and known is not None:
         started = cmds.join(known, RECT, "left").fillna("I", ["start"])
-    keys = DEVICE
-    if splits is not None:
-        keys, chunked = [*DEVICE, "chunk"], with_chunk(started, RECT, ORDER, splits)
-        starts = splits.side(_chunk_starts(chunked, splits))  # one row per chunk of a hot device
-        started = chunked.join(starts, keys, "left").withColumn(
-            "start", F.coalesce("chunk_start", "start")
-        )
+    elif splits is not None:
+        keys, chunked = [*DEVICE, "chunk"], with_chunk(cmds, RECT, ORDER, splits)
+        starts = _chunk_starts(chunked, splits, known)  # one row per chunk of a hot device
+        if known is None:
+            starts = splits.side(starts)
+        else:  # others are one chunk; by chunk, so that no join gathers a hot device
+            others = known.join(splits.hot(), RECT, "left_anti")
+            starts = starts.unionByName(others.withColumn("chunk", F.lit(0)))
+        started = chunked.join(starts, keys, "left").fillna("I", ["start"])
 
     known = F.last("activity", ignorenulls=True).over(_before(keys))
     mood = F.last("mood", ignorenulls=True).over(_before(keys))
@@ -120,12 +121,13 @@ def device_history(
         )
         .withColumn("event_type", _event(F.col("state_before")))
         .withColumn("state_after", F.coalesce(event_to_state(F.col("event_type")), "state_before"))
-        .drop("activity", "active_before", "mood", "mood_before", "start", "chunk", "chunk_start")
+        .drop("activity", "active_before", "mood", "mood_before", "start", "chunk")
     )
 
 
-def _chunk_starts(chunked: DataFrame, splits: Splits) -> DataFrame:
-    """State in which each chunk of a hot device begins."""
+def _chunk_starts(chunked: DataFrame, splits: Splits, initial: DataFrame | None) -> DataFrame:
+    """State ``start`` in which each chunk of a hot device begins, if ``initial`` (with
+    ``start``) is where devices stand before the first."""
     known = F.last("activity", ignorenulls=True).over(_before([*DEVICE, "chunk"]))
     here = F.struct(*ORDER)
 
@@ -134,7 +136,7 @@ def _chunk_starts(chunked: DataFrame, splits: Splits) -> DataFrame:
 
     effects = (
         chunked.join(splits.hot(), RECT, "left_semi")
-        .select(*RECT, "chunk", "action", "start", *ORDER, _activity().alias("activity"))
+        .select(*RECT, "chunk", "action", *ORDER, _activity().alias("activity"))
         .withColumn("mood_if_inactive", _mood(F.coalesce(known, F.lit(False))))
         .withColumn("mood_if_active", _mood(F.coalesce(known, F.lit(True))))
         .groupBy(*RECT, "chunk")
@@ -142,9 +144,12 @@ def _chunk_starts(chunked: DataFrame, splits: Splits) -> DataFrame:
             final("activity").alias("activity"),
             final("mood_if_inactive").alias("mood_if_inactive"),
             final("mood_if_active").alias("mood_if_active"),
-            F.first("start").alias("start"),
         )
     )
+    if initial is None:
+        effects = effects.withColumn("start", F.lit("I"))
+    else:
+        effects = effects.join(initial, RECT, "left").fillna("I", ["start"])
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("chunk").reset_index(drop=True)
@@ -154,10 +159,10 @@ def _chunk_starts(chunked: DataFrame, splits: Splits) -> DataFrame:
             mood = row.mood_if_inactive if state == "I" else row.mood_if_active
             active = state != "I" if pd.isna(row.activity) else bool(row.activity)
             state = (state if pd.isna(mood) else mood) if active else "I"
-        return pdf[[*RECT, "chunk"]].assign(chunk_start=starts)
+        return pdf[[*RECT, "chunk"]].assign(start=starts)
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in effects.schema[:6])
-    return effects.groupBy(*RECT).applyInPandas(fold, schema + ", chunk_start string")
+    return effects.groupBy(*RECT).applyInPandas(fold, schema + ", start string")
 
 
 def derive_events(

@@ -456,6 +456,8 @@ LEFT JOIN (SELECT {_DUE_SUMS} FROM due GROUP BY tag) USING (tag)""",
 SELECT {_DUE_SUMS} FROM due WHERE tag::INT % 2 = 0 GROUP BY tag""",
     "stream_device_events": _DEVICE_EVENTS,
     "stream_device_state": f"WITH {EV} {_stateful_sql('ev')}",
+    "stream_into_journal": f"""WITH {JOURNAL}
+SELECT persistence_id, sequence_number, write_timestamp, event_type, tag FROM journal""",
     "stream_grouped": _EVENT_DELTAS,
     "stream_tile_summary": _SUMMARY,
     "stream_two_projections": _SUMMARY,

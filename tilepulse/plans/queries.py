@@ -14,7 +14,7 @@ from ..functions.keys import device_key, parse_device, parse_key
 from ..operators import activity, joins, lifecycle, summary, tiles, viewport
 from ..operators.viewport import Area
 from ..sources import journal, store, telemetry
-from ..streaming import devices, events, projection
+from ..streaming import devices, events, journaled, projection
 from ..sources.workspace import workspace, written
 from . import inputs
 
@@ -653,6 +653,20 @@ def stream_device_state(spark, sf_dir):
     return lifecycle.replay(_run_to_files(stream, spark, "device-state"))
 
 
+@query
+def stream_into_journal(spark, sf_dir):
+    """The first commands as one load of a journal, the later ones as a stream that goes
+    on from the states in it."""
+    path, checkpoint = workspace(spark, "journal"), workspace(spark, "into-journal")
+    first, _ = split_commands(inputs.commands(spark, sf_dir))
+    journal.append_journal(lifecycle.derive_events(first), path, TAG_COUNT)
+    later = _streamed_commands(spark, sf_dir).filter(F.col("ts") >= F.lit(SPLIT_TIME).cast("timestamp"))
+    journaled.stream_into_journal(later, path, checkpoint, TAG_COUNT).awaitTermination()
+    return journal.read_journal(spark, path).select(
+        "persistence_id", "sequence_number", "write_timestamp", "event_type", "tag"
+    )
+
+
 def _streamed_events(spark, sf_dir, files: int = 2) -> DataFrame:
     """The device events as a stream of several files, taken a few at a time."""
     path = workspace(spark, "events")

@@ -27,6 +27,10 @@ PLACE_BITS = 40
 COMPACT_EVERY = 20
 # So many tables of last states are folded into one of the next level.
 FOLD = 8
+LAST = (
+    "zoom int, top_left_lat double, top_left_lng double, bot_right_lat double, "
+    "bot_right_lng double, last_number long, state string"
+)
 MANIFEST = "load int, tag string, file string, first long, last long, events long"
 
 
@@ -98,10 +102,9 @@ def append_journal(
         <path>/loads/                     one row per finished load
     """
     spark = events.sparkSession
-    finished = _loads(spark, path)
-    if load_id is not None and finished.filter(F.col("load_id") == load_id).head(1):
+    if load_id is not None and has_load(spark, path, load_id):
         return
-    load = 1 + (finished.agg(F.max("load")).head()[0] or 0)
+    load = 1 + (_loads(spark, path).agg(F.max("load")).head()[0] or 0)
     earlier = last_of_devices(spark, path) if load > 1 else None
     # Written first: what derives the events would else run for each of the steps below.
     events = written(events.select(*ORDER, *RECT, "event_type"), "load")
@@ -143,11 +146,18 @@ def _write_manifest(stored: DataFrame, path: str) -> None:
     counted.coalesce(1).write.mode("overwrite").json(path)
 
 
+def has_load(spark: SparkSession, path: str, load_id: str) -> bool:
+    """Whether a load is finished."""
+    return bool(_loads(spark, path).filter(F.col("load_id") == load_id).head(1))
+
+
 def last_of_devices(spark: SparkSession, path: str) -> DataFrame:
     """(rectangle, last_number, state) of every device in the finished loads, from
     the rows that each load keeps per device, not from its events. ``state`` is what
     the state machine goes on from. Of n loads some log(n) tables are read."""
     newest = _loads(spark, path).agg(F.max("load")).head()[0] or 0
+    if not newest:
+        return spark.createDataFrame([], LAST)
     return _newest_states(spark, path, last_tables(newest)).drop("load")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamReader, StreamingQuery
 
@@ -39,6 +39,11 @@ def group_within(
     return reader if size is None else reader.option("maxBytesPerTrigger", size)
 
 
+def query_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id that a streaming query keeps as long as its checkpoint."""
+    return json.loads(spark.read.text(f"{checkpoint}/metadata").head()[0])["id"]
+
+
 def run_projection(
     events: DataFrame,
     path: str,
@@ -68,9 +73,8 @@ def run_projection(
     writer: list[str] = []
 
     def project(batch: DataFrame, batch_id: int) -> None:
-        if not writer:  # the id that a query keeps as long as its checkpoint
-            described = spark.read.text(f"{checkpoint}/metadata").head()
-            writer.append(json.loads(described[0])["id"])
+        if not writer:
+            writer.append(query_id(spark, checkpoint))
         kept = batch.persist(StorageLevel.DISK_ONLY)
         try:
             counted = summarize_all(kept)
