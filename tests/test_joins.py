@@ -138,3 +138,33 @@ def test_salted_join_with_hot_keys_on_both_sides(spark):
     salted = salted_join(left, right, ["k"], hot_rows=100)
     assert salted.count() == plain.count()
     assert salted.select("l", "r", "k").exceptAll(plain.select("l", "r", "k")).isEmpty()
+
+
+def test_equal_rows_of_a_hot_key_part(spark):
+    changed = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {key: spark.conf.get(key) for key in changed}
+    for key, value in changed.items():
+        spark.conf.set(key, value)
+    try:
+        left = spark.range(4000).selectExpr("7 as k", "1 as same")
+        right = spark.range(3).selectExpr("7 as k", "id as r")
+        joined = salted_join(left, right, ["k"], hot_rows=200)
+        sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    assert sum(sizes) == 12000 and len(sizes) > 4 and max(sizes) < 6000
+
+
+def test_salted_join_derives_each_side_once(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("boolean")
+    def seen(_):
+        calls.add(1)
+        return True
+
+    side = spark.range(500).selectExpr("id % 5 as k", "id as v").filter(seen("v"))
+    other = spark.range(5).selectExpr("id as k")
+    assert salted_join(side, other, ["k"], hot_rows=50).count() == 500
+    assert calls.value == 500

@@ -155,25 +155,34 @@ def salted_join(
     left: DataFrame, right: DataFrame, keys: list[str], hot_rows: int = CHUNK_ROWS
 ) -> DataFrame:
     """Inner equi-join in which a key with more than ``hot_rows`` rows on a side
-    is spread over several tasks: that side by hash, the other by copies."""
+    is spread over several tasks: that side by its rows' numbers, so that equal rows part
+    too, the other by copies.
+
+    Both sides are written first: they are counted, grouped and joined, which would run what
+    derives them three times, and a row of a written table keeps its number when a task is
+    run again.
+    """
+    left, right = written(left, "salted-left"), written(right, "salted-right")
     left_fan = _fan_out(left, keys, hot_rows, "left_fan")
     right_fan = _fan_out(right, keys, hot_rows, "right_fan")
     if left_fan is None and right_fan is None:
         return left.join(right, keys)
 
     def salted(df: DataFrame, own: str, other: str) -> DataFrame:
+        df = df.withColumn("row_salt", F.monotonically_increasing_id())
         for fan, name in ((left_fan, "left_fan"), (right_fan, "right_fan")):
             df = (
                 df.withColumn(name, F.lit(1))
                 if fan is None
                 else df.join(F.broadcast(fan), keys, "left").fillna(1, [name])
             )
-        spread = F.pmod(F.xxhash64(*[c for c in df.columns]), F.col(own)).cast("int")
+        # Hashed, as the low bits of the numbers of short partitions are much alike.
+        spread = F.pmod(F.xxhash64("row_salt"), F.col(own)).cast("int")
         copies = F.explode(F.sequence(F.lit(0), F.col(other) - 1))
         return (
             df.withColumn(own + "_salt", spread)
             .withColumn(other + "_salt", copies)
-            .drop("left_fan", "right_fan")
+            .drop("left_fan", "right_fan", "row_salt")
         )
 
     return (

@@ -259,6 +259,15 @@ _DUE = f"""due AS (
   WHERE j.ordering > p.current_offset)"""
 _DUE_SUMS = f"tag, count(*) AS event_total, {_DELTA_SUMS}"
 
+_OVERLAPS = f"""WITH {TILES}, {PLACED}, {AREAS}
+SELECT area_id, b.zoom, r AS "row", c AS "col" FROM areas a JOIN placed b ON {_OVERLAP}"""
+
+_POINTS = f"""WITH {AREAS}, p AS (
+  SELECT dev AS point_id, 9e1 - ({_ROW18} + 0.5::DOUBLE) * {_SIZE18} AS lat,
+    -18e1 + ({_COL18} + 0.5::DOUBLE) * {_SIZE18} AS lng FROM (SELECT o_orderkey AS dev FROM orders))
+SELECT point_id, area_id FROM p JOIN areas ON lat BETWEEN bot_right_lat AND top_left_lat
+AND lng BETWEEN top_left_lng AND bot_right_lng"""
+
 SQL: dict[str, str] = {
     "telemetry_scan": f"WITH {CMDS} SELECT event_id, action, {_RECT18} FROM cmds",
     "telemetry_rejects": f"""WITH {CMDS}, {_BROKEN}
@@ -370,15 +379,12 @@ SELECT s_suppkey, zoom, {_edges()} FROM s WHERE zoom = 18""",
     "cover_semi_join": f"""WITH {TILES}, {PLACED}, {AREAS}
 SELECT zoom, top_left_lat, top_left_lng, bot_right_lat, bot_right_lng, {COUNTS} FROM placed b
 WHERE zoom = 6 AND EXISTS (SELECT 1 FROM areas a WHERE {_OVERLAP})""",
-    "overlap_join": f"""WITH {TILES}, {PLACED}, {AREAS}
-SELECT area_id, b.zoom, r AS "row", c AS "col" FROM areas a JOIN placed b ON {_OVERLAP}""",
+    "overlap_join": _OVERLAPS,
+    "overlap_join_large": _OVERLAPS,
     "contains_join": f"""WITH {TILES}, {PLACED}, {AREAS}
 SELECT area_id, b.zoom, r AS "row", c AS "col" FROM areas a JOIN placed b ON {_WITHIN}""",
-    "points_in_regions": f"""WITH {AREAS}, p AS (
-  SELECT dev AS point_id, 9e1 - ({_ROW18} + 0.5::DOUBLE) * {_SIZE18} AS lat,
-    -18e1 + ({_COL18} + 0.5::DOUBLE) * {_SIZE18} AS lng FROM (SELECT o_orderkey AS dev FROM orders))
-SELECT point_id, area_id FROM p JOIN areas ON lat BETWEEN bot_right_lat AND top_left_lat
-AND lng BETWEEN top_left_lng AND bot_right_lng""",
+    "points_in_regions": _POINTS,
+    "points_in_regions_large": _POINTS,
     "event_deltas": _EVENT_DELTAS,
     "summary_zoom": f"WITH {TILES} {_shown()} WHERE zoom = 12",
     "summary_all_zooms": f"WITH {TILES} {_shown()}",

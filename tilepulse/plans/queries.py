@@ -39,6 +39,8 @@ MANY_LOADS = 9
 GROUP_EVENTS = 20_000
 # Files of commands in one micro-batch: the bound on what one device's group holds.
 STREAM_FILES = 64
+# Bounds of a spatial join that has its cells shuffled and hot ones spread.
+SHUFFLED = {"broadcast_rows": 0, "hot_rows": 1_000}
 HALF_HEIGHT, HALF_WIDTH = 1.3, 2.1
 GRID_HEIGHT, GRID_WIDTH = 1.25, 2.5
 TRAVERSED_HEIGHT, TRAVERSED_WIDTH = 0.0013, 0.0021
@@ -391,6 +393,23 @@ def points_in_regions(spark, sf_dir):
     return pairs.select("point.point_id", "area.area_id")
 
 
+@query
+def overlap_join_large(spark, sf_dir):
+    """As beyond the bound of a broadcast: shuffled, with hot cells on several tasks."""
+    placed = grid.with_edges(inputs.stored_tiles(spark, sf_dir)).select(*TILE, *RECT[1:])
+    areas = supplier_areas(spark, sf_dir)
+    pairs = joins.overlap_join(areas, placed, ("area", "tile"), **SHUFFLED)
+    return pairs.select("area.area_id", *[f"tile.{c}" for c in TILE])
+
+
+@query
+def points_in_regions_large(spark, sf_dir):
+    """The same for points."""
+    points, areas = inputs.points(spark, sf_dir), supplier_areas(spark, sf_dir)
+    pairs = joins.points_in_regions(points, areas, ("point", "area"), **SHUFFLED)
+    return pairs.select("point.point_id", "area.area_id")
+
+
 # Aggregations
 
 
