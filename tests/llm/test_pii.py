@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 
 import odd
 
@@ -53,7 +54,7 @@ def test_field_on_held_out_windows():
     right = found = there = 0
     for _ in range(600):
         text, gold = pii.example(rng)
-        got = set(pii.Window(text, 0, len(text)).best(weights))
+        got = set(pii.best_cut(text, 0, len(text), weights))
         right, found, there = right + len(got & set(gold)), found + len(got), there + len(gold)
     assert right / found > 0.95 and right / there > 0.95
 
@@ -75,7 +76,7 @@ def test_best_cut_equals_trying_all():
         if window.n > 12:
             continue
         at = {(window.edges[a], window.edges[b]): s for s, (a, b) in enumerate(window.spans)}
-        got = sum(scores[at[a, b]] for _, a, b in window.best(weights))
+        got = sum(scores[at[a, b]] for _, a, b in pii.best_cut(text[:30], 0, min(30, len(text)), weights))
         assert abs(got - best_from(0)) < 1e-9
 
 
@@ -137,3 +138,30 @@ def test_query_7(spark):
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == i for k, *_ in base) for i in range(4)]
         assert r.base_sha256 == hashlib.sha256(pii.listed(base).encode()).hexdigest()
         assert set(filter(None, pii.listed(base).split(","))) <= set(r.spans.split(","))
+
+
+def number_table(rng, lines):
+    cell = lambda: f"{rng.randrange(10 ** rng.randint(1, 6))}{rng.choice(['', '.5', '-7', '%'])}"
+    return "\n".join("\t".join(cell() for _ in range(8)) for _ in range(lines))
+
+
+def test_cut_does_not_depend_on_blocks(monkeypatch):
+    weights, rng = pii.trained(), random.Random(12)
+    texts = [number_table(rng, 6), "".join(pii.example(rng)[0] for _ in range(20))]
+    texts += ["".join(rng.choices(PIECES, k=60)) for _ in range(20)]
+    whole = [pii.best_cut(t, 0, len(t), weights) for t in texts]
+    assert sum(map(len, whole)) > 10
+    monkeypatch.setattr(pii, "BLOCK", 25)
+    assert [pii.best_cut(t, 0, len(t), weights) for t in texts] == whole
+
+
+def test_memory_of_a_digit_dense_text_is_bounded():
+    weights, rng = pii.trained(), random.Random(13)
+    peaks = []
+    for lines in (100, 300):
+        text = number_table(rng, lines)
+        tracemalloc.start()
+        pii.find(text, weights)
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < 1.3 * peaks[0]

@@ -18,13 +18,15 @@ rows each get their row; matches of different kinds may overlap and all are list
 (redaction replaces their union once, named after the first); an empty table gives no
 rows; there are no ties among spans, as kind and start order them. Columns other than
 the named ones are kept by ``redacted`` and never read. Patterns take time linear in
-the text, however long.
+the text, however long; so does the cut, and what it holds is bounded by the blocks it is
+scored in and by runs of overlapping spans above 0, not by the text.
 """
 
 from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import random
 import re
 from collections.abc import Iterator
@@ -52,6 +54,8 @@ ANCHOR = re.compile(
 TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|\s+|.", re.DOTALL)
 # Characters around an anchor that a window takes in; tokens and characters of a span.
 AROUND, MOST_TOKENS, MOST_CHARS = 48, 20, 64
+# Tokens whose candidate spans are scored at once.
+BLOCK = 512
 # Training: windows, passes over them, step size, weight decay, seed.
 WINDOWS, PASSES, RATE, DECAY, SEED = 400, 30, 0.5, 1e-3, 5
 
@@ -167,60 +171,95 @@ def features(span: str, left: str, right: str) -> list[float]:
 WIDTH = len(features("1", " ", " "))
 
 
+def candidates(text: str, edges: list[int], starts: int) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Candidate spans (i, j) between the edges of tokens, of those that start at one of the
+    first ``starts`` tokens, by start and then end, and their features."""
+    n = len(edges) - 1
+    kinds = [text[edges[i]] for i in range(n)]
+    anchors = [c.isdigit() or c in "([" or ANCHOR.match(text, a) for c, a in zip(kinds, edges)]
+    rows, spans = [], []
+    for i in range(starts):
+        if not (kinds[i].isalnum() or kinds[i] in "+(["):
+            continue
+        anchored = False
+        for j in range(i + 1, min(n, i + MOST_TOKENS) + 1):
+            if edges[j] - edges[i] > MOST_CHARS:
+                break
+            first = kinds[j - 1]
+            anchored = anchored or anchors[j - 1]
+            if anchored and (first.isalnum() or first in ")]"):
+                x, y = edges[i], edges[j]
+                rows.append(features(text[x:y], text[max(0, x - 2) : x], text[y : y + 1]))
+                spans.append((i, j))
+    return spans, np.array(rows, float).reshape(-1, WIDTH)
+
+
+def best_cut(text: str, start: int, end: int, weights: np.ndarray) -> list[Span]:
+    """The best cut of a stretch: its spans as (kind, start, end) in characters. A token on
+    its own scores 0; equal scores prefer it, then the longer span.
+
+    So only spans that score above 0 can be in it, and a place that none of them crosses
+    parts the stretch. Tokens are scored ``BLOCK`` at a time, and what is kept of them is
+    a run of overlapping spans above 0, so memory does not grow with the stretch otherwise."""
+    tokens, edges = TOKEN.finditer(text, start, end), [start]
+    out, run, reach, whole = [], [], start, False
+    while not whole:
+        more = [m.end() for m in itertools.islice(tokens, BLOCK)]
+        whole = len(more) < BLOCK
+        edges += more
+        # Starts whose spans all end within the edges in view.
+        starts = len(edges) - 1 if whole else max(0, len(edges) - 1 - MOST_TOKENS)
+        spans, rows = candidates(text, edges, starts)
+        if spans:
+            scores = rows @ weights
+            top, kind = scores.max(axis=1), scores.argmax(axis=1)
+            for s in np.flatnonzero(top > 0):
+                a, b = (edges[k] for k in spans[s])
+                if a >= reach:
+                    out += best_of(run)
+                    run = []
+                run.append((a, b, int(kind[s]), float(top[s])))
+                reach = max(reach, b)
+        edges = edges[starts:]
+    return out + best_of(run)
+
+
+def best_of(run: list[tuple[int, int, int, float]]) -> list[Span]:
+    """The best choice among spans (start, end, kind, score above 0): a dynamic program over
+    the places where one starts or ends."""
+    places = sorted({p for a, b, _, _ in run for p in (a, b)})
+    at, by_end = {p: i for i, p in enumerate(places)}, {}
+    for span in run:
+        by_end.setdefault(span[1], []).append(span)
+    value, back = [0.0] * len(places), [None] * len(places)
+    for i in range(1, len(places)):
+        value[i] = value[i - 1]
+        for span in by_end.get(places[i], ()):
+            score = value[at[span[0]]] + span[3]
+            if score > value[i]:
+                value[i], back[i] = score, span
+    out, i = [], len(places) - 1
+    while i > 0:
+        if back[i] is None:
+            i -= 1
+        else:
+            a, b, kind, _ = back[i]
+            out.append((kind, a, b))
+            i = at[a]
+    return out[::-1]
+
+
 class Window:
-    """Tokens of a stretch of text, and its candidate spans with their features."""
+    """Tokens of a window to train on, and its candidate spans with their features."""
 
     def __init__(self, text: str, start: int, end: int):
         self.edges = [start, *(m.end() for m in TOKEN.finditer(text, start, end))]
-        n = len(self.edges) - 1
-        kinds = [text[self.edges[i]] for i in range(n)]
-        anchors = [c.isdigit() or c in "([" or ANCHOR.match(text, a) for c, a in zip(kinds, self.edges)]
-        self.n, self.ends = n, []
-        rows, self.spans = [], []
-        for i in range(n):
-            if not (kinds[i].isalnum() or kinds[i] in "+(["):
-                continue
-            anchored = False
-            for j in range(i + 1, min(n, i + MOST_TOKENS) + 1):
-                if self.edges[j] - self.edges[i] > MOST_CHARS:
-                    break
-                first = kinds[j - 1]
-                anchored = anchored or anchors[j - 1]
-                if anchored and (first.isalnum() or first in ")]"):
-                    a, b = self.edges[i], self.edges[j]
-                    rows.append(features(text[a:b], text[max(0, a - 2) : a], text[b : b + 1]))
-                    self.spans.append((i, j))
-        self.rows = np.array(rows, float).reshape(-1, WIDTH)
-        self.by_end: list[list[int]] = [[] for _ in range(n + 1)]
+        self.n = len(self.edges) - 1
+        self.spans, self.rows = candidates(text, self.edges, self.n)
+        self.by_end: list[list[int]] = [[] for _ in range(self.n + 1)]
         for s, (_, j) in enumerate(self.spans):
             self.by_end[j].append(s)
 
-    def best(self, weights: np.ndarray) -> list[tuple[int, int, int]]:
-        """The best cut: its spans as (kind, start, end) in characters. A token on
-        its own scores 0; equal scores prefer it, then the longer span."""
-        scores = self.rows @ weights
-        kind = scores.argmax(axis=1) if len(scores) else []
-        top = scores.max(axis=1) if len(scores) else []
-        value, back = [0.0], [-1]
-        for j in range(1, self.n + 1):
-            best, from_ = value[j - 1], -1
-            for s in self.by_end[j]:
-                score = value[self.spans[s][0]] + top[s]
-                if score > best:
-                    best, from_ = score, s
-            value.append(best)
-            back.append(from_)
-        out, j = [], self.n
-        while j > 0:
-            s = back[j]
-            if s >= 0:
-                i, _ = self.spans[s]
-                out.append((int(kind[s]), self.edges[i], self.edges[j]))
-                j = i
-            else:
-                j -= 1
-        return out[::-1]
-
     def gradient(self, weights: np.ndarray, gold: list[Span]) -> np.ndarray:
         """Of the log-likelihood of the gold cut: features seen less those expected."""
         scores = self.rows @ weights
@@ -371,7 +410,7 @@ def added_spans(text: str, base: list[Span], weights: np.ndarray) -> list[Span]:
     out = []
     for start, end in stretches(text, base):
         if ANCHOR.search(text, start, end):
-            out += Window(text, start, end).best(weights)
+            out += best_cut(text, start, end, weights)
     return out
 
 
