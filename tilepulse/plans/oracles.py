@@ -198,6 +198,26 @@ _TRAVERSE = " UNION ALL ".join(
     f"SELECT a.*, {z}::INT AS z, y.*, x.* {_cover('areas', z)}" for z in range(0, 19)
 )
 
+# A tile's path from the world down, as digits; its devices' keys begin with it.
+_TREE = " UNION ALL ".join(
+    f"SELECT area_id, {z}::INT AS z, r, c, top_left_lat >= top AND bot_right_lat <= bot "
+    f"AND top_left_lng <= lft AND bot_right_lng >= rgt AS whole {_cover('areas', z)}"
+    for z in range(q.TREE_ZOOM + 1)
+)
+_TREE_KEY = (
+    "(CASE WHEN z = 0 THEN 0 WHEN z = 1 THEN c WHEN z = 2 THEN c // 3 * 9 + r * 3 + c % 3 "
+    "ELSE ((c >> (z - 3)) // 9 * 9 + (r >> (z - 3)) // 3 * 3 + (c >> (z - 3)) // 3 % 3) * 9 "
+    "+ (r >> (z - 3)) % 3 * 3 + (c >> (z - 3)) % 3 END)::BIGINT"
+)
+_TREE_STEPS = (
+    "coalesce(list_sum([((((r >> (z - 3 - k)) & 1) * 2 + ((c >> (z - 3 - k)) & 1))::BIGINT "
+    "<< (2 * (15 - k))) FOR k IN range(1, z - 2)]), 0)::BIGINT"
+)
+_TREE_WIDTH = (
+    "(CASE z WHEN 0 THEN 162 WHEN 1 THEN 81 WHEN 2 THEN 9 ELSE 1 END * (1::BIGINT << 30) "
+    "// (CASE WHEN z > 3 THEN 1::BIGINT << (2 * (z - 3)) ELSE 1 END))::BIGINT"
+)
+
 _SAMPLES = f"""steps AS (
   SELECT epoch_us(ts) // {q.STEP_SECONDS * 1_000_000} AS step, sum(dd)::BIGINT AS dd,
     sum(hd)::BIGINT AS hd, sum(sd)::BIGINT AS sd FROM ev GROUP BY 1),
@@ -367,6 +387,22 @@ SELECT area_id, z AS zoom, r AS "row", c AS "col",
   least(top_left_lat, top) AS trim_top_lat, greatest(top_left_lng, lft) AS trim_left_lng,
   greatest(bot_right_lat, bot) AS trim_bot_lat, least(bot_right_lng, rgt) AS trim_right_lng
 FROM hit""",
+    "selection_tree": f"""WITH {_areas(q.TREE_HEIGHT, q.TREE_WIDTH, 8)},
+{", ".join(_grid_lines(z) for z in range(q.TREE_ZOOM + 1))},
+hit AS ({_TREE}),
+node AS (
+  SELECT * FROM hit h WHERE (whole OR z = {q.TREE_ZOOM}) AND NOT EXISTS (
+    SELECT 1 FROM hit p WHERE p.whole AND p.area_id = h.area_id AND p.z = h.z - 1
+      AND p.r = h.r // CASE h.z WHEN 1 THEN 1 WHEN 2 THEN 3 WHEN 3 THEN 3 ELSE 2 END
+      AND p.c = h.c // CASE h.z WHEN 1 THEN 2 WHEN 2 THEN 3 WHEN 3 THEN 3 ELSE 2 END)),
+keyed AS (
+  SELECT *, {_TREE_KEY} * CASE WHEN z < 3 THEN {_TREE_WIDTH} ELSE 1::BIGINT << 30 END
+    + CASE WHEN z > 3 THEN {_TREE_STEPS} ELSE 0 END AS first_key FROM node)
+SELECT area_id, z AS zoom, r AS "row", c AS "col", CASE WHEN whole THEN 'full' ELSE 'partial' END
+  AS overlap, first_key, first_key + {_TREE_WIDTH} - 1 AS last_key FROM keyed""",
+    "selection_totals": f"""WITH {TILES}, {PLACED}, {_areas(q.TREE_HEIGHT, q.TREE_WIDTH, 8)}
+SELECT area_id, {", ".join(f"sum({n})::BIGINT AS {n}" for n in COUNTS.split(", "))}
+FROM placed b JOIN areas a ON {_OVERLAP} WHERE b.zoom = 18 GROUP BY area_id""",
     "viewport_tiles": f"""WITH {TILES}, {PLACED}
 SELECT zoom, top_left_lat, top_left_lng, bot_right_lat, bot_right_lng, {COUNTS} {_in_view(q.VIEW)}""",
     "viewport_join": f"""WITH {TILES}, {PLACED}, {_areas(q.HALF_HEIGHT, q.HALF_WIDTH, 10)}

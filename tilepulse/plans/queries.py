@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import grid, measures
 from ..functions.grid import COUNTS, MAX_ZOOM, RECT, TILE
 from ..functions.keys import device_key, parse_device, parse_key
-from ..operators import activity, joins, lifecycle, summary, tiles, viewport
+from ..operators import activity, joins, lifecycle, quadtree, summary, tiles, viewport
 from ..operators.viewport import Area
 from ..sources import journal, store, telemetry
 from ..streaming import devices, events, journaled, projection
@@ -44,6 +44,9 @@ SHUFFLED = {"broadcast_rows": 0, "hot_rows": 1_000}
 HALF_HEIGHT, HALF_WIDTH = 1.3, 2.1
 GRID_HEIGHT, GRID_WIDTH = 1.25, 2.5
 TRAVERSED_HEIGHT, TRAVERSED_WIDTH = 0.0013, 0.0021
+# Areas that take tiles of zoom 3 whole, and the zoom at which their trees end.
+TREE_HEIGHT, TREE_WIDTH = 21.3, 41.7
+TREE_ZOOM = 9
 
 
 def query(fn: Query) -> Query:
@@ -328,6 +331,26 @@ def selection_traversal(spark, sf_dir):
     )
 
 
+@query
+def selection_tree(spark, sf_dir):
+    chosen = inputs.areas(spark, sf_dir, 8, TREE_HEIGHT, TREE_WIDTH)
+    return quadtree.cover_tree(chosen, TREE_ZOOM).select(
+        "selection.area_id",
+        F.col("tile_zoom").alias("zoom"),
+        "row",
+        "col",
+        "overlap",
+        "first_key",
+        "last_key",
+    )
+
+
+@query
+def selection_totals(spark, sf_dir):
+    chosen = inputs.areas(spark, sf_dir, 8, TREE_HEIGHT, TREE_WIDTH)
+    return quadtree.selection_totals(inputs.stored_tiles(spark, sf_dir), chosen, "area_id")
+
+
 # Filters
 
 
