@@ -8,6 +8,7 @@ from tilepulse.operators import joins
 from tilepulse.operators.skew import salted_join
 
 SIDES = "id int, top_left_lat double, top_left_lng double, bot_right_lat double, bot_right_lng double"
+TOP_TO_EAST = ["top_left_lat", "top_left_lng", "bot_right_lat", "bot_right_lng"]
 
 # name, a, b, overlap?  (top, left, bottom, right)
 PICTURES = [
@@ -168,3 +169,25 @@ def test_salted_join_derives_each_side_once(spark):
     other = spark.range(5).selectExpr("id as k")
     assert salted_join(side, other, ["k"], hot_rows=50).count() == 500
     assert calls.value == 500
+
+
+@pytest.mark.parametrize("few, many", [(3, 60), (60, 3)])
+def test_fields_chosen_from_pairs(spark, tmp_path, rects, few, many):
+    """One side within the bound of a broadcast, one beyond, and not all fields read."""
+    limits = {"broadcast_rows": 500}
+    a, b = rects[:few], rects[40 : 40 + many]
+    derived = [F.col("id"), F.lit(8).alias("unread"), *[(F.col(c) + 0.0).alias(c) for c in TOP_TO_EAST]]
+    sides = []
+    for name, side in (("a", a), ("b", b)):
+        table(spark, side).write.parquet(f"{tmp_path}/{name}")
+        sides.append(spark.read.parquet(f"{tmp_path}/{name}").select(*derived))
+    found = joins.overlap_join(*sides, **limits).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
+    want = sorted((i, j) for i, x in enumerate(a) for j, y in enumerate(b) if overlap(x, y))
+    assert sorted(map(tuple, found.collect())) == want and want
+    found = joins.contains_join(*sides, **limits).select("outer.id", F.col("inner.id").alias("inner"))
+    want = sorted((i, j) for i, x in enumerate(a) for j, y in enumerate(b) if contains(x, y))
+    assert sorted(map(tuple, found.collect())) == want
+    points = sides[1].selectExpr("id", "top_left_lat as lat", "top_left_lng as lng")
+    found = joins.points_in_regions(points, sides[0], **limits).select("point.id", F.col("region.id").alias("r"))
+    want = sorted((j, i) for i, x in enumerate(a) for j, y in enumerate(b) if inside(x, y[0], y[1]))
+    assert sorted(map(tuple, found.collect())) == want

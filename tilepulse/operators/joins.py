@@ -9,7 +9,8 @@ small rectangles can be mixed: a huge one has a coarse home and few cells.
 Cells here are plain ``floor`` bins, clamped at the map's rim. Clamping keeps
 their order, so two rectangles that meet always share a cell, also off the map.
 
-Every join returns struct columns, named by the caller, one per side.
+Every join returns struct columns, named by the caller, one per side. They are
+packed last: Spark's pruning of fields loses some below generators, joins and unions.
 """
 
 from __future__ import annotations
@@ -43,13 +44,31 @@ def _bin_col(lng: Column, zoom: Column) -> Column:
     return _bin(lng + 180.0, grid.lng_size(zoom), grid.col_count(zoom))
 
 
+def _named(side: str, column: str) -> str:
+    return f"{side}.{column}"
+
+
+def _column(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def _side(df: DataFrame, name: str) -> DataFrame:
-    """Pack a table into one struct column, so the two sides' names never clash."""
-    return df.select(F.struct(*df.columns).alias(name))
+    """A table with the side's name before each column, so the two sides' names never clash."""
+    return df.select(*[_column(c).alias(_named(name, c)) for c in df.columns])
+
+
+def _packed(pairs: DataFrame, *sides: tuple[str, DataFrame]) -> DataFrame:
+    """The columns of each side, a name and the table it was, as one struct."""
+
+    def struct(name: str, df: DataFrame) -> Column:
+        fields = [_column(_named(name, c)).alias(c) for c in df.columns]
+        return F.struct(*fields).alias(name)
+
+    return pairs.select(*[struct(*side) for side in sides])
 
 
 def _edge(name: str):
-    return lambda edge: F.col(f"{name}.{edge}")
+    return lambda edge: _column(_named(name, edge))
 
 
 def _with_home(df: DataFrame, name: str) -> DataFrame:
@@ -160,15 +179,12 @@ def overlap_join(
     sa, sb, zoom = _edge(left), _edge(right), F.col("cell_zoom")
     top = F.least(sa("top_left_lat"), sb("top_left_lat"))
     west = F.greatest(sa("top_left_lng"), sb("top_left_lng"))
-    return (
-        a_home.unionByName(b_home)
-        .filter(
-            grid.overlaps(sa, sb)
-            & (_bin_row(top, zoom) == F.col("cell_row"))
-            & (_bin_col(west, zoom) == F.col("cell_col"))
-        )
-        .select(left, right)
+    pairs = a_home.unionByName(b_home).filter(
+        grid.overlaps(sa, sb)
+        & (_bin_row(top, zoom) == F.col("cell_row"))
+        & (_bin_col(west, zoom) == F.col("cell_col"))
     )
+    return _packed(pairs, (left, a), (right, b))
 
 
 def contains_join(
@@ -200,7 +216,8 @@ def points_in_regions(
     hot_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """Pairs of a point (``lat, lng``) and a rectangle it lies in or on."""
-    lat, lng = F.col(names[0] + ".lat"), F.col(names[0] + ".lng")
+    point = _edge(names[0])
+    lat, lng = point("lat"), point("lng")
     return _corner_join(
         regions,
         points,
@@ -215,22 +232,19 @@ def points_in_regions(
 def _corner_join(regions, points, names, at, predicate, broadcast_rows, hot_rows) -> DataFrame:
     region, point = names
     homed = _with_home(_side(regions, region), region)
-    packed = _side(points, point)
+    named = _side(points, point)
     census = _census(homed)
     lat, lng = at
     zoom = F.col("cell_zoom")
     located = (
-        packed.filter(~F.isnan(lat) & ~F.isnan(lng))
+        named.filter(~F.isnan(lat) & ~F.isnan(lng))
         .withColumn("cell_zoom", F.explode(_listed(census)))
         .withColumn("cell_row", _bin_row(lat, zoom))
         .withColumn("cell_col", _bin_col(lng, zoom))
     )
     filed = _cells(homed, region, F.array("home"))
-    return (
-        _cell_join(filed, located, _most_cells(census), broadcast_rows, hot_rows)
-        .filter(predicate)
-        .select(region, point)
-    )
+    pairs = _cell_join(filed, located, _most_cells(census), broadcast_rows, hot_rows)
+    return _packed(pairs.filter(predicate), (region, regions), (point, points))
 
 
 def lookup_cover(
