@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 
 from ..sources.workspace import written
 from .components import components
-from .tables import OUT_ROWS
+from .tables import HELD_ROWS
 
 K = 5
 SIMILAR = 0.8
@@ -51,8 +51,8 @@ DRAWN, ROWS, BANDS = 2, 2, 16
 SEED = 7
 # K-mers of a text that are sketched at once.
 SKETCHED = 1 << 15
-# Words whose hash a worker remembers.
-MEMORY = 500_000
+# Words whose hash a worker remembers (some 150 bytes each; forgotten ones are hashed again).
+MEMORY = 1 << 16
 # Nodes and k-mers that meet in one task's block, and columns of its matrix at once.
 BLOCK, BLOCK_MERS, COLUMNS = 2_048, 2_000_000, 2_048
 # Mixing constants (fixed values: the 64-bit finalizer of SplitMix, and its step).
@@ -175,6 +175,38 @@ def signed(values: np.ndarray) -> pa.Array:
     return pa.array(values.view(np.int64))
 
 
+def described(batches: Iterator[pa.RecordBatch], sequences: bool) -> Iterator[pa.RecordBatch]:
+    """Rows (id, content, raw) with what ``prepared`` finds in ``raw``. Of the texts of a
+    batch one at a time is Python's."""
+    memory = Words()
+    for whole in batches:
+        for first in range(0, whole.num_rows, HELD_ROWS):
+            batch = whole.slice(first, HELD_ROWS)
+            nodes, sizes, values = [], [], []
+            for raw in batch.column(2):
+                words = raw.as_py().lower().split()
+                if not words:
+                    nodes.append(None), sizes.append(0), values.append(None)
+                    continue
+                mers = kmers(memory.hashes(words))
+                nodes.append(xxhash.xxh3_128_digest(b" ".join(words)))
+                sizes.append(len(mers))
+                if sequences:
+                    values.append((mers >> U(32)).astype(np.uint32).tobytes())
+                else:
+                    values.append(bands(labelled(mers)).view(np.int64))
+            last = pa.array(values, pa.binary() if sequences else pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *batch.columns[:2],
+                    pa.array(nodes, pa.binary()),
+                    pa.array(sizes, pa.int32()),
+                    last,
+                ],
+                ["id", "content", "node", "size", "mers" if sequences else "buckets"],
+            )
+
+
 def prepared(docs: DataFrame, doc_id: str, text: str, sequences: bool) -> DataFrame:
     """Per row: ``id``, ``content`` (hash of the text), ``node`` (digest of the words, null
     without any), ``size`` (k-mers), and ``buckets`` or, if asked for, ``mers``."""
@@ -185,33 +217,7 @@ def prepared(docs: DataFrame, doc_id: str, text: str, sequences: bool) -> DataFr
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory = Words()
-        for whole in batches:
-            for first in range(0, whole.num_rows, OUT_ROWS):
-                batch = whole.slice(first, OUT_ROWS)
-                nodes, sizes, values = [], [], []
-                for raw in batch.column(2).to_pylist():
-                    words = raw.lower().split()
-                    if not words:
-                        nodes.append(None), sizes.append(0), values.append(None)
-                        continue
-                    mers = kmers(memory.hashes(words))
-                    nodes.append(xxhash.xxh3_128_digest(b" ".join(words)))
-                    sizes.append(len(mers))
-                    if sequences:
-                        values.append((mers >> U(32)).astype(np.uint32).tobytes())
-                    else:
-                        values.append(bands(labelled(mers)).view(np.int64))
-                last = pa.array(values, pa.binary() if sequences else pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        *batch.columns[:2],
-                        pa.array(nodes, pa.binary()),
-                        pa.array(sizes, pa.int32()),
-                        last,
-                    ],
-                    ["id", "content", "node", "size", "mers" if sequences else "buckets"],
-                )
+        return described(batches, sequences)
 
     kind = rows.schema["id"].dataType.simpleString()
     last = "mers binary" if sequences else "buckets array<bigint>"

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import OUT_ROWS, per_row
+from .tables import HELD_ROWS, per_row
 
 KINDS = ["email", "ip", "card", "phone"]
 # Patterns (fixed values), written so that no text makes them slow: the local part of
@@ -472,8 +472,8 @@ def redacted(docs: DataFrame, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = shared.value
         for whole in batches:
-            for first in range(0, whole.num_rows, OUT_ROWS):
-                batch = whole.slice(first, OUT_ROWS)
+            for first in range(0, whole.num_rows, HELD_ROWS):
+                batch = whole.slice(first, HELD_ROWS)
                 texts = [
                     None if t is None else redact(t, find(t, weights)[1])
                     for t in batch.column(at).to_pylist()

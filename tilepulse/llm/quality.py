@@ -39,7 +39,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..sources.workspace import written
-from .tables import BROADCAST_BYTES
+from .tables import BROADCAST_BYTES, local_table
 
 # Counted rules.
 LEAST_WORDS = 50
@@ -203,7 +203,7 @@ def distinct_texts(docs: DataFrame, text: str = "text", lang: str = "lang") -> D
     bits = [(i, row.view("<i8").tolist()) for i, row in enumerate(table) if row.any()]
     if not bits:
         return rows
-    filled = docs.sparkSession.createDataFrame(bits, "_row long, _bits array<bigint>")
+    filled = local_table(docs.sparkSession, bits, "_row long, _bits array<bigint>")
     at = F.pmod(F.xxhash64("lang", "text"), F.lit(PLACES))
     placed = rows.withColumn("_at", at).withColumn("_row", F.expr(f"_at div {ROW_PLACES}"))
     bit = F.expr(f"getbit(get(_bits, cast(_at % {ROW_PLACES} div 64 as int)), cast(_at % 64 as int)) = 1")
