@@ -127,3 +127,56 @@ def test_totals_equal_all_pairs(spark, rows, edge_zoom):
         if hit:
             want[i] = tuple(map(sum, zip(*hit)))
     assert seen == want and 0 in want
+
+
+def test_no_node_of_a_large_tree_is_made(spark, monkeypatch):
+    """What is written beside the tile table follows the selections, not their edges."""
+    rng = random.Random(8)
+    chosen = table(spark, [(60.1 - i / 7, -70.3 + i, -3.3 - i / 5, 50.7 + i) for i in range(20)])
+    at_18 = spark.createDataFrame(
+        [(rng.randrange(grid.n_rows(18)), rng.randrange(grid.n_cols(18))) for _ in range(200)],
+        "row int, col int").select("*", *[F.lit(1).cast("bigint").alias(c) for c in grid.COUNTS])
+    stored, rows = tiles.climb(at_18, 3, 18), []
+
+    def counted(df, name):
+        out = written(df, name)
+        rows.append(out.count())
+        return out
+
+    written = quadtree.written
+    monkeypatch.setattr(quadtree, "written", counted)
+    got = quadtree.selection_totals(stored, chosen, "id", 10, 0)
+    assert got.count() == 20 and sum(rows) <= 20
+
+
+@pytest.mark.parametrize("edge_zoom", [3, 11, 12, 17])
+def test_runs_give_what_nodes_give(spark, edge_zoom):
+    """Also for repeated and null keys, repeated tiles, null counts, devices all gone, thin
+    selections and such with edges on the grid."""
+    size, rng = 20 / 32768, random.Random(edge_zoom)
+    near = [(147_400 + rng.randrange(500), 294_900 + rng.randrange(500)) for _ in range(400)]
+    far = [(rng.randrange(grid.n_rows(18)), rng.randrange(grid.n_cols(18))) for _ in range(400)]
+    counts = "device_count bigint, happy_count bigint, sad_count bigint"
+    devices = [(*place, i % 3, (i % 3) if i % 4 else None, None if i % 5 else 0)
+               for i, place in enumerate([*near, *near[:40], *far])]
+    at_18 = spark.createDataFrame([*devices, (1000, 1000, 0, 0, None)], "row int, col int, " + counts)
+    stored = tiles.climb(at_18, 3, 18)
+    lost = [(None, 1, 1, 1, 1, 1), (18, None, 1, 1, 1, 1), (18, 1, None, 1, 1, 1)]
+    stored = stored.unionByName(spark.createDataFrame(lost, "zoom int, row int, col int, " + counts))
+    rects = []
+    for _ in range(60):  # from a part of a device to some hundred devices wide, at a corner of many tiles
+        top, left = 147_456 + rng.randrange(-400, 400), 294_912 + rng.randrange(-400, 400)
+        high, wide = rng.choice([0.4, 1, 3, 90, 260]), rng.choice([0.4, 1, 3, 90, 260])
+        off = rng.choice([0, 0.3])
+        rects.append((90 - (top + off) * size, (left + off) * size - 180,
+                      90 - (top + off + high) * size, (left + off + wide) * size - 180))
+    if edge_zoom < 17:  # lines around the world, and all of it
+        rects += [(0.3, -181.0, 0.3 - size, 179.9), (INF, 0.2, -INF, 0.2 + 2 * size), (INF, -INF, -INF, INF)]
+    chosen = table(spark, rects).withColumn("id", F.when(F.col("id") % 7 > 0, F.col("id") % 50))
+    alone = table(spark, [(90 - 1000 * size, 1000 * size - 180, 90 - 1001 * size, 1001 * size - 180)])
+    chosen = chosen.unionAll(chosen.limit(5)).unionAll(alone.withColumn("id", F.lit(99)))
+    found = [quadtree.selection_totals(stored, chosen, "id", edge_zoom, most) for most in (0, 10_000_000)]
+    assert found[0].dtypes == found[1].dtypes
+    runs, nodes_ = ({r.id: tuple(r) for r in f.collect()} for f in found)
+    assert runs == nodes_ and None in runs and len(runs) < 52
+    assert runs[99] == (99, 0, 0, None)
