@@ -62,6 +62,27 @@ def test_rare_words_are_joined(spark, monkeypatch):
     same(lm_score.scores(docs, PATH, PATTERN).collect(), docs.collect())
 
 
+def test_rare_pairs_are_joined(spark, monkeypatch):
+    """Pairs beyond a broadcast count as those within it, in training texts and others."""
+    rng = random.Random(11)
+    words = ["".join(rng.choices("abcdeé7", k=rng.randint(1, 7))) for _ in range(300)]
+    texts = [" ".join(rng.choices(words, range(300, 0, -1), k=rng.randint(0, 120))) for _ in range(150)]
+    rows = [(i % 140, t) for i, t in enumerate([*texts, *texts[:5], None, ""])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    docs = lm_score.written(docs, "docs")
+
+    def scored():
+        return sorted((r.doc_id, r.n_tokens, r.base_score, r.score) for r in lm_score.scores(docs, PATH, PATTERN).collect())
+
+    want = scored()
+    for most in (4_000, 0):  # some pairs fit, none does
+        monkeypatch.setattr(lm_score, "BROADCAST_BYTES", most)
+        got = scored()
+        assert len(got) == len(want)
+        for g, w in zip(got, want):
+            assert g[:2] == w[:2] and abs(g[3] - w[3]) < 1e-5 * max(1, abs(w[3]))
+
+
 def tables(seed=0, size=120):
     rng = np.random.default_rng(seed)
     of = np.concatenate([np.arange(lm_score.CLASSES), rng.integers(0, lm_score.CLASSES, size - lm_score.CLASSES)])
